@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,12 @@ def running(df: DataFrame, group: str, h: str, ties: list[str], value: Column, n
         .withColumn(name, F.sum("_v").over(inside) + F.col("_o"))
         .drop("_b", "_v", "_g", "_bb", "_o")
     )
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow where Python workers can import this package from the driver's folder."""
+    env = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
+    return df.mapInArrow(f, schema)
