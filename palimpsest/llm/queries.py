@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, packing, sharding, token_counts, vector_file
+from . import exact_dedup, html_text, mixing, packing, sharding, token_counts, toxicity, vector_file
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(sharding.EIGHT), sharding.tree(sharding.NINE))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -46,6 +54,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_topk": op4_topk,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_html": op9_html,
     "op10_exact_dedup": op10_exact_dedup,
