@@ -80,3 +80,47 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
     return df.mapInArrow(f, schema)
+
+
+#: Bits of the id filter: a hashed bitmap of this size, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A hashed bitmap of the ids in column 0: bucket, bits. At most FILTER_BITS / 8 bytes."""
+    bits = F.expr("bitmap_construct_agg(bitmap_bit_position(_h))").alias("_bits")
+    return ids.select(_slot(F.col(ids.columns[0])).alias("_h")).groupBy(F.expr("bitmap_bucket_number(_h)").alias("_bucket")).agg(bits)
+
+
+def _slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def maybe_in(rows: DataFrame, doc_id: str, bitmap: DataFrame) -> DataFrame:
+    """Adds _maybe: false where doc_id is surely not among the filter's ids (null ids: false)."""
+    rows = rows.withColumn("_h", _slot(F.col(doc_id)))
+    rows = rows.withColumn("_b", F.expr("bitmap_bucket_number(_h)")).withColumn("_p", F.expr("bitmap_bit_position(_h)"))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_p div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = (F.expr("cast(pow(2, _p % 8) as int)").bitwiseAND(byte) != 0) & F.col(doc_id).isNotNull()
+    out = rows.join(F.broadcast(bitmap), F.col("_b") == F.col("_bucket"), "left")
+    return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_h", "_b", "_p", "_bucket", "_bits")
+
+
+#: Groups above HOT_SIZE rows are looked up in a broadcast table of at most HOT_GROUPS rows.
+HOT_SIZE, HOT_GROUPS = 1000, 1000
+
+
+def look_up(rows: DataFrame, key: str, spare: Column, found: DataFrame, size: str) -> DataFrame:
+    """rows left-joined with found (one row a key) without sending a hot key's rows to one task.
+
+    The largest groups, HOT_GROUPS of them at most, are broadcast; their rows take part in the
+    shuffled join under keys made of spare, a string column that spreads them.
+    """
+    values = [c for c in found.columns if c != key]
+    hot = found.filter(F.col(size) > HOT_SIZE).orderBy(F.col(size).desc(), key).limit(HOT_GROUPS)
+    hot = hot.select(F.col(key).alias("_hot"), *(F.col(c).alias("_hot_" + c) for c in values))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    own = F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), spare))
+    other = found.select(F.col(key).cast("string").alias("_own"), *values)
+    out = rows.withColumn("_own", F.coalesce(own, F.concat(F.lit("#"), spare))).join(other, "_own", "left")
+    return out.select(*(c for c in rows.columns if c == key or not c.startswith("_hot")), *(F.coalesce("_hot_" + c, c).alias(c) for c in values))

@@ -22,12 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow
+from .common import checkpointed, look_up, map_arrow
 
 #: Leading bytes that range-partition the texts, before their digest.
 PREFIX = 32
-#: Groups above HOT_SIZE rows are looked up in a broadcast table of at most HOT_GROUPS rows.
-HOT_SIZE, HOT_GROUPS = 1000, 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,15 +86,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     found = checkpointed(groups(docs))
     rows = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _digests, "doc_id long, digest string")
-    hot = found.filter(F.col("group_size") > HOT_SIZE).orderBy(F.col("group_size").desc(), "digest").limit(HOT_GROUPS)
-    hot = hot.select(F.col("digest").alias("_h"), F.col("keep_id").alias("_hk"), F.col("group_size").alias("_hn"))
-    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left")
-    # Rows of hot groups are done: they take part in the shuffled join under keys of their own.
-    rows = rows.withColumn("_key", F.when(F.col("_h").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"))))
-    out = rows.join(found.withColumnRenamed("digest", "_key"), "_key", "left")
-    alone = F.col("_hn").isNull() & F.col("group_size").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("_hk", "keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_hn", "group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+    out = look_up(rows, "digest", F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"), found, "group_size")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, packing, sharding, token_counts, toxicity, vector_file
+from . import exact_dedup, html_text, mixing, near_dedup, packing, sharding, token_counts, toxicity, vector_file
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), near_dedup.Near(words=2, percent=80))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_file.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -52,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_topk": op4_topk,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
