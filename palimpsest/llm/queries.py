@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, near_dedup, packing, sharding, token_counts, toxicity, vector_file
+from . import exact_dedup, html_text, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vector_file
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_file.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.removed(table(spark, sf_dir, "documents"))
+    gone = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda x, y: x + y)
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_topk": op4_topk,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
