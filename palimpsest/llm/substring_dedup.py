@@ -8,7 +8,8 @@ equal phrases are one entry of the dictionary with the smallest document that ha
 dictionary entries whose trigger another document has too are sorted by their suffixes, here
 to the depth LENGTH that matters. Each window learns whether a smaller document has it.
 
-    1. Documents are packed into blocks of about BLOCK bytes and written once, compressed.
+    1. Documents are dealt to blocks of about BLOCK bytes and written once, compressed;
+       triggers are dealt to parts, about one for each PART bytes of text.
     2. Each block sends its triggers, 5 bytes each; which of them other blocks have comes back
        as a bitmap.
     3. Each block sends the distinct phrases of shared triggers; a mask of repeated windows
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_arrow
-from .shingles import mix, powers, sums
+from .shingles import LEFT, mix, powers, sums
 
 LENGTH, K = 50, 28
-BLOCK = 12 << 20
-CHUNK = 1 << 19
+#: Bytes of text in a block, and of the text whose triggers meet in a part.
+BLOCK, PART = 4 << 20, 24 << 20
+CHUNK = 1 << 16
 LAST = np.iinfo(np.int64).max
 BITS = np.uint64((1 << 40) - 1)
 TEXTS = "block int, ids binary, sizes binary, data binary"
@@ -73,23 +75,6 @@ def _dealt(blocks: int):
 _SCHEMA = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block; documents in order of id, so that all steps see the same order."""
-    held: dict[int, list[dict]] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            held.setdefault(r["block"], []).append(r)
-    for block in sorted(held):
-        rows = held.pop(block)
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        size = np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows])
-        data = b"".join(_unpack(r["data"]) for r in rows)
-        end = np.cumsum(size)
-        texts = [data[e - s : e] for s, e in zip(size.tolist(), end.tolist(), strict=True)]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids[order].tobytes(), "sizes": size[order].tobytes(), "data": _pack(b"".join(texts[i] for i in order))}], _SCHEMA)
-
-
 class Phrases:
     """The parse of a block: for each phrase its document, first window, windows and trigger's hash."""
 
@@ -146,15 +131,35 @@ class Phrases:
 
 
 def _block(row: dict) -> Phrases:
-    return Phrases(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(_unpack(row["data"]), np.uint8))
+    """A block's parse; documents in order of id, so that all steps see the same order."""
+    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in row["texts"]])
+    size = np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in row["texts"]])
+    data = b"".join(_unpack(r["data"]) for r in row["texts"])
+    end = np.cumsum(size)
+    texts = [data[e - s : e] for s, e in zip(size.tolist(), end.tolist(), strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return Phrases(ids[order], size[order], np.frombuffer(b"".join(texts[i] for i in order), np.uint8))
+
+
+def _stable(small: np.ndarray) -> np.ndarray:
+    """A stable order of numbers that fit 32 bits."""
+    return np.argsort(small.astype(np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32), kind="stable")
+
 
+class Triggers:
+    """The distinct triggers of a block by part, and for each phrase which of them is its own."""
 
-def _by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order of part and key, and where each part begins."""
-    key = np.unique(key)
-    part = key % np.uint64(parts)
-    order = np.lexsort((key, part))
-    return key[order], np.searchsorted(part[order], np.arange(parts + 1))
+    def __init__(self, p: Phrases, parts: int):
+        self.order = np.argsort(p.trigger, kind="stable")  # phrases come in order of document
+        t = p.trigger[self.order]
+        new = np.concatenate([[True], t[1:] != t[:-1]])[: len(t)]
+        key = t[new]
+        part = key % np.uint64(parts)
+        by = _stable(part)
+        self.key, self.cut = key[by], np.searchsorted(part[by], np.arange(parts + 1))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.own = place[np.cumsum(new) - 1]  # of the phrases in order
 
 
 def _short(key: np.ndarray, parts: int) -> np.ndarray:
@@ -166,7 +171,8 @@ def _triggers(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                key, cut = _by_part(_block(row).trigger, parts)
+                found = Triggers(_block(row), parts)
+                key, cut = found.key, found.cut
                 rows = []
                 for p in range(parts):
                     x = _short(key[cut[p] : cut[p + 1]], parts)
@@ -212,25 +218,25 @@ class Dictionary:
     """The distinct phrases that a block sends, in order of part, and each phrase's entry (or -1)."""
 
     def __init__(self, p: Phrases, bitmaps: list[dict], parts: int):
-        key, cut = _by_part(p.trigger, parts)
-        shared = np.zeros(len(key), bool)
+        found = Triggers(p, parts)
+        shared = np.zeros(len(found.key), bool)
         for r in bitmaps:
-            a, b = cut[r["part"]], cut[r["part"] + 1]
+            a, b = found.cut[r["part"]], found.cut[r["part"] + 1]
             shared[a:b] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=b - a).astype(bool)
         # Triggers that several documents of the block itself have are shared as well.
-        order = np.argsort(p.trigger, kind="stable")  # phrases come in order of document
-        t, d = p.trigger[order], p.ids[p.doc[order]]
-        inner = np.unique(t[1:][(t[1:] == t[:-1]) & (d[1:] != d[:-1])])
-        keep = np.concatenate([key[shared], inner])
-        rows = np.flatnonzero(np.isin(p.trigger, keep))
+        d = p.ids[p.doc[found.order]]
+        shared[found.own[1:][(found.own[1:] == found.own[:-1]) & (d[1:] != d[:-1])]] = True
+        self.rows = np.sort(found.order[shared[found.own]])
         # Equal phrases: the first has the smallest document, as documents are in order.
-        same, first, entry = np.unique(np.stack([p.trigger[rows], p.content[rows]], 1), axis=0, return_index=True, return_inverse=True) if len(rows) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        by = np.lexsort((same[:, 1], same[:, 0], same[:, 0] % np.uint64(parts)))
+        trigger = p.trigger[self.rows]
+        _, first, entry = np.unique(mix(trigger * LEFT + p.content[self.rows]), return_index=True, return_inverse=True)
+        part = trigger[first] % np.uint64(parts)
+        by = _stable(part)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        self.rows, self.entry = rows, rank[entry.ravel()]
-        self.first = rows[first[by]]  # the phrase that each entry stands for
-        self.cut = np.searchsorted(same[by, 0] % np.uint64(parts), np.arange(parts + 1))
+        self.entry = rank[entry.ravel()]
+        self.first = self.rows[first[by]]  # the phrase that each entry stands for
+        self.cut = np.searchsorted(part[by], np.arange(parts + 1))
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -260,12 +266,21 @@ def _entries(parts: int):
 def repeated(ids: np.ndarray, windows: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each dictionary entry the mask of its windows that an entry of a smaller document has."""
     size = windows + LENGTH - 1
-    begin = np.cumsum(size) - size
+    end = np.cumsum(size)
+    begin = end - size
     entry = np.repeat(np.arange(len(ids)), windows)
-    within = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+    first = np.cumsum(windows) - windows
+    within = np.arange(len(entry)) - np.repeat(first, windows)
     at = begin[entry] + within
-    prefix = sums(data)
-    suffix = mix((prefix[at + LENGTH] - prefix[at]) * powers(len(prefix))[1][at])
+    suffix = np.empty(len(at), np.uint64)
+    a = 0
+    while a < len(ids):  # a chunk of entries at a time
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + CHUNK, "right")))
+        prefix = sums(data[begin[a] : end[b - 1]])
+        own = slice(first[a], first[b - 1] + windows[b - 1])
+        x = at[own] - begin[a]
+        suffix[own] = mix((prefix[x + LENGTH] - prefix[x]) * powers(len(prefix))[1][x])
+        a = b
     order = np.lexsort((ids[entry], suffix))
     hashed, owner, place = suffix[order], ids[entry[order]], at[order]
     start = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
@@ -280,10 +295,9 @@ def repeated(ids: np.ndarray, windows: np.ndarray, data: np.ndarray) -> np.ndarr
             peers = np.flatnonzero(hashed == hashed[i])
             text = data[place[i] : place[i] + LENGTH]
             found[i] = any(owner[j] < owner[i] and (data[place[j] : place[j] + LENGTH] == text).all() for j in peers)
-    mask = np.zeros(len(ids), np.uint32)
-    hit = order[found]
-    np.bitwise_or.at(mask, entry[hit], (np.uint32(1) << within[hit].astype(np.uint32)))
-    return mask
+    hit = np.zeros(len(entry), np.uint32)
+    hit[order[found]] = 1
+    return np.add.reduceat(hit << within.astype(np.uint32), first).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,17 +374,18 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed runs (bytes), kept_sha256, and kept if asked for."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(8, -(-total // BLOCK))
+    blocks_n, parts = max(8, -(-total // BLOCK)), max(8, -(-total // PART))
     spark = docs.sparkSession
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     # Without adaptive planning the written blocks keep their partitioning, so that what comes
     # back is sent to them and they stay where they are.
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        blocks = checkpointed(map_arrow(map_arrow(rows, _dealt(parts), TEXTS).repartition(parts, "block"), _joined, TEXTS).repartition(parts, "block"))
-        shared = checkpointed(map_arrow(map_arrow(blocks, _triggers(parts), SENT).repartition(parts, "part"), _shared, SENT).repartition(parts, "block"))
+        dealt = checkpointed(map_arrow(rows, _dealt(blocks_n), TEXTS).repartition(blocks_n, "block"))
+        blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("ids", "sizes", "data")).alias("texts"))  # where they are
+        shared = checkpointed(map_arrow(map_arrow(blocks, _triggers(parts), SENT).repartition(parts, "part"), _shared, SENT).repartition(blocks_n, "block"))
         masks = map_arrow(map_arrow(_with(blocks, shared=shared), _entries(parts), SENT).repartition(parts, "part"), _sorted, SENT)
-        masks = checkpointed(masks.repartition(parts, "block"))
+        masks = checkpointed(masks.repartition(blocks_n, "block"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string" + ", kept binary" * keep_text
