@@ -38,7 +38,7 @@ from .shingles import LEFT, mix, powers, sums
 
 LENGTH, K = 50, 28
 #: Bytes of text in a block, and of the text whose triggers meet in a part.
-BLOCK, PART = 4 << 20, 24 << 20
+BLOCK, PART = 4 << 20, 12 << 20
 CHUNK = 1 << 16
 LAST = np.iinfo(np.int64).max
 BITS = np.uint64((1 << 40) - 1)
@@ -239,10 +239,10 @@ class Dictionary:
         self.cut = np.searchsorted(part[by], np.arange(parts + 1))
 
 
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     """The bytes of the spans, end to end."""
-    total = int(size.sum())
-    return data[np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)] if total else np.zeros(0, np.uint8)
+    view = memoryview(data)
+    return b"".join([view[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)])
 
 
 def _entries(parts: int):
@@ -256,7 +256,7 @@ def _entries(parts: int):
                     at = d.first[d.cut[part] : d.cut[part + 1]]
                     if len(at):
                         head = np.array([len(at)], np.int64).tobytes() + p.ids[p.doc[at]].tobytes() + p.windows[at].astype(np.uint8).tobytes()
-                        rows.append({"block": row["block"], "part": part, "data": _pack(head + _gather(p.data, p.first[at], p.windows[at] + LENGTH - 1).tobytes())})
+                        rows.append({"block": row["block"], "part": part, "data": _pack(head + _gather(p.data, p.first[at], p.windows[at] + LENGTH - 1))})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
 
@@ -288,8 +288,8 @@ def repeated(ids: np.ndarray, windows: np.ndarray, data: np.ndarray) -> np.ndarr
     found = owner > owner[start][group] if len(hashed) else np.zeros(0, bool)
     some = np.flatnonzero(found)
     step = np.arange(LENGTH)
-    for a in range(0, len(some), 1 << 16):
-        part = some[a : a + (1 << 16)]
+    for a in range(0, len(some), 1 << 13):
+        part = some[a : a + (1 << 13)]
         equal = (data[place[part][:, None] + step] == data[place[start[group[part]]][:, None] + step]).all(1)
         for i in part[~equal]:  # another string with the same hash: look for it among all of the group
             peers = np.flatnonzero(hashed == hashed[i])
@@ -376,17 +376,19 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks_n, parts = max(8, -(-total // BLOCK)), max(8, -(-total // PART))
     spark = docs.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxBytesPerBatch")}
     # Without adaptive planning the written blocks keep their partitioning, so that what comes
-    # back is sent to them and they stay where they are.
+    # back is sent to them and they stay where they are. A batch is about one block.
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK))
     try:
         dealt = checkpointed(map_arrow(rows, _dealt(blocks_n), TEXTS).repartition(blocks_n, "block"))
         blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("ids", "sizes", "data")).alias("texts"))  # where they are
         shared = checkpointed(map_arrow(map_arrow(blocks, _triggers(parts), SENT).repartition(parts, "part"), _shared, SENT).repartition(blocks_n, "block"))
         masks = map_arrow(map_arrow(_with(blocks, shared=shared), _entries(parts), SENT).repartition(parts, "part"), _sorted, SENT)
         masks = checkpointed(masks.repartition(blocks_n, "block"))
+        schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string" + ", kept binary" * keep_text
+        return checkpointed(map_arrow(_with(blocks, shared=shared, masks=masks), _removed(parts, keep_text), schema))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string" + ", kept binary" * keep_text
-    return map_arrow(_with(blocks, shared=shared, masks=masks), _removed(parts, keep_text), schema)
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
