@@ -1,0 +1,108 @@
+"""Exact nearest neighbours of every row, by tiles of a matrix product.
+
+Rows are dealt to G groups; a group meets every other group in one task as two matrices, so
+each row is sent G times and no row pair is. G grows with the square root of nothing but the
+memory of a task: rows / ROWS groups. Each tile gives k rows a vector, so the merge reads
+G x k rows a vector.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.runtime import ship
+from ..functions.vector import COSINE_SHARE, EPSILON, SIGN_SHARE
+
+ROWS = 20_000
+SENT = "cell int, side int, part long, idx binary, own binary, dim int, data binary"
+
+
+def _blocks(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column("embedding").to_pylist()
+            ok = [i for i, v in enumerate(vectors) if v]
+            idx, own = (np.array(b.column(c).to_pylist(), object)[ok] for c in ("idx", "part"))
+            group = np.array([hash_of(i) % groups for i in idx], np.int64)
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                m = np.array([vectors[ok[i]] for i in at], np.float32)
+                for other in range(groups):
+                    # Side 0: the rows that look for neighbours; side 1: the rows that are looked at.
+                    for side, cell in ((0, g * groups + other), (1, other * groups + g)):
+                        yield pa.RecordBatch.from_pylist([{"cell": int(cell), "side": side, "part": 0, "idx": idx[at].astype(np.int64).tobytes(), "own": own[at].astype(np.int64).tobytes(), "dim": m.shape[1], "data": m.tobytes()}], _SCHEMA)
+
+    return run
+
+
+_SCHEMA = pa.schema([("cell", pa.int32()), ("side", pa.int32()), ("part", pa.int64()), ("idx", pa.binary()), ("own", pa.binary()), ("dim", pa.int32()), ("data", pa.binary())])
+
+
+def hash_of(i: int) -> int:
+    return (int(i) * 0x9E3779B97F4A7C15 >> 17) & 0x7FFFFFFF
+
+
+def _stack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = np.concatenate([np.frombuffer(r["data"], np.float32).reshape(-1, r["dim"]) for r in rows])
+    return np.concatenate([np.frombuffer(r["idx"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["own"], np.int64) for r in rows]), m.astype(np.float64)
+
+
+def _best(k: int, other_parts: bool, blended: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[dict], list[dict]]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                held.setdefault(r["cell"], ([], []))[r["side"]].append(r)
+        for asking, asked in held.values():
+            if not asking or not asked:
+                continue
+            (ai, ap, a), (bi, bp, b) = _stack(asking), _stack(asked)
+            unit = lambda m: m / (np.linalg.norm(m, axis=1) + EPSILON)[:, None]
+            ua, ub = unit(a), unit(b)
+            sa, sb = (np.where(m > 0, 1.0, -1.0) for m in (a, b))
+            for at in range(0, len(ai), 1024):
+                s = ua[at : at + 1024] @ ub.T
+                if blended:
+                    s = COSINE_SHARE * s + SIGN_SHARE * (sa[at : at + 1024] @ sb.T / a.shape[1] + 1) / 2
+                s[ap[at : at + 1024, None] == bp[None, :] if other_parts else ai[at : at + 1024, None] == bi[None, :]] = -np.inf
+                n = min(k, s.shape[1])
+                order = np.lexsort((np.broadcast_to(bi, s.shape), -s), axis=1)[:, :n] if s.shape[1] <= 4 * k else None
+                if order is None:
+                    edge = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                    out = [[], [], [], [], []]
+                    for i, row in enumerate(s):
+                        near = np.flatnonzero(row >= edge[i])
+                        near = near[np.lexsort((bi[near], -row[near]))][:n]
+                        near = near[np.isfinite(row[near])]
+                        for c, x in zip(out, ([ai[at + i]] * len(near), [ap[at + i]] * len(near), bi[near], bp[near], row[near]), strict=True):
+                            c.extend(x)
+                else:
+                    i = np.repeat(np.arange(len(s)), n)
+                    j = order.ravel()
+                    keep = np.isfinite(s[i, j])
+                    i, j = i[keep], j[keep]
+                    out = [ai[at + i], ap[at + i], bi[j], bp[j], s[i, j]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in out[:4]), pa.array(np.array(out[4], np.float64))], names=["idx", "part", "other_idx", "other_part", "score"])
+
+    return run
+
+
+def neighbours(vectors: DataFrame, k: int, *, other_parts: bool = False, blended: bool = False, rows: int | None = None) -> DataFrame:
+    """idx, part, other_idx, other_part, score, rank: each row's k nearest, by cosine or blended score.
+
+    vectors: idx, part (a collection's number), embedding. other_parts looks only outside of a
+    row's own part; otherwise only the row itself is left out. Ties go to the smaller idx.
+    """
+    ship(vectors.sparkSession)
+    n = vectors.count() if rows is None else rows
+    groups = max(1, -(-n // ROWS))
+    v = vectors.select(F.col("idx").cast("long"), F.col("part").cast("long"), F.col("embedding"))
+    cells = v.mapInArrow(_blocks(groups), SENT).repartition(max(1, groups * groups), "cell")
+    found = cells.mapInArrow(_best(k, other_parts, blended), "idx long, part long, other_idx long, other_part long, score double")
+    order = Window.partitionBy("idx", "part").orderBy(F.col("score").desc(), "other_part", "other_idx")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
