@@ -73,9 +73,26 @@ def running(df: DataFrame, group: str, h: str, ties: list[str], value: Column, n
     )
 
 
+BATCH, _BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def slices(batches, rows: int = 256):
+    """Smaller record batches, so that no more than their texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow where Python workers can import this package from the driver's folder."""
-    env = df.sparkSession.sparkContext.environment
+    """df.mapInArrow where Python workers can import this package from the driver's folder.
+
+    Batches that would be larger than BATCH bytes are cut, unless the session says otherwise:
+    a task holds a batch several times over.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_CONF, "64MB").lower() in ("64mb", "67108864b", "67108864"):
+        spark.conf.set(_BATCH_CONF, str(BATCH))
+    env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))

@@ -3,7 +3,7 @@
 Every source is a queue of its documents in a reproducible shuffled order, as many rounds of
 it as a document may be repeated. A copy's virtual finish time is the source's tokens up to
 and with that copy, divided by the source's target. All copies sorted by finish time and cut
-at the total budget give every source its share to within one document.
+at the total budget give every source its share to within the documents that straddle the cut.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; rows with
 a null id are shuffled by their text. Rows that repeat an id are taken or left together.
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, w: Weights = Weights()) -> Mix:
     over = late.withColumn("sum", F.sum("size").over(order)).filter(F.col("sum") > left)
     first_out = over.agg(F.min(F.struct("finish", "rank", "copy", "h", "doc_id")).alias("x")).first().x
     end = (near, 0, 0, 0) if first_out is None else tuple(first_out)[:4]
-    taken = queue.filter(F.struct("finish", "rank", "copy", "h") < F.struct(F.lit(end[0]), F.lit(end[1]), F.lit(end[2]), F.lit(end[3])))
+    taken = queue.filter(F.struct("finish", "rank", "copy", "h") < F.struct(F.lit(float(end[0])), F.lit(end[1]), F.lit(end[2]), F.lit(end[3]).cast("long")))
     cuts = taken.groupBy("rank", "copy").agg(F.max("h").alias("last"))
     cuts = cuts.groupBy("rank").agg(F.collect_list("last").alias("cuts"))  # one number a copy: `repeats` at most
     return Mix(sized, shares, checkpointed(shares.join(cuts, "rank", "left")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, checkpointed, draw, map_arrow, running
+from .common import buckets_for, checkpointed, draw, map_arrow, running, slices
 
 CAPACITY, END = 1024, 2
 #: Bounds of the search: fillings looked at around one piece, steps to find them, branches in all.
@@ -44,11 +44,7 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -71,6 +67,16 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and (text.isascii() or not _PLAIN.search(text)) and not any(s in text for s in self.special):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
@@ -92,7 +98,7 @@ def cuts(n: int, capacity: int) -> list[int]:
 def _encode(path: str, capacity: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end))

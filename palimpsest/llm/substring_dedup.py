@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow
+from .common import checkpointed, map_arrow, slices
 from .shingles import LEFT, mix, powers, sums
 
 LENGTH, K = 50, 28
@@ -57,7 +57,7 @@ def _dealt(blocks: int):
     """Texts of a batch by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             ids = np.array([LAST if i is None else i for i in b.column("doc_id").to_pylist()], np.int64)
             texts = [b"" if t is None else t for t in b.column("text").cast(pa.binary()).to_pylist()]
             size = np.array([len(t) for t in texts], np.int64)

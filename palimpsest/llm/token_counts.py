@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, slices
 
 BATCH_BYTES = 1 << 20
-CACHE = 400_000
+CACHE = 300_000
 _LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
 #: Spaces and what follows them up to the next space.
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -93,7 +93,7 @@ def lengths(path: str) -> Callable[[list[str]], list[int]]:
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = lengths(path)
-        for b in batches:
+        for b in slices(batches):
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             sizes = [len(t.encode()) for t in texts]
             out, begin, held = [], 0, 0

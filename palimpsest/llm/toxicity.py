@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, slices
 
 #: Labelled rows that fitting takes at most, toxic and clean.
 TOXIC, CLEAN = 4000, 8000
@@ -43,7 +43,7 @@ OPEN, CLOSE = "\"'“”„«»‘’‹›", "\"'“”«»‘’‹›"
 #: Words of reporting, in four languages: fixed values.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes quoting term word words insult insults slur alleged reportedly dit écrit appelé mot mots insulte cite cité sagte sagt schrieb nannte wort wörter zitat zitiert beleidigung dijo dice escribió llamó palabra palabras insulto cita".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_CORES = 400_000
+_CORES = 100_000
 
 
 def core(word: str) -> str:
@@ -267,14 +267,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
         sample = part if sample is None else sample.unionAll(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).repartition(1)  # TOXIC + CLEAN rows at most
     rates = [min(1.0, most[y] / max(n.get(y, 0), 1)) for y in (1, 0)]
-    return json.loads(map_arrow(rows, _fitted(*rates), "model string").first().model)
+    fitted = map_arrow(rows, _fitted(*rates), "model string").first()
+    return json.loads(fitted.model) if fitted else fit([], *rates)
 
 
 def _scored(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon([tuple(t) for t in model["terms"]], model["known"])
         weights = np.array(model["b"])
-        for b in batches:
+        for b in slices(batches):
             z = [float(features(t or "", lexicon) @ weights) for t in b.column("text").to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(score)], names=[*(c for c in b.schema.names if c != "text"), "score"])
@@ -288,12 +289,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _scored(model), f"doc_id {kind}, score double")
 
 
-def _clean(model: dict):
+def _clean(model: dict, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon([tuple(t) for t in model["terms"]], model["known"])
         weights = np.array(model["b"])
-        for b in batches:
-            yield b.filter(pa.array([float(features(t or "", lexicon) @ weights) < 0 for t in b.column("text").to_pylist()], pa.bool_()))
+        for b in slices(batches):
+            yield b.filter(pa.array([float(features(t or "", lexicon) @ weights) < 0 for t in b.column(text).to_pylist()], pa.bool_()))
 
     return run
 
@@ -301,6 +302,6 @@ def _clean(model: dict):
 def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """docs, all columns, without the rows whose score is 0.5 or more."""
     names = [f"_{i}" for i in range(len(docs.columns))]
-    held = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
+    held = docs.toDF(*names)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
-    return map_arrow(held, _clean(model), schema).drop("text").toDF(*docs.columns)
+    return map_arrow(held, _clean(model, names[docs.columns.index("text")]), schema).toDF(*docs.columns)
