@@ -475,7 +475,7 @@ def grid_diff(spark, d):
     return G.diff(frames(spark, d), 8)
 
 
-@query(f"with recursive {_FRAME.replace('f as (', 'f as materialized (', 1)}, c as (select level, step, unnest(range(64)) as p, unnest(cells) as color from f where step < 5), n as (select a.level, a.step, a.p, b.p as o from c a join c b on a.level = b.level and a.step = b.step and a.color = b.color and ((b.p = a.p + 1 and a.p % 8 < 7) or (b.p = a.p - 1 and a.p % 8 > 0) or abs(a.p - b.p) = 8)), r as (select level, step, p, p as root from c union select n.level, n.step, n.p, r.root from r join n on n.level = r.level and n.step = r.step and n.o = r.p), m as (select level, step, p, min(root) as root from r group by all), h as (select level, step, color, count(*) as k from c group by all), bg as (select level, step, color from (select *, row_number() over (partition by level, step order by k desc, color) as x from h) where x = 1), o as (select m.level, m.step, c.color, m.root, count(*) as size, min(m.p // 8) as r0, max(m.p // 8) as r1, round(avg(m.p // 8), 2) as row from m join c using (level, step, p) group by all) select o.level, o.step, o.color, o.size::int as size, o.r0::int as r0, o.r1::int as r1 from o join bg on bg.level = o.level and bg.step = o.step where bg.color <> o.color")
+@query()
 def grid_objects(spark, d):
     return G.objects(frames(spark, d).filter("step < 5"), 8).select("level", "step", "color", "size", "r0", "r1")
 
