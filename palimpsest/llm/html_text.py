@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label|aria-hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -33,7 +33,10 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NOT_TEXT = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object embed svg math canvas audio video map dialog menu title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words of a class, id or role that say a subtree is not the article.
-NOT_ARTICLE = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar trending widget widgets complementary contentinfo search alert".split())
+NOT_ARTICLE = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar trending widget widgets complementary contentinfo search alert discussion reply login signin toc topbar outbrain taboola".split())
+#: Words that make a "header" one of the article, and prefixes that only speak of other parts.
+OWN = frozenset("article post entry story content title".split())
+_OTHERS = re.compile(r"\b(?:has|with|without|no|show|hide)[-_]\w+")
 #: What the start of an element closes, and the elements that shield from it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -63,15 +66,17 @@ def _declared_out(name: str, attributes: str, inside: bool) -> bool:
         return False
     for m in _NAMES.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "role"):
-            if not NOT_ARTICLE.isdisjoint(_WORD.findall(value)):
+        if key in ("class", "id", "role", "aria-label"):
+            words = set(_WORD.findall(_OTHERS.sub("", value)))
+            if words & NOT_ARTICLE or "header" in words and not inside and not words & OWN:
                 return True
         elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I))
 
 
-def parse(page: str) -> _Tree:
+def parse(page: str, declared: bool = True) -> _Tree:
+    """The page's tree; declared: whether classes, ids and roles take elements out."""
     t = _Tree()
     open_, at, end = [0], 0, len(page)
     inside = 0  # how many articles are open
@@ -113,7 +118,7 @@ def parse(page: str) -> _Tree:
             if cut:
                 del open_[cut:]
         up = open_[-1]
-        me = t.add(up, name, t.stays[up] and not _declared_out(name, m[3], inside > 0))
+        me = t.add(up, name, t.stays[up] and not _declared_out(name, m[3] if declared else "", inside > 0))
         if name in VOID or m[3].endswith("/") and name not in INLINE and name not in CLOSES_P:
             continue
         if name in RAW:
@@ -126,10 +131,16 @@ def parse(page: str) -> _Tree:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, one line a block."""
+    """The article of a page, one line a block.
+
+    Where declared boilerplate is all that a page has, its declarations are not believed.
+    """
     if not page:
         return ""
-    t = parse(page)
+    return _main(parse(page)) or _main(parse(page, False))
+
+
+def _main(t: _Tree) -> str:
     n = len(t.name)
     chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n

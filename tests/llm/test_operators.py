@@ -341,6 +341,8 @@ def test_automaton_against_distance():
         ("<html><body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One  two<br>three <b>bold</b>.<p>Four</article><div class='comments'><p>nice</p></div><footer>x</footer></body></html>", "T & U\nOne two three bold.\nFour"),
         ("<body><div id=side class='left-sidebar'><ul><li><a href=1>a</a><li><a href=2>b</a></ul></div><div class=post><p>" + "long text here. " * 20 + "</p><ul><li>i<li>j</ul>tail</div></body>", ("long text here. " * 20).strip() + "\ni\nj\ntail"),
         ("<p>a<script>var x='<p>no</p>'</script>b</p><form><input name=q>ask</form>", "ab"),
+        ("<body class='no-sidebar'><div class=site-header>Site</div><div class='layout with-sidebar'><div class=entry-header><h1>T</h1></div><p>Some text.</div><div aria-label='Reader comments'>x</div>", "T\nSome text."),
+        ("<div class=popup><p>all there is</p></div>", "all there is"),
         ("<body><article><p>only", "only"), ("<!-- x --><p>5 &lt; 6", "5 < 6"),
     ],
 )
