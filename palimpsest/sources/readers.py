@@ -153,7 +153,7 @@ def read_folder(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     JSON lists and JSON lines give their items' text or content, joined by passage breaks; a
     line that is no JSON is text itself.
     """
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{txt,md,json,jsonl}").option("recursiveFileLookup", str(recursive).lower()).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.{txt,md,json,jsonl}").option("recursiveFileLookup", str(recursive).lower()).text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value")
     item = "struct<text:string,content:string>"
     of = lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), x["content"])
@@ -171,7 +171,7 @@ def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Learning entries of JSON lines (broken ones dropped), of a JSON list, or of one under entries or learning_entries."""
     if path.endswith(".jsonl"):
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     item = f"array<struct<{schema}>>"
     held = F.from_json("value", f"struct<learning_entries:{item},entries:{item}>")
     return raw.select(F.inline(F.coalesce(held["learning_entries"], held["entries"], F.from_json("value", item))))
