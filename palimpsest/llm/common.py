@@ -73,6 +73,8 @@ def running(df: DataFrame, group: str, h: str, ties: list[str], value: Column, n
     )
 
 
+#: Workers outlive tasks: these make them give freed memory back to the system.
+WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 BATCH, _BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -96,6 +98,8 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
     return df.mapInArrow(f, schema)
 
 

@@ -192,8 +192,9 @@ PRIOR = np.array([-2.5, 1.2, 0.5, 0.9])
 def fit(rows: list[tuple[str, int]], toxic_rate: float, clean_rate: float) -> dict:
     """The model from (text, label) rows, sampled at the given rates of the two labels."""
     each: dict[tuple, tuple[set[str], str, int]] = {}
+    shared: dict[str, str] = {}  # one object a word
     for t, y in rows:  # copies, near ones too, would make their rare words look common: one of them counts
-        words = {c for w in set(t.lower().split()) if len(c := core(w)) >= SHORTEST}
+        words = {shared.setdefault(c, c) for w in set(t.lower().split()) if len(c := core(w)) >= SHORTEST}
         each.setdefault((y, *sorted(zlib.crc32(w.encode()) for w in words)[:3]), (words, t, y))
     docs = list(each.values())
     n = {y: sum(x[2] == y for x in docs) for y in (0, 1)}
