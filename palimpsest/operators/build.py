@@ -117,7 +117,7 @@ def verify(patterns: DataFrame, manifests: DataFrame) -> DataFrame:
     return out.select("collection", F.coalesce((F.col("_n") == F.col("n_patterns")) & (F.col("_f") == F.col("fingerprint")), F.lit(True)).alias("ok"))
 
 
-#: Titles: capitals alone on a line, or a Roman or decimal number before one.
+#: Titles: capitals alone on a line, or a Roman or decimal number before one (fixed patterns).
 _CAPITALS = re.compile(r"[A-Z][A-Z\s\-',.!?:;]{4,60}")
 _NUMBERED = re.compile(r"(?:[IVXLC]+|\d+)\.?\s(.+)?")
 SHORT_TEXT, SHORT_WORDS, LONG_WORDS, GROUP_WORDS = 20, 8, 600, 400

@@ -258,12 +258,12 @@ def browse_patterns(spark, d):
     return Fil.browse(tagged(spark, d), "EN", "THING", 5, 50).select("idx")
 
 
-@query("with c as (select conv_id, turn, '[HEARTBEAT,turn-' || (turn // 2) || ',url=a.example/' || conv_id || ']' as t from conversations union all select conv_id, turn, '[Claude | Turn ' || (turn // 2) || ' | x | a.example/' || conv_id || ']' from conversations) select 'a.example/' || conv_id || '|turn-' || (turn // 2) as key, count(*) as rows from c group by 1")
+@query("with c as (select conv_id, turn, '[HEARTBEAT,turn-' || (turn // 2) || ',url=a.example/' || conv_id || ']' as t from conversations union all select conv_id, turn, '[Agent | Turn ' || (turn // 2) || ' | x | a.example/' || conv_id || ']' from conversations) select 'a.example/' || conv_id || '|turn-' || (turn // 2) as key, count(*) as rows from c group by 1")
 def exchange_dedup(spark, d):
     c = read(spark, d, "conversations")
     half = F.floor(F.col("turn") / 2).cast("string")
     comma = c.select(F.concat(F.lit("[HEARTBEAT,turn-"), half, F.lit(",url=a.example/"), F.col("conv_id").cast("string"), F.lit("] "), "text").alias("text"))
-    pipe = c.select(F.concat(F.lit("[Claude | Turn "), half, F.lit(" | x | a.example/"), F.col("conv_id").cast("string"), F.lit("] "), "text").alias("text"))
+    pipe = c.select(F.concat(F.lit("[Agent | Turn "), half, F.lit(" | x | a.example/"), F.col("conv_id").cast("string"), F.lit("] "), "text").alias("text"))
     return comma.unionAll(pipe).groupBy(T.exchange_key(F.col("text")).alias("key")).agg(F.count("*").alias("rows"))
 
 

@@ -34,8 +34,8 @@ def test_tag_match(spark):
 @pytest.mark.parametrize(
     ("text", "key"),
     [
-        ("[HEARTBEAT,CLAUDE,turn-119,url=claude.ai/chat/abc] hi", "claude.ai/chat/abc|turn-119"),
-        ("[Claude | Turn 119 | ts | claude.ai/chat/abc] hi", "claude.ai/chat/abc|turn-119"),
+        ("[HEARTBEAT,AGENT,turn-119,url=agent.example/chat/abc] hi", "agent.example/chat/abc|turn-119"),
+        ("[Agent | Turn 119 | ts | agent.example/chat/abc] hi", "agent.example/chat/abc|turn-119"),
         ("[HEARTBEAT,turn-119] hi", None), ("plain", None), ("[x | Turn y | a.b/c] hi", None),
     ],
 )
