@@ -90,9 +90,9 @@ with bytes as (
 ), counted as (
     select doc_id, count(*) as n_removed, count(*) filter (where before is null or before < b - 1) as n_spans from (select doc_id, b, lag(b) over (partition by doc_id order by b) as before from gone) group by doc_id
 ), kept as (
-    select doc_id, string_agg(substr(x, 2 * b + 1, 2), '' order by b) as x from (select doc_id, x, unnest(range(0, n)) as b from bytes) left join gone g using (doc_id, b) where g.b is null group by doc_id
+    select doc_id, string_agg(substr(x, 2 * b + 1, 2), '' order by b) as x from (select doc_id, x, unnest(range(0, n)) as b from bytes semi join counted using (doc_id)) left join gone g using (doc_id, b) where g.b is null group by doc_id
 )
-select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, ''))) as kept_sha256 from bytes left join counted using (doc_id) left join kept using (doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(case when n_removed is null then bytes.x else coalesce(kept.x, '') end)) as kept_sha256 from bytes left join counted using (doc_id) left join kept using (doc_id)
 """.replace("left join gone g using (doc_id, b) where g.b is null", "anti join gone using (doc_id, b)")
 
 _CRC = "list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, n + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::bigint)), lambda c, b: xor(c >> 8, table_[(xor(c, b) & 255) + 1]))"
