@@ -7,16 +7,19 @@ probability of about 1 in 15,000.
 
 Documents with equal shingle sets are one class, and only classes are compared. Keys travel
 in arrays, one row a task and part. The first round pairs all documents of a key's bucket
-with the first, in one of eight orders, and in small buckets each with each. The
-second takes the larger buckets that hold several components still: sorted by a code of
-further minima, chosen anew for each key, each document is paired with its next ones of other
-components. The more alike two documents are, the more often they are neighbours. So pairs
-grow with the entries, not with the squares of groups, and the hundred keys of a document
-give it hundreds of its likeliest partners. Candidates that sizes or the minima rule out go,
-the rest are confirmed on their full sets.
+with the first, in one of eight orders, and in small buckets each with each. Candidates that
+sizes or the minima rule out go, the rest are confirmed on their full sets.
 
-A key that over KEEP documents of one batch share is thinned to KEEP before it is sent; those
-left out are paired within their batch in the same way.
+The exact rest takes all documents of the larger buckets. They meet by the half-bands of the
+first collection, with their full sets, and every pair of different components that shares a
+key is compared there, once, unless sizes rule it out. A task joins components as it goes and
+returns only what it joined, so rows grow with the components and only comparisons with the
+squares of groups. Half-bands with more than GROUP shingles are dealt to groups by a hash of
+the id, and two groups meet in one tile, so that a task stays bounded.
+
+In the first round a key that over KEEP documents of one batch share is thinned to KEEP before
+it is sent, and those left out are paired with the first of their batch only. Their bucket is a
+large one, so the exact rest compares them with all others; nothing is thinned there.
 
 Documents without words are linked with nothing. Rows with a null id are components of their
 own with a null component_id. Rows that repeat an id count as one node. Empty tables give no
@@ -37,12 +40,12 @@ from .common import checkpointed, id_filter, look_up, map_arrow, maybe_in, slice
 from .shingles import LEFT, RIGHT, mix, shingle_sets
 
 TABLES, ROWS = 10, 2
-#: Buckets up to SMALL have each document paired with each; in larger ones with the NEXT in order.
-SMALL, NEXT = 16, 3
-#: Documents of a batch (of 4096) that a key is sent with.
+#: Buckets up to SMALL have each document paired with each in the first round.
+SMALL = 16
+#: Documents of a batch (of 4096) that a key is sent with in the first round.
 KEEP = 512
-#: Minima in a code, four bits each.
-CODE = 16
+#: Shingles of the documents that a half-band sends to one group of the exact rest.
+GROUP = 1 << 16
 #: Share of equal minima below which a pair of similarity 0.8 lies with a probability under 10^-5.
 SEEN = 0.5
 PAIRS = "a long, b long"
@@ -97,23 +100,25 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _keyed(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(key, id, n, code) of every table entry of the batch, in order of key and a hash of the id."""
-    ids, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "n"))
-    half = np.frombuffer(b"".join(b.column("halves").to_pylist()), np.uint64).reshape(len(ids), 2 * TABLES)
-    seen = np.frombuffer(b"".join(b.column("seen").to_pylist()), np.uint16).reshape(len(ids), -1)
+    """(key, id, n) of every table entry of the batch, in order of key and a hash of the id."""
+    ids, n = _longs(b, "doc_id", "n")
+    half = _halves(b)
     key = mix(half[:, :TABLES, None] * LEFT + half[:, None, TABLES:] * RIGHT).reshape(len(ids), -1)
     each = key.shape[1]
-    rows = np.argsort(mix(np.arange(each * seen.shape[1], dtype=np.uint64)).reshape(each, -1), 1)[:, :CODE]
-    short = (seen & np.uint16(15)).astype(np.uint64)
-    code = np.zeros(key.shape, np.uint64)
-    for k in range(CODE):
-        code = code << np.uint64(4) | short[:, rows[:, k]]
-    return _ordered(key.ravel(), np.repeat(ids, each), np.repeat(n, each), code.ravel())
+    return _ordered(key.ravel(), np.repeat(ids, each), np.repeat(n, each))
+
+
+def _longs(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
-def _ordered(key: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+def _halves(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("halves").to_pylist()), np.uint64).reshape(b.num_rows, 2 * TABLES)
+
+
+def _ordered(key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((mix(ids.astype(np.uint64) * np.uint64(8) + (key & np.uint64(7))), key))  # one of eight orders
-    return key[order], ids[order], n[order], code[order]
+    return key[order], ids[order], n[order]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +155,22 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-ENTRIES = "part int, keys binary, ids binary, sizes binary, codes binary, heads binary"
+ENTRIES = "part int, keys binary, ids binary, sizes binary"
+
+
+def _dealt(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each part that has entries."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, [c[order[cut[p] : cut[p + 1]]] for c in columns]
+
+
+def _packed(rows: list[tuple[int, list[np.ndarray]]], names: str) -> pa.RecordBatch:
+    """One row a part, its arrays as bytes."""
+    names = [x.split(" ")[0] for x in names.split(", ")]
+    columns = zip(*([x.tobytes() for x in c] for _, c in rows), strict=True) if rows else [()] * (len(names) - 1)
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
 
 def _sent(parts: int):
@@ -158,19 +178,11 @@ def _sent(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
-            key, ids, n, code = _keyed(b)
+            key, ids, n = _keyed(b)
             kept = _ramp(_runs(key)[1]) < KEEP
-            key, ids, n, code = key[kept], ids[kept], n[kept], code[kept]
-            second = "component" in b.schema.names
-            if second:
-                own = dict(zip(b.column("doc_id").to_pylist(), b.column("component").to_pylist(), strict=True))
-                heads = np.array([own[i] for i in ids.tolist()], np.int64)
+            key, ids, n = key[kept], ids[kept], n[kept]
             part = (key >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, key[o].tobytes(), ids[o].tobytes(), n[o].astype(np.int32).tobytes(), *((code[o].tobytes(), heads[o].tobytes()) if second else (b"", b""))) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "keys", "ids", "sizes", "codes", "heads"])
+            yield _packed(list(_dealt(part, parts, key, ids, n.astype(np.int32))), ENTRIES)
 
     return run
 
@@ -196,7 +208,7 @@ def _local(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
-            key, ids, n, _ = _keyed(b)
+            key, ids, n = _keyed(b)
             _, size = _runs(key)
             many = np.repeat(size > KEEP, size)
             key, ids, n = key[many], ids[many], n[many]
@@ -205,47 +217,180 @@ def _local(percent: int):
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """A task's parts, whose number keeps each to some 10 MB: key, id, n, code, head."""
+def _parts(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[list[np.ndarray]]]:
+    """A task's parts, whose number keeps each to some 10 MB: of each column the arrays sent."""
     held: dict[int, list[list[bytes]]] = {}
     for b in batches:
+        names = b.schema.names[1:]
         for r in b.to_pylist():
-            for c, x in zip(held.setdefault(r["part"], [[], [], [], [], []]), ("keys", "ids", "sizes", "codes", "heads"), strict=True):
+            for c, x in zip(held.setdefault(r["part"], [[] for _ in names]), names, strict=True):
                 c.append(r[x])
     while held:
-        columns = held.popitem()[1]
-        yield tuple(np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.int32, np.uint64, np.int64), strict=True))
+        yield [[np.frombuffer(x, k) for x in c] for c, k in zip(held.popitem()[1], kinds, strict=True)]
 
 
 def _met(percent: int):
     """The first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, n, _, _ in _parts(batches):
-            key, ids, n, _ = _ordered(key, ids, n.astype(np.int64), key)
+        for columns in _parts(batches, (np.uint64, np.int64, np.int32)):
+            key, ids, n = (np.concatenate(c) for c in columns)
+            key, ids, n = _ordered(key, ids, n.astype(np.int64))
             yield _found(_candidates(key, ids, n, percent), _large(key, ids))
 
     return run
 
 
-def _next(percent: int):
-    """The second round: in large buckets each with its next ones of other components."""
+HALVES = "part int, keys binary, ids binary, heads binary, sizes binary, tables binary"
+
+
+def _half_bands(parts: int):
+    """The first collection's half-bands of each batch, as arrays by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            key = _halves(b)[:, :TABLES].ravel()
+            entries = [np.repeat(x, TABLES) for x in _longs(b, "doc_id", "component", "n")]
+            tables = np.tile(np.arange(TABLES, dtype=np.int64), b.num_rows)
+            yield _packed(list(_dealt((key >> np.uint64(32)) % np.uint64(parts), parts, key, *entries, tables)), HALVES)
+
+    return run
+
+
+TALLY = "id long, tables long, key long, shingles long"
+
+
+def _tally(group: int):
+    """Of half-bands with several components: each id with a mask of its tables, and the keys of over group shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _parts(batches, (np.uint64, *[np.int64] * 4)):
+            key, ids, heads, n, tables = (np.concatenate(c) for c in columns)
+            order = np.argsort(key, kind="stable")
+            key, ids, heads, n, tables = (x[order] for x in (key, ids, heads, n, tables))
+            start, size = _runs(key)
+            open_ = np.minimum.reduceat(heads, start) < np.maximum.reduceat(heads, start)
+            many = np.add.reduceat(n, start)
+            hot = open_ & (many > group)
+            some = np.repeat(open_, size)
+            ids, bits = ids[some], np.int64(1) << tables[some]
+            order = np.argsort(ids, kind="stable")
+            ids, bits = ids[order], bits[order]
+            first = _runs(ids)[0]
+            masks = np.bitwise_or.reduceat(bits, first) if len(ids) else bits
+            none = lambda k: pa.nulls(k, pa.int64())
+            held, more = (ids[first], masks), (key[start[hot]].view(np.int64), many[hot])
+            columns = [*(pa.concat_arrays([pa.array(c), none(len(more[0]))]) for c in held), *(pa.concat_arrays([none(len(first)), pa.array(c)]) for c in more)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tables", "key", "shingles"])
+
+    return run
+
+
+TILES = "part int, cells binary, places binary, sides binary, tables binary, heads binary, halves binary, sizes binary, shingles binary"
+
+
+def _tiles(words: int, parts: int, groups: dict[int, int]):
+    """Documents with their sets for each tile that they are in, as arrays by part; a part gets a batch's document once."""
+
+    def dealt(half, ids, heads, masks, sets):
+        cells, places, sides, tables = [], [], [], []
+
+        def put(cell, at, side, t):
+            cells.append(cell), places.append(at), sides.append(np.full(len(at), side, np.int8)), tables.append(np.full(len(at), t, np.int8))
+
+        for t in range(TABLES):
+            at = np.flatnonzero(masks >> t & 1)
+            many = np.array([groups.get(k, 1) for k in half[at, t].view(np.int64).tolist()], np.int64)
+            put(half[at[many == 1], t], at[many == 1], 0, t)
+            for g in np.unique(many[many > 1]).tolist():
+                own = at[many == g]
+                mine = (mix(ids[own].astype(np.uint64)) % np.uint64(g)).astype(np.int64)
+                for other in range(g):
+                    tile = (np.minimum(mine, other) * g + np.maximum(mine, other) + 1).astype(np.uint64)
+                    for side, of in ((0, mine == other), (1, mine < other), (2, mine > other)):
+                        put(mix(half[own[of], t] + tile[of] * LEFT), own[of], side, t)
+        cells, places, sides, tables = (np.concatenate(x) for x in (cells, places, sides, tables))
+        rows = []
+        for p, (c, at, side, t) in _dealt((cells >> np.uint64(32)) % np.uint64(parts), parts, cells, places, sides, tables):
+            own, at = np.unique(at, return_inverse=True)
+            rows.append((p, [c, at.astype(np.int64), side, t, heads[own], half[own], np.array([len(sets[k]) for k in own], np.int64), np.concatenate([sets[k] for k in own])]))
+        return _packed(rows, TILES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            half, (ids, heads, masks) = _halves(b), _longs(b, "doc_id", "component", "tables")
+            sets, begin = [], 0
+            for k, s in enumerate(shingle_sets(_bytes(b.column("text")), words), 1):
+                sets.append(s)
+                if k == b.num_rows or sum(map(len, sets)) > 1 << 19:
+                    yield dealt(*(x[begin:k] for x in (half, ids, heads, masks)), sets)
+                    sets, begin = [], k
+
+    return run
+
+
+def _joined(percent: int):
+    """The pairs of components that documents of one tile link, as many as it takes to join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, n, code, head in _parts(batches):
-            order = np.lexsort((ids, code, key))
-            key, ids, n, head = key[order], ids[order], n[order].astype(np.int64), head[order]
-            size = np.repeat(_runs(key)[1], _runs(key)[1])
-            found = [np.zeros((2, 0), np.int64)]
-            for d in range(1, NEXT + 1):
-                at = np.flatnonzero((key[d:] == key[:-d]) & (head[d:] != head[:-d]) & (size[d:] > SMALL))
-                found.append(np.stack([at, at + d]))
-            x = _distinct(np.concatenate(found, 1), ids, n, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], names=["a", "b"])
+        for columns in _parts(batches, (np.uint64, np.int64, np.int8, np.int8, np.int64, np.uint64, np.int64, np.uint64)):
+            before = np.cumsum([0, *(len(h) for h in columns[4][:-1])])
+            columns[1] = [x + k for x, k in zip(columns[1], before, strict=True)]
+            cells, places, sides, tables, heads, halves, n, shingles = (np.concatenate(c) for c in columns)
+            halves = halves.reshape(len(heads), 2 * TABLES)
+            codes = np.unique(shingles, return_inverse=True)[1]
+            begin, marked = np.cumsum(n) - n, np.zeros(len(shingles), bool)
+            order = np.lexsort((n[places], cells))
+            cells, places, sides, tables = (x[order] for x in (cells, places, sides, tables))
+            links = []
+            for s, z in zip(*(x.tolist() for x in _runs(cells)), strict=True):
+                w, side, t = places[s : s + z], sides[s : s + z], tables[s]
+                label, size, own = heads[w], n[w], halves[w]
+                most = np.searchsorted(size * percent, size * 100, "right")
+                for x in range(z - 1):
+                    y = x + 1 + np.flatnonzero(label[x + 1 : most[x]] != label[x])
+                    if side[x]:
+                        y = y[side[y] != side[x]]
+                    same = own[y] == own[x]  # a pair is compared in the first table that it shares
+                    y = y[~same[:, :t].any(1) & same[:, TABLES:].any(1)]
+                    if not len(y):
+                        continue
+                    mine, lengths = codes[begin[w[x]] : begin[w[x]] + size[x]], size[y]
+                    marked[mine] = True
+                    hits = marked[codes[np.repeat(begin[w[y]], lengths) + _ramp(lengths)]]
+                    marked[mine] = False
+                    both = np.add.reduceat(hits, np.cumsum(lengths) - lengths, dtype=np.int64)
+                    for k in y[100 * both >= percent * (size[x] + lengths - both)].tolist():
+                        if label[k] != label[x]:
+                            a, b = sorted((int(label[k]), int(label[x])))
+                            links.append((a, b))
+                            label[label == b] = a
+                            heads[heads == b] = a
+            x = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     return run
 
 
+def rest(found: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """The pairs of components that documents of the larger buckets link."""
+    some = found.filter("id is not null").select(F.col("id").alias("doc_id")).distinct()
+    rows = nodes.join(some, "doc_id", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rows = checkpointed(rows.select("doc_id", "n", "halves", F.coalesce("component", "doc_id").alias("component")))
+    parts = max(16, -(-rows.count() * TABLES // 250_000))
+    tally = checkpointed(map_arrow(map_arrow(rows, _half_bands(parts), HALVES).repartition(parts, "part"), _tally(GROUP), TALLY))
+    hot = tally.filter("key is not null").select("key", "shingles").collect()  # at most TABLES / GROUP of the shingles
+    groups = {r.key: -(-r.shingles // GROUP) for r in hot}
+    tables = tally.filter("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.bit_or("tables").alias("tables"))
+    rows = checkpointed(rows.join(tables, "doc_id"))
+    sent = rows.agg(F.sum((F.col("n") + 32) * F.bit_count("tables"))).first()[0] or 0
+    parts = max(16, -(-(sent + sum(r.shingles * (groups[r.key] - 1) for r in hot)) // 1_000_000))
+    asked = maybe_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", id_filter(rows.select("doc_id")))
+    asked = asked.filter("_maybe").select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", "halves", "component", "tables")
+    placed = map_arrow(asked, _tiles(near.words, parts, groups), TILES).repartition(parts, "part")
+    return checkpointed(map_arrow(placed, _joined(near.percent), PAIRS))
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("seen_a", "seen_b"))
@@ -320,14 +465,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(found: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs of different components that the larger buckets leave open after the first round."""
-    some = found.filter("id is not null").select(F.col("id").alias("doc_id")).distinct()
-    rows = nodes.join(some, "doc_id", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = map_arrow(rows.select("doc_id", "n", "halves", "seen", "component"), _sent(parts), ENTRIES).repartition(parts, "part")
-    return map_arrow(placed, _next(percent), PAIRS)
-
-
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sketched = checkpointed(sketches(docs, near.words))
@@ -342,9 +479,13 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     found = checkpointed(map_arrow(placed, _met(near.percent), FOUND).unionAll(map_arrow(nodes, _local(near.percent), FOUND)))
     links = confirm(likely(found.filter("a is not null"), nodes), docs, near)
     labels = components(links)
-    more = likely(_open(found, nodes, labels, parts, near.percent), nodes)
+    more = rest(found, nodes, labels, docs, near)
     if not more.isEmpty():
-        labels = components(links.unionAll(confirm(more, docs, near)))
+        above = components(more)
+        alone = above.join(labels, "id", "left_anti")
+        sized = above.select(F.col("id").alias("component"), F.col("component").alias("top")).join(labels.groupBy("component").agg(F.count("*").alias("size")), "component")
+        labels = look_up(labels, "component", F.col("id").cast("string"), sized, "size").select("id", F.coalesce("top", "component").alias("component"))
+        labels = checkpointed(labels.unionAll(alone.select("id", "component")))
     # head is hot where copies are; look-ups spread such rows.
     heads = equal.filter("rows > 1").select("head", "rows").groupBy("head").agg(F.max("rows").alias("rows"))
     labels = labels.withColumnRenamed("id", "head").join(heads, "head", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))

@@ -181,6 +181,33 @@ def test_near_dedup(docs, texts, words):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in expected.items() if i == c)
 
 
+def _edited(count, length, edits, more, seed):
+    """Copies of one text, too heavily edited to be linked, and of each of them one that is."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    texts = []
+
+    def edit(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"e{rng.random()}"
+        return words
+
+    for _ in range(count):
+        texts.append(edit(base, edits))
+        texts.append(edit(texts[-1], more))
+    rng.shuffle(texts)
+    return {i: " ".join(w) for i, w in enumerate(texts)}
+
+
+@pytest.mark.parametrize("group", [1 << 16, 5000])
+def test_near_dedup_finds_links_hidden_in_large_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dedup, "GROUP", group, raising=False)  # the smaller one makes tiles
+    texts = _edited(300, 200, 3, 4, 7)
+    got = near_dedup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _classes(texts, 5, 80)
+
+
 def test_exact_dedup(docs, texts):
     groups = collections.defaultdict(list)
     for i, t in texts.items():
