@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.runtime import ship
 
 MOST_APART, LEAST_MOVED = 10.0, 0.01
+#: Steps whose pairs of frames are matched in one call.
+STEPS = 64
 OBJECT = "level long, step long, object int, color int, r0 int, c0 int, r1 int, c1 int, row double, col double, size int, cells array<int>"
 
 
@@ -81,16 +83,18 @@ def objects(frames: DataFrame, side: int) -> DataFrame:
 def tracked(found: DataFrame) -> DataFrame:
     """Moves from one step to the next: greedy, each object in order takes the nearest unused one of its colour.
 
-    Order decides, so a pair of frames is matched in one call; a frame has as many objects as
-    cells at most.
+    Order decides, so a pair of frames is matched in one call, with those of STEPS steps at most;
+    a frame has as many objects as cells at most.
     """
     ship(found.sparkSession)
 
     def match(key, f: pd.DataFrame) -> pd.DataFrame:
         out = []
-        steps = sorted(f["step"].unique())
-        for before, now in zip(steps, steps[1:], strict=False):
-            old, new = f[f["step"] == before].sort_values("object"), f[f["step"] == now].sort_values("object")
+        sides = {k: x.sort_values("object") for k, x in f.groupby(["now", "old"])}
+        for now in sorted({k[0] for k in sides}):
+            old, new = sides.get((now, True)), sides.get((now, False))
+            if old is None:
+                continue
             used: set[int] = set()
             for color in dict.fromkeys(old["color"]):
                 there = new[new["color"] == color]
@@ -105,7 +109,11 @@ def tracked(found: DataFrame) -> DataFrame:
                         out.append((key[0], now, o.object, color, best[1].object, round(best[1].row - o.row, 2), round(best[1].col - o.col, 2)))
         return pd.DataFrame(out, columns=["level", "step", "object", "color", "now_object", "d_row", "d_col"])
 
-    return found.drop("cells").groupBy("level").applyInPandas(match, "level long, step long, object int, color int, now_object int, d_row double, d_col double")
+    found = found.drop("cells")
+    after = found.select("level", "step").distinct().withColumn("now", F.lead("step").over(Window.partitionBy("level").orderBy("step"))).filter("now is not null")
+    old = found.join(after, ["level", "step"]).withColumn("old", F.lit(True))
+    sides = old.unionByName(found.withColumn("now", F.col("step")).withColumn("old", F.lit(False)))
+    return sides.groupBy("level", F.floor(F.col("now") / STEPS).alias("_steps")).applyInPandas(match, "level long, step long, object int, color int, now_object int, d_row double, d_col double")
 
 
 def carried(found: DataFrame) -> DataFrame:

@@ -477,28 +477,28 @@ def grid_diff(spark, d):
 
 @query()
 def grid_objects(spark, d):
-    return G.objects(frames(spark, d).filter("step < 5"), 8).select("level", "step", "color", "size", "r0", "r1")
+    return G.objects(frames(spark, d), 8).select("level", "step", "color", "size", "r0", "r1")
 
 
 @query()
 def grid_tracking(spark, d):
-    return G.tracked(G.objects(frames(spark, d).filter("step < 5"), 8))
+    return G.tracked(G.objects(frames(spark, d), 8))
 
 
 @query()
 def grid_state_hash(spark, d):
-    f = frames(spark, d).filter("step < 5")
+    f = frames(spark, d)
     return G.state_hash(G.objects(f, 8), G.background(f, 8))
 
 
 @query()
 def grid_adjacency(spark, d):
-    return G.adjacent(G.objects(frames(spark, d).filter("step < 5"), 8), 8)
+    return G.adjacent(G.objects(frames(spark, d), 8), 8)
 
 
 @query()
 def grid_identity(spark, d):
-    return G.carried(G.objects(frames(spark, d).filter("step < 5"), 8))
+    return G.carried(G.objects(frames(spark, d), 8))
 
 
 @query()

@@ -234,3 +234,23 @@ def test_walk_listing(spark):
 
     rows = spark.createDataFrame([(12, 3, 0.7121, "hello")], "idx long, hits long, mean_score double, text string")
     assert tuple(parse_listing(listing(rows)).first()) == (12, 3, 0.712, "hello")
+
+
+@pytest.mark.parametrize("name", ["grid_objects", "grid_tracking", "grid_state_hash", "grid_adjacency", "grid_identity"])
+def test_grid_queries_read_all_frames(spark, small, name):
+    from palimpsest.plans.queries import QUERIES, frames
+
+    folder = small.replace("sf0.001", "sf0.01")
+    f = frames(spark, folder)
+    last = {r.level: r.step for r in f.groupBy("level").agg(F.max("step").alias("step")).collect()}
+    got = {r.level: r.step for r in QUERIES[name](spark, folder).groupBy("level").agg(F.max("step").alias("step")).collect()}
+    assert min(last.values()) > 5 and set(got) == set(last) and all(got[k] > 5 for k in got)
+    if name in ("grid_objects", "grid_state_hash"):
+        assert got == last
+
+
+def test_tracked_goes_over_calls_and_gaps(spark, monkeypatch):
+    rows = [(0, step, 0, 1, float(step % 7), 0.0) for step in (0, 1, 2, 5, 6, 9)]
+    found = spark.createDataFrame([(*r, []) for r in rows], "level long, step long, object int, color int, row double, col double, cells array<int>")
+    monkeypatch.setattr(G, "STEPS", 3)
+    assert sorted((r.step, r.d_row) for r in G.tracked(found).collect()) == [(1, 1.0), (2, 1.0), (5, 3.0), (6, 1.0), (9, -4.0)]
