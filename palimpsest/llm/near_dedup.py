@@ -6,20 +6,22 @@ minima make TABLES^2 tables of 2 x ROWS rows; a pair of similarity 0.8 shares no
 probability of about 1 in 15,000.
 
 Documents with equal shingle sets are one class, and only classes are compared. Keys travel
-in arrays, one row a task and part. The first round pairs all documents of a key's bucket
-with the first, in one of eight orders, and in small buckets each with each. Candidates that
-sizes or the minima rule out go, the rest are confirmed on their full sets.
+in arrays, one row a task and part. The first round pairs all documents of a key's bucket with
+the first in one order of all documents, so that a hundred tables give few distinct pairs, and
+in buckets up to SMALL each with each. Where a batch alone has more than SMALL documents of a
+key, its first stands for them in other batches. Candidates whose sizes rule a link out go, and
+those whose minima agree on a share below `Near.seen`; the rest are confirmed on their full sets.
 
 The exact rest takes all documents of the larger buckets. They meet by the half-bands of the
 first collection, with their full sets, and every pair of different components that shares a
 key is compared there, once, unless sizes rule it out. A task joins components as it goes and
 returns only what it joined, so rows grow with the components and only comparisons with the
 squares of groups. Half-bands with more than GROUP shingles are dealt to groups by a hash of
-the id, and two groups meet in one tile, so that a task stays bounded.
+the id, the largest component of the half-band apart from the others: two groups meet in one
+tile, so that a task stays bounded, and groups of the largest component do not meet.
 
-In the first round a key that over KEEP documents of one batch share is thinned to KEEP before
-it is sent, and those left out are paired with the first of their batch only. Their bucket is a
-large one, so the exact rest compares them with all others; nothing is thinned there.
+Sets are held as 64-bit hashes of shingles, the hashes of whose words are polynomials of all
+their bytes; what is compared in full are these sets.
 
 Documents without words are linked with nothing. Rows with a null id are components of their
 own with a null component_id. Rows that repeat an id count as one node. Empty tables give no
@@ -42,21 +44,22 @@ from .shingles import LEFT, RIGHT, mix, shingle_sets
 TABLES, ROWS = 10, 2
 #: Buckets up to SMALL have each document paired with each in the first round.
 SMALL = 16
-#: Documents of a batch (of 4096) that a key is sent with in the first round.
-KEEP = 512
 #: Shingles of the documents that a half-band sends to one group of the exact rest.
 GROUP = 1 << 16
-#: Share of equal minima below which a pair of similarity 0.8 lies with a probability under 10^-5.
-SEEN = 0.5
 PAIRS = "a long, b long"
 
 
 @dataclass(frozen=True)
 class Near:
-    """Link at percent * union <= 100 * intersection of sets of `words` words."""
+    """Link at percent * union <= 100 * intersection of sets of `words` words.
+
+    seen: pairs of the first round with a smaller share of equal minima are not confirmed; at
+    0.5 that is a pair of similarity 0.8 with a probability under 10^-5, at 0 none.
+    """
 
     words: int = 5
     percent: int = 80
+    seen: float = 0.5
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def _halves(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _ordered(key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((mix(ids.astype(np.uint64) * np.uint64(8) + (key & np.uint64(7))), key))  # one of eight orders
+    order = np.lexsort((mix(ids.astype(np.uint64)), key))
     return key[order], ids[order], n[order]
 
 
@@ -155,7 +158,7 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-ENTRIES = "part int, keys binary, ids binary, sizes binary"
+ENTRIES = "part int, keys binary, ids binary, sizes binary, many binary"
 
 
 def _dealt(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -174,15 +177,17 @@ def _packed(rows: list[tuple[int, list[np.ndarray]]], names: str) -> pa.RecordBa
 
 
 def _sent(parts: int):
-    """Each batch's entries, thinned to KEEP a key, as arrays by part."""
+    """Each batch's entries as arrays by part; the first alone of keys that more than SMALL of the batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             key, ids, n = _keyed(b)
-            kept = _ramp(_runs(key)[1]) < KEEP
-            key, ids, n = key[kept], ids[kept], n[kept]
+            size = _runs(key)[1]
+            many = np.repeat(size > SMALL, size)
+            kept = ~many | (_ramp(size) == 0)
+            key, ids, n, many = key[kept], ids[kept], n[kept], many[kept]
             part = (key >> np.uint64(32)) % np.uint64(parts)
-            yield _packed(list(_dealt(part, parts, key, ids, n.astype(np.int32))), ENTRIES)
+            yield _packed(list(_dealt(part, parts, key, ids, n.astype(np.int32), many)), ENTRIES)
 
     return run
 
@@ -198,19 +203,23 @@ def _found(x: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "b", "id"])
 
 
-def _large(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    _, size = _runs(key)
-    return np.unique(ids[np.repeat(size > SMALL, size)])
+def _large(key: np.ndarray, ids: np.ndarray, many: np.ndarray | None = None) -> np.ndarray:
+    """The ids in buckets of more than SMALL; many: entries that stand for so many."""
+    start, size = _runs(key)
+    large = size > SMALL
+    if many is not None and len(start):
+        large |= np.logical_or.reduceat(many, start)
+    return np.unique(ids[np.repeat(large, size)])
 
 
 def _local(percent: int):
-    """What the keys that _sent thins give, within each batch."""
+    """What the keys for which _sent keeps the first give within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             key, ids, n = _keyed(b)
             _, size = _runs(key)
-            many = np.repeat(size > KEEP, size)
+            many = np.repeat(size > SMALL, size)
             key, ids, n = key[many], ids[many], n[many]
             yield _found(_candidates(key, ids, n, percent), _large(key, ids))
 
@@ -233,10 +242,11 @@ def _met(percent: int):
     """The first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _parts(batches, (np.uint64, np.int64, np.int32)):
-            key, ids, n = (np.concatenate(c) for c in columns)
-            key, ids, n = _ordered(key, ids, n.astype(np.int64))
-            yield _found(_candidates(key, ids, n, percent), _large(key, ids))
+        for columns in _parts(batches, (np.uint64, np.int64, np.int32, bool)):
+            key, ids, n, many = (np.concatenate(c) for c in columns)
+            order = np.lexsort((mix(ids.astype(np.uint64)), key))
+            key, ids, n, many = key[order], ids[order], n[order].astype(np.int64), many[order]
+            yield _found(_candidates(key, ids, n, percent), _large(key, ids, many))
 
     return run
 
@@ -257,31 +267,38 @@ def _half_bands(parts: int):
     return run
 
 
-TALLY = "id long, tables long, key long, shingles long"
+TALLY = "id long, tables long, key long, main long, most long, others long"
 
 
 def _tally(group: int):
-    """Of half-bands with several components: each id with a mask of its tables, and the keys of over group shingles."""
+    """Of half-bands with several components: each id with a mask of its tables, and the keys of
+    over group shingles, with their largest component, its shingles and those of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _parts(batches, (np.uint64, *[np.int64] * 4)):
             key, ids, heads, n, tables = (np.concatenate(c) for c in columns)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((heads, key))
             key, ids, heads, n, tables = (x[order] for x in (key, ids, heads, n, tables))
             start, size = _runs(key)
-            open_ = np.minimum.reduceat(heads, start) < np.maximum.reduceat(heads, start)
-            many = np.add.reduceat(n, start)
-            hot = open_ & (many > group)
+            open_ = heads[start] < heads[start + size - 1]
+            total = np.add.reduceat(n, start)
             some = np.repeat(open_, size)
+            hot = []
+            for k in np.flatnonzero(open_ & (total > group)).tolist():
+                own = slice(start[k], start[k] + size[k])
+                first = _runs(heads[own])[0]
+                each = np.add.reduceat(n[own], first)
+                top = int(each.argmax())
+                hot.append((int(key[start[k]].view(np.int64)), int(heads[own][first[top]]), int(each[top]), int(total[k] - each[top])))
             ids, bits = ids[some], np.int64(1) << tables[some]
             order = np.argsort(ids, kind="stable")
             ids, bits = ids[order], bits[order]
             first = _runs(ids)[0]
             masks = np.bitwise_or.reduceat(bits, first) if len(ids) else bits
             none = lambda k: pa.nulls(k, pa.int64())
-            held, more = (ids[first], masks), (key[start[hot]].view(np.int64), many[hot])
-            columns = [*(pa.concat_arrays([pa.array(c), none(len(more[0]))]) for c in held), *(pa.concat_arrays([none(len(first)), pa.array(c)]) for c in more)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "tables", "key", "shingles"])
+            held, more = (ids[first], masks), [np.array(c, np.int64) for c in (zip(*hot, strict=True) if hot else [()] * 4)]
+            columns = [*(pa.concat_arrays([pa.array(c), none(len(hot))]) for c in held), *(pa.concat_arrays([none(len(first)), pa.array(c)]) for c in more)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in TALLY.split(", ")])
 
     return run
 
@@ -289,8 +306,11 @@ def _tally(group: int):
 TILES = "part int, cells binary, places binary, sides binary, tables binary, heads binary, halves binary, sizes binary, shingles binary"
 
 
-def _tiles(words: int, parts: int, groups: dict[int, int]):
-    """Documents with their sets for each tile that they are in, as arrays by part; a part gets a batch's document once."""
+def _tiles(words: int, parts: int, groups: dict[int, tuple[int, int, int]]):
+    """Documents with their sets for each tile that they are in, as arrays by part; a part gets a batch's document once.
+
+    groups: of a hot half-band its largest component, the groups of that one and of the others.
+    """
 
     def dealt(half, ids, heads, masks, sets):
         cells, places, sides, tables = [], [], [], []
@@ -300,15 +320,19 @@ def _tiles(words: int, parts: int, groups: dict[int, int]):
 
         for t in range(TABLES):
             at = np.flatnonzero(masks >> t & 1)
-            many = np.array([groups.get(k, 1) for k in half[at, t].view(np.int64).tolist()], np.int64)
-            put(half[at[many == 1], t], at[many == 1], 0, t)
-            for g in np.unique(many[many > 1]).tolist():
-                own = at[many == g]
-                mine = (mix(ids[own].astype(np.uint64)) % np.uint64(g)).astype(np.int64)
-                for other in range(g):
-                    tile = (np.minimum(mine, other) * g + np.maximum(mine, other) + 1).astype(np.uint64)
-                    for side, of in ((0, mine == other), (1, mine < other), (2, mine > other)):
-                        put(mix(half[own[of], t] + tile[of] * LEFT), own[of], side, t)
+            hot = np.array([k in groups for k in half[at, t].view(np.int64).tolist()], bool)
+            put(half[at[~hot], t], at[~hot], 0, t)
+            for k in at[hot].tolist():
+                main, mains, others = groups[int(half[k, t].view(np.int64))]
+                draw, here = int(mix(ids[k : k + 1].astype(np.uint64))[0]), np.array([k])
+                # Groups of other components have the numbers from 0, those of the largest come after them.
+                if heads[k] == main:
+                    pairs = [(x, others + draw % mains, 2) for x in range(others)]
+                else:
+                    mine = draw % others
+                    pairs = [(min(mine, x), max(mine, x), (mine > x) + (mine != x)) for x in range(others + mains)]
+                for x, y, side in pairs:
+                    put(mix(half[here, t] + np.array([x * (others + mains) + y + 1], np.uint64) * LEFT), here, side, t)
         cells, places, sides, tables = (np.concatenate(x) for x in (cells, places, sides, tables))
         rows = []
         for p, (c, at, side, t) in _dealt((cells >> np.uint64(32)) % np.uint64(parts), parts, cells, places, sides, tables):
@@ -379,31 +403,34 @@ def rest(found: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame,
     rows = checkpointed(rows.select("doc_id", "n", "halves", F.coalesce("component", "doc_id").alias("component")))
     parts = max(16, -(-rows.count() * TABLES // 250_000))
     tally = checkpointed(map_arrow(map_arrow(rows, _half_bands(parts), HALVES).repartition(parts, "part"), _tally(GROUP), TALLY))
-    hot = tally.filter("key is not null").select("key", "shingles").collect()  # at most TABLES / GROUP of the shingles
-    groups = {r.key: -(-r.shingles // GROUP) for r in hot}
+    hot = tally.filter("key is not null").select("key", "main", "most", "others").collect()  # at most TABLES / GROUP of the shingles
+    groups = {r.key: (r.main, -(-r.most // GROUP), -(-r.others // GROUP)) for r in hot}
     tables = tally.filter("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.bit_or("tables").alias("tables"))
     rows = checkpointed(rows.join(tables, "doc_id"))
     sent = rows.agg(F.sum((F.col("n") + 32) * F.bit_count("tables"))).first()[0] or 0
-    parts = max(16, -(-(sent + sum(r.shingles * (groups[r.key] - 1) for r in hot)) // 1_000_000))
+    parts = max(16, -(-(sent + sum(r.most * groups[r.key][2] + r.others * sum(groups[r.key][1:]) for r in hot)) // 1_000_000))
     asked = maybe_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", id_filter(rows.select("doc_id")))
     asked = asked.filter("_maybe").select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", "halves", "component", "tables")
     placed = map_arrow(asked, _tiles(near.words, parts, groups), TILES).repartition(parts, "part")
     return checkpointed(map_arrow(placed, _joined(near.percent), PAIRS))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("seen_a", "seen_b"))
-        ok = (x == y).mean(1) >= SEEN if b.num_rows else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+def _likely(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("seen_a", "seen_b"))
+            ok = (x == y).mean(1) >= least if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+
+    return run
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The distinct pairs whose minima do not rule the link out."""
     seen = nodes.select("doc_id", "seen")
     p = pairs.select("a", "b").distinct()
     p = p.join(seen.withColumnsRenamed({"doc_id": "a", "seen": "seen_a"}), "a").join(seen.withColumnsRenamed({"doc_id": "b", "seen": "seen_b"}), "b")
-    return checkpointed(map_arrow(p, _likely, PAIRS))
+    return checkpointed(map_arrow(p, _likely(least), PAIRS))
 
 
 def _sets(words: int):
@@ -446,23 +473,57 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     return checkpointed(map_arrow(p.select("a", "b", "set_a", "set_b"), _confirmed(near.percent), PAIRS))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) for every node of the edges that is not the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[u], label[v]
+        open_ = x != y
+        if not open_.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (label[label] != label).any():
+            label = label[label]
+    below = label != np.arange(len(ids))
+    return ids[label[below]], ids[below]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: as many rows as it has nodes at most."""
+    held = np.zeros((2, 0), np.int64)
+    for b in batches:
+        held = np.stack(forest(*(np.concatenate(x) for x in zip(held, _longs(b, "a", "b"), strict=True))))
+    yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every node of the edges (a, b).
 
-    Each round a node takes the smallest label around it and then its label's label, so the
-    number of rounds grows with the logarithm of the longest chain.
+    Each task turns its edges to stars, every node takes its smallest root, and edges are
+    contracted to the roots of these pointers. Each round at least halves the nodes that
+    still have edges, so rounds grow with the logarithm of the nodes.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
+    edges = edges.select("a", "b")
     while True:
-        around = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("_i")).agg(F.min("component").alias("_c"))
-        step = labels.join(around, F.col("id") == F.col("_i")).select("id", F.least("component", "_c").alias("component"), F.col("component").alias("was"))
-        up = step.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
-        after = step.join(up, F.col("component") == F.col("_i"), "left").select("id", F.least("component", "_c").alias("component"), "was")
-        after = checkpointed(after)
-        labels = after.drop("was")
-        if after.filter("component <> was").isEmpty():
+        stars = checkpointed(map_arrow(edges.filter("a <> b"), _forests, PAIRS))
+        if stars.isEmpty():
             return labels
+        up = checkpointed(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        while True:  # pointers double until all end in roots
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            step = checkpointed(up.join(above, "root", "left"))
+            up = step.select("node", F.coalesce("top", "root").alias("root"))
+            if step.filter("top is not null").isEmpty():
+                break
+        low, high = (up.select(F.col("node").alias(c), F.col("root").alias("_" + c)) for c in ("a", "b"))
+        # A star that became one pointer, and whose root has none, is done.
+        edges = stars.join(high, "b").filter("_b <> a").join(low, "a", "left")
+        edges = checkpointed(edges.select(F.coalesce("_a", "a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
+        to = up.select(F.col("node").alias("component"), "root")
+        labels = checkpointed(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
 
 
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -477,7 +538,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     parts = max(16, -(-entries // 500_000))
     placed = map_arrow(nodes, _sent(parts), ENTRIES).repartition(parts, "part")
     found = checkpointed(map_arrow(placed, _met(near.percent), FOUND).unionAll(map_arrow(nodes, _local(near.percent), FOUND)))
-    links = confirm(likely(found.filter("a is not null"), nodes), docs, near)
+    links = confirm(likely(found.filter("a is not null"), nodes, near.seen), docs, near)
     labels = components(links)
     more = rest(found, nodes, labels, docs, near)
     if not more.isEmpty():
