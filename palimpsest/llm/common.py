@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Runs of anything but ASCII white space, the "words" of every size and shingle here.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -19,18 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder, its lineage cut.
+    """df written to the cluster's checkpoint folder (shared_folder), its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is chosen only where that is
-    unset (local runs). Spark's context cleaner owns the files.
+    Spark's context cleaner owns the files.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is chosen only where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or "/tmp/checkpoints"
+
+
 def draw(key: Column, salt: str) -> Column:
     """A reproducible 52-bit number for key (a string column)."""
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + salt))), 1, 13), 16, 10).cast("long")
@@ -85,7 +92,7 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema: str | StructType) -> DataFrame:
     """df.mapInArrow where Python workers can import this package from the driver's folder.
 
     Batches that would be larger than BATCH bytes are cut, unless the session says otherwise:

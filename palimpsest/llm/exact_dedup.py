@@ -7,6 +7,10 @@ from whole texts, so the sample stays small) range-partition the normalised byte
 external sort places equals side by side, and the sorted runs are told apart by comparing
 whole neighbouring texts. The row with the largest id stays (ids that are null come last).
 
+Groups are told apart by whole texts, in a batch as in a range; a row then finds its group's
+outcome by the SHA-256 of its text, which is trusted to name one text. Very long texts are
+compared and hashed whole.
+
 Empty tables give no rows. Rows that repeat both id and text count as one document: each is
 reported as kept by `classes`, and one of them stays in `dedup`. Columns of any name pass
 through `dedup`, held in a struct meanwhile.
@@ -21,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .common import checkpointed, look_up, map_arrow
 
@@ -36,23 +41,24 @@ def normalised(batch: pa.RecordBatch) -> tuple[pa.Array, list[str]]:
     return norm, [hashlib.sha256(x.as_buffer()).hexdigest() for x in norm]
 
 
-def _merged(batch: pa.RecordBatch, digests: list[str]) -> tuple[list[int], list[int]]:
+def _merged(batch: pa.RecordBatch, norm: pa.Array) -> tuple[list[int], list[int]]:
     """For each distinct text of the batch the row with its largest id, and its rows."""
-    best: dict[str, int] = {}
-    count: dict[str, int] = {}
+    best: dict[int, int] = {}
     ids = batch.column("doc_id").to_pylist()
-    for i, h in enumerate(digests):
-        j = best.get(h)
-        count[h] = count.get(h, 0) + 1
+    codes = norm.dictionary_encode().indices.to_pylist()  # by the texts themselves
+    count = [0] * len(codes)
+    for i, c in enumerate(codes):
+        j = best.get(c)
+        count[c] += 1
         if j is None or ids[i] is not None and (ids[j] is None or ids[i] > ids[j]):
-            best[h] = i
-    return list(best.values()), [count[h] for h in best]
+            best[c] = i
+    return list(best.values()), [count[c] for c in best]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         norm, digests = normalised(b)
-        rows, n = _merged(b, digests)
+        rows, n = _merged(b, norm)
         at = pa.array(rows, pa.int64())
         norm = norm.take(at)
         yield pa.RecordBatch.from_arrays([pc.binary_slice(norm, 0, PREFIX), pa.array([digests[i] for i in rows]), norm, b.column("doc_id").take(at), pa.array(n, pa.int64())], names=["prefix", "digest", "norm", "keep_id", "n"])
@@ -66,7 +72,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         norm, digests = normalised(b)
-        at = pa.array(_merged(b, digests)[0], pa.int64())
+        at = pa.array(_merged(b, norm)[0], pa.int64())
         prefix = pc.binary_slice(norm.take(at), 0, PREFIX)
         yield pa.RecordBatch.from_arrays([prefix, pa.array(digests, pa.string()).take(at), *(b.column(c).take(at) for c in ("doc_id", "text", "row"))], names=["prefix", "digest", "doc_id", "text", "row"])
 
@@ -94,8 +100,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without its copies, every column as it was."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    kind = held.schema["row"].dataType.simpleString()
-    out = map_arrow(held, _rows, f"prefix binary, digest string, doc_id long, text string, row {kind}").repartitionByRange("prefix", "digest")
+    schema = StructType([StructField("prefix", BinaryType()), StructField("digest", StringType()), *held.schema.fields])
+    out = map_arrow(held, _rows, schema).repartitionByRange("prefix", "digest")
     norm = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     run = Window.partitionBy("prefix", "digest", "norm").orderBy(F.col("doc_id").desc_nulls_last())
     out = out.withColumn("norm", norm).withColumn("_first", F.row_number().over(run)).filter("_first = 1")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import buckets_for, checkpointed, draw, map_arrow, running, slices
 
@@ -317,5 +318,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     key = F.concat_ws(":", F.col("doc_id").cast("string"), "piece", "start", "ids_crc32")
     numbered = running(cut.withColumn("_h", draw(key, "pack")), "length", "_h", ["doc_id", "piece", "start", "ids_crc32"], F.lit(1).cast("long"), buckets_for(int(counts.sum())), "_n")
     numbered = numbered.drop("_h").withColumn("_n", F.col("_n") - 1).select(*cut.columns, "_n")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return map_arrow(numbered, _placed(by_length), schema + ", sequence_id long, offset long")
+    schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return map_arrow(numbered, _placed(by_length), schema)

@@ -304,5 +304,4 @@ def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """docs, all columns, without the rows whose score is 0.5 or more."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
-    return map_arrow(held, _clean(model, names[docs.columns.index("text")]), schema).toDF(*docs.columns)
+    return map_arrow(held, _clean(model, names[docs.columns.index("text")]), held.schema).toDF(*docs.columns)
