@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from palimpsest.llm.common import table
+from palimpsest.llm.common import shared_folder, table
 
 #: Near copies: sets of five words, similarity 0.8.
 NEAR = near_dedup.Near(words=5, percent=80)
@@ -53,19 +53,26 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fitting, MinHash and tokenising have no SQL form; tests hold the stages against brute force.
+#: Fitting, MinHash and tokenising have no SQL form; tests hold each stage's operator, and the chain, against brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared checkpoint folder and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over documents, each written to the shared checkpoint folder and read again.
+
+    A folder that is named keeps every stage's rows, and stages that it holds in full are not
+    run again; else what a stage has read goes when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    at = folder or f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+            return stage(spark, docs, sf_dir)
+        if not files.exists(path(f"{at}/{k}/_SUCCESS")):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+        if k and folder is None:
+            files.delete(path(f"{at}/{k - 1}"), True)
     return docs
