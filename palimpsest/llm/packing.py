@@ -3,21 +3,28 @@
 Texts are encoded, an end token added, and documents over the capacity cut into pieces of
 the capacity (the first may be shorter). Only the number of pieces of each length, at most
 `capacity` numbers whatever the input, goes to the driver, where bin completion plans the
-sequences: around the longest piece left it enumerates undominated fillings of the rest,
-prunes branches by the waste they may still make, and keeps best-fit-decreasing as the first
-incumbent. A filling is used as often as the counts allow in one step, so a plan has few
-distinct fillings. Pieces are then numbered within their length, by buckets of a hash so
-that no task holds a length, and their number gives sequence and offset.
+sequences. Around the longest piece left it enumerates undominated fillings of the rest, those
+of least waste first and led to them by the sums that the pieces left can make. It branches
+over the fillings and over how often each is used, from as often as the counts allow downwards,
+and prunes by the waste and the lower bound of a packing that would be better than the best
+known, at first best-fit decreasing. `Search` bounds the search; without bounds (EXACT) it is
+complete, as dominated fillings and orders of the same sequences are all that it leaves out.
+It ends where the lower bound is met. Pieces are then numbered within their length, by buckets
+of a hash so that no task holds a length, and their number gives sequence and offset.
 
 A null text is empty; an empty text is its end token alone. Empty tables give no rows.
-Rows that repeat an id are packed each. Very long texts are encoded whole.
+Rows that repeat an id are packed each, and so are rows with a null id. Very long texts are
+encoded whole. Which of several pieces of one length takes which place follows a hash of id
+and text, so ties do not change the plan. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +35,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import buckets_for, checkpointed, draw, map_arrow, running, slices
 
 CAPACITY, END = 1024, 2
-#: Bounds of the search: fillings looked at around one piece, steps to find them, branches in all.
-FILLINGS, STEPS, BRANCHES = 4, 400, 4000
 #: Letters and signs on which all regex engines agree; other texts go to the slower library.
 _PLAIN = re.compile("[^\x00-\x7f\xa1-ɏ‐-‧‰-›€]")
 _ENCODERS: dict[str, Encoder] = {}
@@ -133,18 +138,32 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+@dataclass(frozen=True)
+class Search:
+    """Fillings looked at around one piece, and nodes of a pass; None: no bound.
+
+    Passes differ in the order of fillings: those of at most so much waste (`tolerances`) come
+    first, the ones with the longest pieces before others, which leaves short pieces for the end.
+    """
+
+    fillings: int | None = 4
+    nodes: int | None = 1200
+    tolerances: tuple[int, ...] = (8, 2, 16)
+
+
+EXACT = Search(None, None, (0,))
+
+
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Sequences that any packing needs: by total size, and by pieces too long to share one."""
     n = np.arange(capacity + 1)
-    sizes, best = counts * n, -(-int((counts * n).sum()) // capacity)
-    c, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sizes)])  # of lengths below
+    c, s = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * n))  # of lengths below
     half = capacity // 2
-    for a in range(1, half + 1):
-        alone, large = c[-1] - c[capacity - a + 1], c[capacity - a + 1] - c[half + 1]
-        room = large * capacity - (s[capacity - a + 1] - s[half + 1])
-        rest = s[half + 1] - s[a] - room
-        best = max(best, int(alone + large + max(0, -(-int(rest) // capacity))))
-    return best
+    a = n[1 : half + 1]
+    alone, large = c[-1] - c[capacity - a + 1], c[capacity - a + 1] - c[half + 1]
+    room = large * capacity - (s[capacity - a + 1] - s[half + 1])
+    rest = s[half + 1] - s[a] - room
+    return max(int((alone + large + np.maximum(0, -(-rest // capacity))).max(initial=0)), -(-int(s[-1]) // capacity))
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
@@ -194,47 +213,88 @@ def _dominated(f: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return fit(0)
 
 
-def fillings(counts: np.ndarray, space: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated sets of the pieces left that fill space, least waste first."""
+class Sums:
+    """The sums that pieces of the smallest lengths can make, as bits; kept while counts stay."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.mask = capacity, (1 << capacity + 1) - 1
+        self.known: list[tuple[int, int]] = []
+        self.reach = [1]  # reach[j]: with the j smallest lengths
+
+    def of(self, counts: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+        """The lengths up to most that are left, and how many of each could share a sequence."""
+        lengths = np.flatnonzero(counts[: most + 1])
+        many = np.minimum(counts[lengths], self.capacity // np.maximum(lengths, 1))
+        now = list(zip(lengths.tolist(), many.tolist(), strict=True))
+        same = next((i for i, (x, y) in enumerate(zip(now, self.known, strict=False)) if x != y), min(len(now), len(self.known)))
+        del self.reach[same + 1 :]
+        bits = self.reach[-1]
+        for length, left in now[same:]:
+            k = 1
+            while left:
+                k = min(k, left)
+                bits |= bits << length * k & self.mask
+                left, k = left - k, 2 * k
+            self.reach.append(bits)
+        self.known = now
+        return lengths.tolist(), many.tolist()
+
+
+def fillings(counts: np.ndarray, space: int, most_waste: int, sums: Sums, most: int | None = None, tolerance: int = 0) -> list[tuple[int, ...]]:
+    """Undominated sets of the pieces left that fill space: of a waste within the tolerance those
+    with the longest pieces first, then by waste. most: so many in all, and its share of each waste."""
     if space <= 0 or not counts[: space + 1].any():
-        return [()]
+        return [()] if space <= most_waste else []
     if counts[space]:
         return [(space,)]  # a perfect single piece dominates every other filling
-    lengths = np.flatnonzero(counts[: space + 1])[::-1].tolist()
-    smallest, found, steps = lengths[-1], [], 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, space, ())]
-    used: dict[tuple[int, ...], None] = {}
-    while stack and steps < STEPS:
-        at, left, held = stack.pop()
-        steps += 1
-        if left and counts[left] > held.count(left) and (not held or left <= held[-1]):
-            held, left = (*held, left), 0
-        if left < smallest or at >= len(lengths):
-            if held not in used:
-                used[held] = None
-                found.append((left, held))
-                if sum(w == 0 for w, _ in found) >= FILLINGS:
-                    break
-            continue
-        nxt = [k for k in range(at, len(lengths)) if lengths[k] <= left and counts[lengths[k]] > held.count(lengths[k])]
-        if not nxt:
-            used.setdefault(held)
-            found.append((left, held))
-            continue
-        # The longest that fits is tried first; a few shorter ones after it.
-        for k in reversed(nxt[:FILLINGS] if held else nxt[: 16 * FILLINGS]):
-            stack.append((k, left - lengths[k], (*held, lengths[k])))
-    found.sort(key=lambda x: (x[0], len(x[1])))
+    lengths, many = sums.of(counts, space)
+    reach = sums.reach
+
+    def exactly(j: int, total: int, held: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Sets of the j smallest lengths that make total."""
+        if not total:
+            yield held
+            return
+        for i in range(bisect_right(lengths, total, 0, j) - 1, -1, -1):
+            if not reach[i + 1] >> total & 1:
+                return  # nor can fewer lengths make it
+            length = lengths[i]
+            for k in range(min(many[i], total // length), 0, -1):
+                if reach[i] >> total - k * length & 1:
+                    yield from exactly(i, total - k * length, held + (length,) * k)
+
     kept: list[tuple[int, ...]] = []
-    for waste, f in found:
-        if (waste <= most_waste or not kept) and not any(_dominated(f, k) for k in kept):
-            kept.append(f)
-            if len(kept) == FILLINGS:
+    found: list[tuple[int, ...]] = []
+    each = most and -(-most // (tolerance + 1))
+    for waste in range(min(space, most_waste) + 1):
+        if most and waste > tolerance and found:
+            break
+        if any(counts[x] * x > space for x in lengths if x <= waste):
+            break  # from here on another piece always fits
+        here = 0
+        for looked, f in enumerate(exactly(len(lengths), space - waste, ())):
+            if each and looked == 4 * each:
                 break
+            if any(n > f.count(x) for x, n in zip(lengths, many, strict=True) if x <= waste):
+                continue  # another piece fits
+            found.append(f)
+            here += 1
+            if here == each:
+                break
+        if waste >= tolerance and found:
+            for f in sorted(found, reverse=True) if waste == tolerance or most else found:
+                if not any(_dominated(f, k) for k in kept):
+                    kept.append(f)
+                    if len(kept) == most:
+                        return kept
+            found = []
+    for f in sorted(found, reverse=True):
+        if len(kept) != most and not any(_dominated(f, k) for k in kept):
+            kept.append(f)
     return kept
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, search: Search = Search()) -> Plan:
     """A packing of counts[length] pieces of each length into as few sequences as the search finds."""
     counts = counts.astype(np.int64)
     total = int((counts * np.arange(capacity + 1)).sum())
@@ -242,35 +302,49 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
         return []
     best = best_fit_decreasing(counts, capacity)
     fewest, least = sum(t for _, t in best), lower_bound(counts, capacity)
-    if fewest == least:
-        return best
-    branches = 0
-    stack: list[tuple[np.ndarray, Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and branches < BRANCHES and fewest > least:
-        left, plan, waste, used = stack.pop()
-        branches += 1
-        longest = int(np.flatnonzero(left)[-1]) if left.any() else 0
-        if not longest:
-            if used < fewest:
-                best, fewest = plan, used
-            continue
-        allowed = (fewest - 1) * capacity - total  # waste of a packing that would be better
-        if waste > allowed:
-            continue
+    sums, seen = Sums(capacity), {}  # seen: the fewest sequences with which the same pieces were left
+
+    def options(tolerance: int, left: np.ndarray, plan: Plan, waste: int, used: int, banned: frozenset) -> Iterator[tuple]:
+        """The nodes below one; banned: fillings of its longest piece that were used as often as they are to be."""
+        longest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[longest] -= 1
-        options = fillings(rest, capacity - longest, allowed - waste)
-        for f in reversed(options):
+        allowed = (fewest - 1) * capacity - total - waste  # of a packing that would be better
+        for f in fillings(rest, capacity - longest, allowed, sums, search.fillings and search.fillings + len(banned), tolerance):
             held = (longest, *f)
+            if held in banned:
+                continue
             per = {x: held.count(x) for x in held}
-            times = min(int(left[x]) // k for x, k in per.items())
-            lost = (capacity - sum(held)) * times
-            if waste + lost > allowed:
+            lost = capacity - sum(held)
+            most = min(int(left[x]) // k for x, k in per.items())
+            perfect = not lost and len(held) <= 2  # no packing is worse for such pairs
+            for times in (most,) if perfect else range(most, 0, -1):
+                if waste + lost * times > (fewest - 1) * capacity - total:
+                    continue
+                after = left.copy()
+                for x, k in per.items():
+                    after[x] -= k * times
+                yield after, [*plan, (held, times)], waste + lost * times, used + times, banned | {held} if after[longest] else frozenset()
+
+    for tolerance in search.tolerances:
+        stack, nodes = [iter([(counts, [], 0, 0, frozenset())])], 0
+        seen.clear()
+        while stack and fewest > least and nodes != search.nodes:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+                continue
+            left, plan, waste, used, banned = node
+            nodes += 1
+            if not left.any():
+                if used < fewest:
+                    best, fewest = plan, used
+                continue
+            state = left.tobytes() + repr(sorted(banned)).encode() * bool(banned)
+            if seen.get(state, fewest) <= used or used + lower_bound(left, capacity) >= fewest:
                 continue
-            after = left.copy()
-            for x, k in per.items():
-                after[x] -= k * times
-            stack.append((after, [*plan, (held, times)], waste + lost, used + times))
+            seen[state] = used
+            stack.append(options(tolerance, left, plan, waste, used, banned))
     return best
 
 
@@ -308,13 +382,13 @@ def _placed(by_length: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, search: Search = Search()) -> DataFrame:
     """The pieces of docs with sequence_id and offset."""
     cut = checkpointed(pieces(docs, path, capacity, end, keep_ids))
     counts = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").count().collect():  # one row a length: `capacity` at most
         counts[r["length"]] = r["count"]
-    by_length = places(bin_completion(counts, capacity))
+    by_length = places(bin_completion(counts, capacity, search))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), "piece", "start", "ids_crc32")
     numbered = running(cut.withColumn("_h", draw(key, "pack")), "length", "_h", ["doc_id", "piece", "start", "ids_crc32"], F.lit(1).cast("long"), buckets_for(int(counts.sum())), "_n")
     numbered = numbered.drop("_h").withColumn("_n", F.col("_n") - 1).select(*cut.columns, "_n")
