@@ -38,6 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found or "/tmp/checkpoints"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def draw(key: Column, salt: str) -> Column:
     """A reproducible 52-bit number for key (a string column)."""
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + salt))), 1, 13), 16, 10).cast("long")

@@ -2,12 +2,17 @@
 
 Every source is a queue of its documents in a reproducible shuffled order, as many rounds of
 it as a document may be repeated. A copy's virtual finish time is the source's tokens up to
-and with that copy, divided by the source's target. All copies sorted by finish time and cut
-at the total budget give every source its share to within the documents that straddle the cut.
+and with that copy, divided by the source's target. All copies are range-sorted by finish time
+and cut at the total budget: sums of the ranges and their running sum name the range in which
+the budget ends, and only that one is summed copy by copy. So every source gets its share to
+within the documents that straddle the cut.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; rows with
-a null id are shuffled by their text. Rows that repeat an id are taken or left together.
-An empty table gives an empty mix. Other columns, whatever their names, pass through `mix`.
+a null id are shuffled by their text. Rows that repeat an id are taken or left together; ties
+in finish time go by the source's rank, the copy, the place in the shuffle and the id. Texts of
+any length are one document each, empty ones of size 0. An empty table gives an empty mix.
+Other columns, whatever their names, pass through `mix`. Sources, a row each, are ranked and
+filled up in one task: they may be millions, not billions.
 """
 
 from __future__ import annotations
@@ -18,7 +23,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, buckets_for, checkpointed, draw, key_of, running
+from .common import WORDS, buckets_for, checkpointed, draw, key_of, look_up, running
+
+#: Sources whose cuts are broadcast; of more sources the rows that are not in the largest are shuffled.
+BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
@@ -82,18 +90,20 @@ def plan(docs: DataFrame, w: Weights = Weights()) -> Mix:
         queue.filter("target > 0").withColumn("copy", copies)
         .withColumn("finish", (F.col("cum") + F.col("copy") * F.col("source_size")).cast("double") / F.col("target"))
     )
-    # Copies that finish by time 1 are within every target, so the cut lies just after it: what
-    # is left then is less than one document a source, and only the next few can be below it.
-    on_time = queue.filter("finish <= 1").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("x")).first().x
-    budget, slack = shares.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum("largest"), F.lit(0))).first()
-    left = round(budget) - on_time
-    near = 1 + 4.0 * (left + slack) / max(budget, 1.0)
-    late = queue.filter((F.col("finish") > 1) & (F.col("finish") <= near))
-    order = Window.orderBy("finish", "rank", "copy", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    over = late.withColumn("sum", F.sum("size").over(order)).filter(F.col("sum") > left)
-    first_out = over.agg(F.min(F.struct("finish", "rank", "copy", "h", "doc_id")).alias("x")).first().x
-    end = (near, 0, 0, 0) if first_out is None else tuple(first_out)[:4]
-    taken = queue.filter(F.struct("finish", "rank", "copy", "h") < F.struct(F.lit(float(end[0])), F.lit(end[1]), F.lit(end[2]), F.lit(end[3]).cast("long")))
+    budget = round(shares.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("x")).first().x)
+    order = ["finish", "rank", "copy", "h", "doc_id"]
+    dealt = queue.select(*order, "size").repartitionByRange(buckets_for(2 * rows, 1 << 17, 8), *order)
+    dealt = checkpointed(dealt.withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum("size").alias("sum"), F.min(F.struct(*order)).alias("first"))
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))  # a row a range
+    where = sums.filter(F.col("before") + F.col("sum") > budget).orderBy("first").first()
+    end = None
+    if where is not None:
+        upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        over = dealt.filter(F.col("range") == where["range"]).withColumn("sum", F.sum("size").over(upto) + F.lit(where["before"]))
+        end = over.filter(F.col("sum") > budget).agg(F.min(F.struct(*order[:4])).alias("x")).first().x
+    taken = dealt if end is None else dealt.filter(F.struct(*order[:4]) < F.struct(F.lit(end.finish), F.lit(end["rank"]), F.lit(end["copy"]), F.lit(end.h).cast("long")))
     cuts = taken.groupBy("rank", "copy").agg(F.max("h").alias("last"))
     cuts = cuts.groupBy("rank").agg(F.collect_list("last").alias("cuts"))  # one number a copy: `repeats` at most
     return Mix(sized, shares, checkpointed(shares.join(cuts, "rank", "left")))
@@ -102,11 +112,17 @@ def plan(docs: DataFrame, w: Weights = Weights()) -> Mix:
 def copies_taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds to rows (source, h) the number of copies that the mix takes.
 
-    cuts has a row a source; it is broadcast only where Spark knows it to be small.
+    cuts has a row a source and is broadcast up to BROADCAST rows; beyond, only the largest
+    sources are, and the rows of others are spread over the shuffle.
     """
     n = F.size(F.filter(F.coalesce(F.col("cuts"), F.array().cast("array<bigint>")), lambda c: F.col("h") <= c))
-    by = cuts.withColumnRenamed("source", "_s")
-    return rows.join(by, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("copies", n).drop("_s", "cuts")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    if cuts.count() <= BROADCAST:
+        by = F.broadcast(cuts.withColumnRenamed("source", "_s"))
+        return rows.join(by, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("copies", n).drop("_s", "cuts", "rank", "largest")
+    found = cuts.select(name.alias("_name"), F.col("source_size").alias("_size"), *(c for c in cuts.columns if c != "source"))
+    out = look_up(rows.withColumn("_name", name), "_name", F.col("h").cast("string"), found, "_size")
+    return out.withColumn("copies", n).drop("_name", "_size", "cuts", "rank", "largest")
 
 
 def mix(docs: DataFrame, w: Weights = Weights()) -> DataFrame:
