@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from palimpsest.llm.common import shared_folder, table
+from palimpsest.llm.common import drop_folder, shared_folder, table
 
 #: Near copies: sets of five words, similarity 0.8.
 NEAR = near_dedup.Near(words=5, percent=80)
@@ -74,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFram
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
         if k and folder is None:
-            files.delete(path(f"{at}/{k - 1}"), True)
+            drop_folder(spark, f"{at}/{k - 1}")
     return docs
