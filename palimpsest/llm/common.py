@@ -115,6 +115,18 @@ def map_arrow(df: DataFrame, f, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores where their files have fewer splits than there are cores.
+
+    Such a table is small, or its files cannot be split; others stay where they are.
+    """
+    plan = rows._jdf.queryExecution().executedPlan()
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    if "Adaptive" in plan.getClass().getSimpleName() or plan.execute().getNumPartitions() >= n:
+        return rows
+    return rows.repartition(n)
+
+
 #: Bits of the id filter: a hashed bitmap of this size, whatever the number of ids.
 FILTER_BITS = 1 << 26
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, slices
+from .common import map_arrow, slices, spread
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: What may end a tag, or begin a value in quotation marks inside it.
@@ -328,4 +328,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    return map_arrow(pages.select("page_id", "url", "html"), _extract, f"page_id {kind}, url string, text string, n_chars long")
+    return map_arrow(spread(pages.select("page_id", "url", "html")), _extract, f"page_id {kind}, url string, text string, n_chars long")

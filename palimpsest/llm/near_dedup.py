@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_filter, look_up, map_arrow, maybe_in, slices
+from .common import checkpointed, id_filter, look_up, map_arrow, maybe_in, slices, spread
 from .shingles import LEFT, RIGHT, mix, shingle_sets
 
 TABLES, ROWS = 10, 2
@@ -99,7 +99,7 @@ def _sketch(words: int):
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (shingles), same (digest of the set), halves (half-bands), seen (minima, shortened)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(rows, _sketch(words), "doc_id long, n long, same binary, halves binary, seen binary")
+    return map_arrow(spread(rows), _sketch(words), "doc_id long, n long, same binary, halves binary, seen binary")
 
 
 def _keyed(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:

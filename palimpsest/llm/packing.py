@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import buckets_for, checkpointed, draw, map_arrow, running, slices
+from .common import buckets_for, checkpointed, draw, map_arrow, running, slices, spread
 
 CAPACITY, END = 1024, 2
 #: Letters and signs on which all regex engines agree; other texts go to the slower library.
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return map_arrow(docs.select("doc_id", "text"), _encode(path, capacity, end, keep_ids), schema)
+    return map_arrow(spread(docs.select("doc_id", "text")), _encode(path, capacity, end, keep_ids), schema)
 
 
 Plan = list[tuple[tuple[int, ...], int]]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, slices, spread
 
 BATCH_BYTES = 1 << 20
 CACHE = 300_000
@@ -111,5 +111,5 @@ def _counter(path: str):
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = map_arrow(docs.select("doc_id", "text"), _counter(path), f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = map_arrow(spread(docs.select("doc_id", "text")), _counter(path), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -336,18 +336,24 @@ def test_misspellings_and_quotations():
     lexicon = toxicity.Lexicon(model["terms"], model["known"])
     b = np.array(model["b"])
     of = lambda t: float(toxicity.features(t, lexicon) @ b)
-    assert of("you scoundrel") > 0 > of("you friend") and of("you scuondrel") < of("you scoundre1")
-    assert of("you sc0undrel") > of("you friend")
+    assert of("you scoundrel") > 0 > of("you friend") and of("you scuondrel") == of("you scoundre1")
+    assert of("you sc0undrel") > of("you friend") and of("you scuodnrle") == of("you friend")
     assert of('he said "scoundrel" to him') < of("you scoundrel")
+    kind = lambda t: np.flatnonzero(toxicity.features(t, lexicon)[1:]).tolist()
+    assert kind("you scoundrel") == [0] and kind("you scoundre1") == kind("you scuondrel") == [2]
+    assert kind('he typed "scoundre1" to him') == kind("he typed \u2018scuondrel\u2019, no more") == kind("he said scoundrel") == [1]
+    assert kind("'tis you scoundrel of the players' lot") == kind('"yes" you scoundrel "no"') == [0]
+    assert kind('a "scoundrel" is a scoundrel') == [0]
 
 
 def _distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_automaton_against_distance():
