@@ -3,23 +3,28 @@
 A rolling hash picks triggers: of every string of LENGTH bytes the K-gram with the least hash.
 Windows (the strings of LENGTH bytes, by their start) that have one trigger in common, next to
 each other, make a phrase; its bytes are all that its windows hold. Equal windows have equal
-triggers, so they lie in phrases of the same trigger: the parse turns a corpus into phrases,
-equal phrases are one entry of the dictionary with the smallest document that has it, and only
-dictionary entries whose trigger another document has too are sorted by their suffixes, here
-to the depth LENGTH that matters. Each window learns whether a smaller document has it.
+triggers, so they lie in phrases of the same trigger. The dictionary holds each distinct phrase
+once, and what the parse says of it, the smallest document that it occurs in. The suffixes of
+the dictionary are put in order by their bytes; suffixes next to each other that share LENGTH
+bytes, with the documents that the parse gives their phrases, say which windows a smaller
+document has. The order of what follows a phrase in the parse decides only between suffixes
+that share more than LENGTH bytes, on which nothing here depends, so it is not taken.
 
     1. Documents are dealt to blocks of about BLOCK bytes and written once, compressed;
        triggers are dealt to parts, about one for each PART bytes of text.
     2. Each block sends its triggers, 5 bytes each; which of them other blocks have comes back
        as a bitmap.
-    3. Each block sends the distinct phrases of shared triggers; a mask of repeated windows
-       comes back for each. Windows are compared by hash first and then byte by byte.
+    3. Each block sends the distinct phrases of shared triggers. A part merges equal phrases,
+       leaves out the suffixes whose LENGTH bytes have a hash of their own, sorts the others, and
+       a mask of repeated windows comes back for each phrase.
     4. Each block covers the repeated windows and gives spans, or the bytes that stay.
 
-Rows are few and hold arrays, so a trigger or phrase that a third of all documents share
-costs one entry a block. Null texts are empty; texts shorter than LENGTH lose nothing; rows
-with null ids come after all others and, like rows that repeat an id, do not remove from each
-other. Empty tables give no rows.
+Phrases are equal, and suffixes share bytes, where the bytes themselves agree; hashes only choose
+what is compared. Rows are few and hold arrays, so a trigger or phrase that a third of all
+documents share costs one entry a block. Null texts are empty; texts shorter than LENGTH lose
+nothing and very long ones are taken whole; a null id comes after all others (a document with the
+largest possible id beside it), and rows that repeat an id, or have none, do not remove from each
+other. Empty tables give no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -61,11 +66,12 @@ def _dealt(blocks: int):
             ids = np.array([LAST if i is None else i for i in b.column("doc_id").to_pylist()], np.int64)
             texts = [b"" if t is None else t for t in b.column("text").cast(pa.binary()).to_pylist()]
             size = np.array([len(t) for t in texts], np.int64)
+            none = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             block = (mix(ids.astype(np.uint64) + (ids == LAST) * size.astype(np.uint64)) >> np.uint64(8)) % np.uint64(blocks)
             rows = []
             for p in np.unique(block):
                 at = np.flatnonzero(block == p)
-                rows.append({"block": int(p), "ids": ids[at].tobytes(), "sizes": size[at].tobytes(), "data": _pack(b"".join(texts[i] for i in at))})
+                rows.append({"block": int(p), "ids": ids[at].tobytes(), "sizes": np.where(none, -size - 1, size)[at].tobytes(), "data": _pack(b"".join(texts[i] for i in at))})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
@@ -78,8 +84,8 @@ _SCHEMA = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.b
 class Phrases:
     """The parse of a block: for each phrase its document, first window, windows and trigger's hash."""
 
-    def __init__(self, ids: np.ndarray, size: np.ndarray, data: np.ndarray):
-        self.ids, self.data = ids, data
+    def __init__(self, ids: np.ndarray, size: np.ndarray, data: np.ndarray, none: np.ndarray | None = None):
+        self.ids, self.data, self.none = ids, data, none
         self.end = np.cumsum(size)
         self.begin = self.end - size
         parts = [self._chunk(a, b) for a, b in self._chunks()]
@@ -134,11 +140,13 @@ def _block(row: dict) -> Phrases:
     """A block's parse; documents in order of id, so that all steps see the same order."""
     ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in row["texts"]])
     size = np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in row["texts"]])
+    none = size < 0  # rows without an id
+    size = np.where(none, -size - 1, size)
     data = b"".join(_unpack(r["data"]) for r in row["texts"])
     end = np.cumsum(size)
     texts = [data[e - s : e] for s, e in zip(size.tolist(), end.tolist(), strict=True)]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return Phrases(ids[order], size[order], np.frombuffer(b"".join(texts[i] for i in order), np.uint8))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], none[i], texts[i]))
+    return Phrases(ids[order], size[order], np.frombuffer(b"".join(texts[i] for i in order), np.uint8), none[order])
 
 
 def _stable(small: np.ndarray) -> np.ndarray:
@@ -174,10 +182,9 @@ def _triggers(parts: int):
                 found = Triggers(_block(row), parts)
                 key, cut = found.key, found.cut
                 rows = []
-                for p in range(parts):
+                for p in np.flatnonzero(np.diff(cut)).tolist():
                     x = _short(key[cut[p] : cut[p + 1]], parts)
-                    if len(x):
-                        rows.append({"block": row["block"], "part": p, "data": (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()})
+                    rows.append({"block": row["block"], "part": p, "data": (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
 
@@ -229,12 +236,12 @@ class Dictionary:
         self.rows = np.sort(found.order[shared[found.own]])
         # Equal phrases: the first has the smallest document, as documents are in order.
         trigger = p.trigger[self.rows]
-        _, first, entry = np.unique(mix(trigger * LEFT + p.content[self.rows]), return_index=True, return_inverse=True)
+        first, entry = _equal(mix(trigger * LEFT + p.content[self.rows]), p.first[self.rows], p.windows[self.rows], p.data)
         part = trigger[first] % np.uint64(parts)
         by = _stable(part)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        self.entry = rank[entry.ravel()]
+        self.entry = rank[entry]
         self.first = self.rows[first[by]]  # the phrase that each entry stands for
         self.cut = np.searchsorted(part[by], np.arange(parts + 1))
 
@@ -252,52 +259,107 @@ def _entries(parts: int):
                 p = _block(row)
                 d = Dictionary(p, row["shared"] or [], parts)
                 rows = []
-                for part in range(parts):
+                for part in np.flatnonzero(np.diff(d.cut)).tolist():
                     at = d.first[d.cut[part] : d.cut[part + 1]]
-                    if len(at):
-                        head = np.array([len(at)], np.int64).tobytes() + p.ids[p.doc[at]].tobytes() + p.windows[at].astype(np.uint8).tobytes()
-                        rows.append({"block": row["block"], "part": part, "data": _pack(head + _gather(p.data, p.first[at], p.windows[at] + LENGTH - 1))})
+                    head = np.array([len(at)], np.int64).tobytes() + p.ids[p.doc[at]].tobytes() + p.windows[at].astype(np.uint8).tobytes()
+                    rows.append({"block": row["block"], "part": part, "data": _pack(head + _gather(p.data, p.first[at], p.windows[at] + LENGTH - 1))})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
 
     return run
 
 
-def repeated(ids: np.ndarray, windows: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each dictionary entry the mask of its windows that an entry of a smaller document has."""
+def _words(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as numbers in the order of the bytes."""
+    return np.ndarray((max(len(data) - 7, 0),), ">u8", data if data.flags.c_contiguous else data.copy(), 0, (1,))
+
+
+def _equal(hashed: np.ndarray, first: np.ndarray, windows: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal phrases, and the number of each phrase's set."""
+    if not len(hashed):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, head, entry = np.unique(hashed, return_index=True, return_inverse=True)
+    entry = entry.ravel()
+    twin = head[entry]
+    some = np.flatnonzero(twin != np.arange(len(twin)))
+    same = windows[some] == windows[twin[some]]
+    word, last = _words(data), windows[some] + LENGTH - 9
+    for k in range(0, LENGTH + LENGTH - K, 8):  # the last of the words overlap
+        at = np.minimum(k, last)
+        same &= word[first[some] + at] == word[np.minimum(first[twin[some]] + at, len(word) - 1)]
+    if same.all():
+        return head, entry
+    found: dict[bytes, int] = {}  # phrases that have a hash in common are told apart by their bytes
+    head = []
+    for i, (a, n) in enumerate(zip(first.tolist(), windows.tolist(), strict=True)):
+        entry[i] = k = found.setdefault(data[a : a + n + LENGTH - 1].tobytes(), len(head))
+        if k == len(head):
+            head.append(i)
+    return np.array(head, np.int64), entry
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each window of phrases that lie one after another, and of each phrase."""
     size = windows + LENGTH - 1
-    end = np.cumsum(size)
-    begin = end - size
-    entry = np.repeat(np.arange(len(ids)), windows)
     first = np.cumsum(windows) - windows
-    within = np.arange(len(entry)) - np.repeat(first, windows)
-    at = begin[entry] + within
-    suffix = np.empty(len(at), np.uint64)
+    suffix, whole = np.empty(int(windows.sum()), np.uint64), np.empty(len(windows), np.uint64)
     a = 0
-    while a < len(ids):  # a chunk of entries at a time
-        b = max(a + 1, int(np.searchsorted(end, begin[a] + CHUNK, "right")))
-        prefix = sums(data[begin[a] : end[b - 1]])
-        own = slice(first[a], first[b - 1] + windows[b - 1])
-        x = at[own] - begin[a]
-        suffix[own] = mix((prefix[x + LENGTH] - prefix[x]) * powers(len(prefix))[1][x])
+    while a < len(windows):  # a chunk of phrases at a time
+        b = max(a + 1, int(np.searchsorted(begin + size, begin[a] + CHUNK, "right")))
+        prefix = sums(data[begin[a] : begin[b - 1] + size[b - 1]])
+        inverse = powers(len(prefix))[1]
+        own = begin[a:b] - begin[a]
+        whole[a:b] = mix((prefix[own + size[a:b]] - prefix[own]) * inverse[own] + size[a:b].astype(np.uint64))
+        x = np.repeat(own - first[a:b] + first[a], windows[a:b]) + np.arange(windows[a:b].sum())
+        suffix[first[a] : first[b - 1] + windows[b - 1]] = mix((prefix[x + LENGTH] - prefix[x]) * inverse[x])
         a = b
-    order = np.lexsort((ids[entry], suffix))
-    hashed, owner, place = suffix[order], ids[entry[order]], at[order]
-    start = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(hashed)]])))
-    found = owner > owner[start][group] if len(hashed) else np.zeros(0, bool)
-    some = np.flatnonzero(found)
-    step = np.arange(LENGTH)
-    for a in range(0, len(some), 1 << 13):
-        part = some[a : a + (1 << 13)]
-        equal = (data[place[part][:, None] + step] == data[place[start[group[part]]][:, None] + step]).all(1)
-        for i in part[~equal]:  # another string with the same hash: look for it among all of the group
-            peers = np.flatnonzero(hashed == hashed[i])
-            text = data[place[i] : place[i] + LENGTH]
-            found[i] = any(owner[j] < owner[i] and (data[place[j] : place[j] + LENGTH] == text).all() for j in peers)
-    hit = np.zeros(len(entry), np.uint32)
-    hit[order[found]] = 1
-    return np.add.reduceat(hit << within.astype(np.uint32), first).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
+    return suffix, whole
+
+
+def suffix_order(at: np.ndarray, ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at `at` by their first LENGTH bytes (of equals the
+    smallest document first), and for each but the first whether it shares them with the one before."""
+    word = _words(data)
+    keys = [word[at + k].astype(np.uint64) for k in (*range(0, LENGTH - 7, 8), LENGTH - 8)]
+    order = np.lexsort((ids, *keys[::-1]))
+    shared = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        x = k[order]
+        shared &= x[1:] == x[:-1]
+    return order, shared
+
+
+def repeated(ids: np.ndarray, windows: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each phrase (they lie one after another) the mask of its windows that a smaller document has."""
+    if not len(ids):
+        return np.zeros(0, np.uint32)
+    begin = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
+    hashed, whole = _hashes(data, begin, windows)
+    place = np.cumsum(windows) - windows
+    by = np.argsort(ids, kind="stable")  # so the first of equal phrases has the smallest document
+    head, entry = _equal(whole[by], begin[by], windows[by], data)
+    head = by[head]
+    own = np.empty(len(by), np.int64)
+    own[by] = entry
+    # The dictionary: the distinct phrases and their suffixes of LENGTH bytes or more.
+    n = windows[head]
+    first = np.cumsum(n) - n
+    phrase = np.repeat(np.arange(len(head)), n)
+    within = np.arange(len(phrase)) - first[phrase]
+    hashed = hashed[place[head][phrase] + within]
+    order = np.argsort(hashed)
+    twice = np.concatenate([[False], hashed[order][1:] == hashed[order][:-1]])
+    twice[:-1] |= twice[1:]
+    some = np.sort(order[twice])  # another suffix may share its LENGTH bytes
+    hit = np.zeros(len(phrase), np.uint32)
+    if len(some):
+        owner = ids[head][phrase[some]]
+        order, shared = suffix_order((begin[head][phrase] + within)[some], owner, data)
+        start = np.flatnonzero(np.concatenate([[True], ~shared]))
+        least = np.repeat(owner[order][start], np.diff(np.concatenate([start, [len(order)]])))
+        hit[some[order[owner[order] > least]]] = 1
+    mask = np.add.reduceat(hit << within.astype(np.uint32), first).astype(np.uint32)
+    return np.where(ids > ids[head][own], np.uint32(0xFFFFFFFF), mask[own])
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,11 +402,11 @@ def _removed(parts: int, keep_text: bool):
                 p = _block(row)
                 gone = covered(p, Dictionary(p, row["shared"] or [], parts), row["masks"] or [])
                 out = []
-                for i, s, e in zip(p.ids.tolist(), p.begin.tolist(), p.end.tolist(), strict=True):
+                for i, null, s, e in zip(p.ids.tolist(), p.none.tolist(), p.begin.tolist(), p.end.tolist(), strict=True):
                     own = gone[s:e]
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
                     kept = p.data[s:e][~own].tobytes() if len(edge) else p.data[s:e].tobytes()
-                    out.append((None if i == LAST else i, e - s, edge[::2], edge[1::2], hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+                    out.append((None if null else i, e - s, edge[::2], edge[1::2], hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
                     if len(out) == 2000:
                         yield _result(out, keep_text)
                         out = []
