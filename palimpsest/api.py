@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.runtime import checkpointed
 from .operators import build, federate, filters, search
 from .operators.walk import walk
 from .sources import readers
@@ -109,6 +110,9 @@ class Engine:
     def unmount(self, name: str) -> None:
         del self.mounted[name]
 
+    def total_patterns(self) -> int:
+        return sum(m.patterns.count() for m in self.mounted.values())
+
     def status(self) -> list[dict]:
         return [{"collection": n, "role": m.role, "patterns": m.patterns.count(), "holder": m.lock.agent} for n, m in self.mounted.items()]
 
@@ -143,8 +147,20 @@ class Engine:
     def passage_links(self, name: str, idx: int) -> DataFrame:
         return build.passage_links(self._of(name)).filter(F.col("idx") == idx)
 
-    def store(self, name: str, content: str, tags: str = "", meta: dict[str, str] | None = None) -> int:
-        """Appends a pattern and gives its idx."""
+    def store(self, name: str, content: str, tags: str = "", meta: dict[str, str] | None = None, timeout: float = 5.0) -> int:
+        """Appends a pattern under the collection's lock and gives its idx."""
+        return self._locked(name, f"store-{threading.get_ident()}", timeout, lambda: self._append(name, content, tags, meta))
+
+    def _locked(self, name: str, agent: str, timeout: float, work):
+        m = self.mounted[name]
+        if not m.lock.acquire(agent, timeout):
+            raise TimeoutError(f"{name} is locked by {m.lock.agent}")
+        try:
+            return work()
+        finally:
+            m.lock.release(agent)
+
+    def _append(self, name: str, content: str, tags: str, meta: dict[str, str] | None) -> int:
         m = self.mounted[name]
         if m.read_only:
             raise PermissionError(f"{name} is read-only")
@@ -160,15 +176,13 @@ class Engine:
 
     def imprint(self, name: str, content: str, agent: str, tags: str = "", timeout: float = 5.0) -> int:
         """A write under the collection's lock, attributed to its agent; reads never wait."""
-        m = self.mounted[name]
-        if not m.lock.acquire(agent, timeout):
-            raise TimeoutError(f"{name} is locked by {m.lock.agent}")
-        try:
-            idx = self.store(name, content, tags, {"agent": agent, "written": str(int(time.time()))})
+        def write() -> int:
+            m = self.mounted[name]
+            idx = self._append(name, content, tags, {"agent": agent, "written": str(int(time.time()))})
             m.writes = [*m.writes, {"agent": agent, "idx": idx}][-100:]
             return idx
-        finally:
-            m.lock.release(agent)
+
+        return self._locked(name, agent, timeout, write)
 
     def acquire_lock(self, name: str, agent: str, timeout: float = 5.0) -> bool:
         return self.mounted[name].lock.acquire(agent, timeout)
@@ -191,13 +205,16 @@ class Engine:
         readers.write_collections(rows, f"{path}/patterns", "overwrite")
         readers.write_manifest(build.manifest(rows), f"{path}/manifest")
 
-    def publish(self, name: str, entries: DataFrame) -> int:
-        """Appends the entries that the collection does not have; gives their number."""
-        m = self.mounted[name]
-        fresh = federate.publish(entries.withColumn("signature", federate.signature(entries)), m.patterns).cache()
-        n = fresh.count()
-        m.patterns = m.patterns.unionByName(fresh, allowMissingColumns=True)
-        return n
+    def publish(self, name: str, entries: DataFrame, timeout: float = 5.0) -> int:
+        """Appends the entries that the collection does not have, under its lock; gives their number."""
+
+        def write() -> int:
+            m = self.mounted[name]
+            fresh = checkpointed(federate.publish(entries.withColumn("signature", federate.signature(entries)), m.patterns))
+            m.patterns = m.patterns.unionByName(fresh, allowMissingColumns=True)
+            return fresh.count()
+
+        return self._locked(name, f"publish-{threading.get_ident()}", timeout, write)
 
     def consolidate(self, mode: str = "preserve") -> DataFrame:
         """Corroboration among all mounted collections: every pattern (preserve) or one row a component (collapse)."""

@@ -47,6 +47,19 @@ def ring(events: DataFrame, keep: int = RING, shown: int = SHOWN) -> DataFrame:
     return events.orderBy(F.col("at").desc(), F.col("event_id").desc()).limit(min(keep, shown))
 
 
+def created(patterns: DataFrame, events: DataFrame) -> DataFrame:
+    """patterns with the time of the first event that names them (pattern_idx, at); null where there is none."""
+    first = events.filter("pattern_idx is not null").groupBy(F.col("pattern_idx").alias("idx")).agg(F.min("at").alias("created_at"))
+    return patterns.join(first, "idx", "left")
+
+
+def mounts(packs: DataFrame, events: DataFrame) -> DataFrame:
+    """packs with mount_count raised by, and last_mounted_at of, the mount events (name, at)."""
+    own = events.groupBy("name").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    out = packs.join(own, "name", "left").withColumn("mount_count", F.coalesce("mount_count", F.lit(0)) + F.coalesce("_n", F.lit(0)))
+    return out.withColumn("last_mounted_at", F.greatest("last_mounted_at", "_at")).drop("_n", "_at")
+
+
 def reference_counts(mounts: DataFrame) -> DataFrame:
     return mounts.groupBy("collection").agg(F.count_distinct("session_id").alias("sessions"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, runtime
 from ..functions import text as T
-from ..schema import HAS_CHILD, HAS_PARENT
+from ..schema import HAS_CHILD, HAS_PARENT, PERISH_MASK, PERM_R, PERM_W, PINNED
 
 #: First and last lines of a public-domain e-book's own text (fixed values, in order of rank).
 STARTS = ("*** START OF THE PROJECT GUTENBERG", "*** START OF THIS PROJECT GUTENBERG", "***START OF THE PROJECT GUTENBERG", "*END*THE SMALL PRINT")
@@ -87,13 +87,47 @@ def relink(texts: DataFrame) -> DataFrame:
 
 def rebuild(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """New chunks with the old rows' metadata where there is one, chunk and chunks written anew."""
-    n = F.count("*").over(Window.partitionBy())
+    n = F.lit(chunks.count())
     out = chunks.join(meta.select("idx", F.col("meta").alias("_m")), "idx", "left")
     fresh = F.map_from_arrays(F.array(F.lit("chunk"), F.lit("chunks")), F.array(F.col("idx").cast("string"), n.cast("string")))
     kept = F.map_filter(F.coalesce("_m", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("chunk", "chunks"))
     return out.withColumn("meta", F.map_concat(kept, fresh)).drop("_m")
 
 
+def legacy_links(patterns: DataFrame, at: int, kind: int) -> DataFrame:
+    """Link records for rows (idx) of a collection that has none: row 0 is the read-only header and
+    points to row 1, the page of instructions; both are pinned and never perish. Others are plain."""
+    head = F.col("idx") <= 1
+    n = patterns.count()
+    return patterns.select(
+        "idx", F.col("idx").alias("pattern_id"), F.lit(1).alias("format_version"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("prev"),
+        F.when((F.col("idx") == 0) & F.lit(n > 1), 1).otherwise(0).cast("long").alias("next"), F.lit(0).cast("long").alias("sibling"), F.lit(0).cast("long").alias("source_hash"),
+        F.col("idx").alias("sequence_num"), F.lit(at).cast("long").alias("ts_unix"), F.when(head, PINNED | PERISH_MASK).otherwise(0).alias("flags"),
+        F.when(F.col("idx") == 0, PERM_R).otherwise(PERM_R | PERM_W).alias("perms_byte"),
+    )
+
+
+def pattern_totals(manifests: DataFrame) -> DataFrame:
+    """collections and total_patterns of all that is mounted."""
+    return manifests.agg(F.count("*").alias("collections"), F.coalesce(F.sum("n_patterns"), F.lit(0)).alias("total_patterns"))
+
+
+def built(texts: DataFrame, name: str, embed=None, created: int = 0, chunk: bool = True, prefix: bool = True) -> DataFrame:
+    """A whole collection of texts (source, text): chunked, prefixed by part, embedded and linked, behind a pinned read-only header.
+
+    Rows are numbered by source and chunk: sources are counted, and their running sum gives each its first number.
+    """
+    parts = word_chunks(texts) if chunk else texts.withColumn("chunk", F.lit(0))
+    each = parts.groupBy("source").agg(F.count("*").alias("_n"))
+    first = each.withColumn("_first", F.sum("_n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + 1)  # a row a source
+    rows = part_prefix(parts) if prefix else parts
+    rows = rows.join(first, "source").withColumn("idx", F.col("_first") + F.row_number().over(Window.partitionBy("source").orderBy("chunk")) - 1).drop("_first", "_n")
+    out = links(rows).select("idx", "source", "chunk", "text", "pattern_id", "prev", "next", "sequence_num", "source_hash", "flags", "perms_byte")
+    head = texts.sparkSession.createDataFrame([(0, f"[HEADER] {name}", 1, PINNED, PERM_R)], "idx long, text string, pattern_id long, flags int, perms_byte int")
+    out = out.unionByName(head, allowMissingColumns=True).withColumn("ts_unix", F.lit(created).cast("long"))
+    return out.withColumn("embedding", embed("text")) if embed is not None else out
+
+
 def even_sample(rows: DataFrame, most: int) -> DataFrame:
     """`most` rows spread evenly over idx 0 .. N-1: floor(i N / most)."""
     n = rows.count()
@@ -185,6 +219,6 @@ def poems(books: DataFrame, least: int = 3) -> DataFrame:
             yield pd.DataFrame(rows, columns=["book", "chunk", "text"])
 
     kind = books.schema["book"].dataType.simpleString()
-    split = books.mapInPandas(run, f"book {kind}, chunk int, text string")
+    split = runtime.checkpointed(books.mapInPandas(run, f"book {kind}, chunk int, text string"))  # parsed once
     rest = books.join(split.select("book").distinct(), "book", "left_anti")
     return split.unionByName(prefixed_chunks(rest, F.col("title"), F.col("author")).select("book", "chunk", "text"))

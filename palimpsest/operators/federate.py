@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.runtime import checkpointed
 from .tiles import neighbours
 
 #: Scores of confirmation and of contradiction, and the overlap below which a close pair contradicts (fixed values).
@@ -69,9 +70,9 @@ def similar_pairs(patterns: DataFrame, k: int = PER_PATTERN) -> DataFrame:
     return out.withColumn("text_overlap", T.jaccard(F.col("text"), F.col("other_text")))
 
 
-def edges(pairs: DataFrame) -> DataFrame:
+def edges(pairs: DataFrame, confirmed: float = CONFIRMED, close: float = CLOSE) -> DataFrame:
     """Confirming and contradicting edges of similar pairs."""
-    kind = F.when(F.col("score") >= CONFIRMED, "CONFIRMED_BY").when((F.col("score") >= CLOSE) & (F.col("text_overlap") < OVERLAP), "CONTRADICTED_BY")
+    kind = F.when(F.col("score") >= confirmed, "CONFIRMED_BY").when((F.col("score") >= close) & (F.col("text_overlap") < OVERLAP), "CONTRADICTED_BY")
     return pairs.withColumn("kind", kind).filter("kind is not null").select("part", "idx", "other_part", "other_idx", "kind", "score", "text_overlap")
 
 
@@ -88,7 +89,6 @@ def preserved(patterns: DataFrame, found: DataFrame) -> DataFrame:
         return both.groupBy("idx").agg(F.sort_array(F.collect_set("other_part")).alias(name))  # at most one entry a collection
 
     out = patterns.select("part", "idx").join(met("CONFIRMED_BY", "confirmed_by"), "idx", "left").join(met("CONTRADICTED_BY", "contradicted_by"), "idx", "left")
-    n = F.coalesce(F.size("confirmed_by"), F.lit(0))
     n = F.when(F.col("confirmed_by").isNull(), 0).otherwise(F.size("confirmed_by"))
     return out.withColumn("confirmations", n).withColumn("trust_signal", F.when(n >= 2, "high").when(n == 1, "single_corroboration").otherwise("single_source"))
 
@@ -99,32 +99,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Smallest labels spread along links and along labels, so rounds are few; lineage is cut by
     checkpoints in the session's shared folder.
     """
-    labels = _checkpoint(nodes.select("idx", F.col("idx").alias("component")).distinct())
-    links = _checkpoint(links.select("idx", "other_idx").distinct())
+    labels = checkpointed(nodes.select("idx", F.col("idx").alias("component")).distinct())
+    links = checkpointed(links.select("idx", "other_idx").distinct())
     while True:
         around = links.join(labels.withColumnsRenamed({"idx": "other_idx", "component": "_c"}), "other_idx").groupBy("idx").agg(F.min("_c").alias("_c"))
         step = labels.join(around, "idx", "left").select("idx", F.least("component", "_c").alias("component"), F.col("component").alias("was"))
         up = step.select(F.col("idx").alias("component"), F.col("component").alias("_up"))
-        after = _checkpoint(step.join(up, "component", "left").select("idx", F.least("component", "_up").alias("component"), "was"))
+        after = checkpointed(step.join(up, "component", "left").select("idx", F.least("component", "_up").alias("component"), "was"))
         labels = after.drop("was")
         if after.filter("component <> was").isEmpty():
             return labels
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
-def collapsed(patterns: DataFrame, found: DataFrame) -> DataFrame:
-    """One row a component of confirmed patterns: representative, size, collections, confidence."""
+def collapsed(patterns: DataFrame, found: DataFrame, shown: int = 200) -> DataFrame:
+    """One row a component of confirmed patterns: representative, size, collections, confidence, and
+    beginnings of the texts that contradict one of its patterns, by place."""
     both = symmetric(found.filter("kind = 'CONFIRMED_BY'"))
     labels = components(patterns, both)
     grouped = patterns.select("part", "idx").join(labels, "idx").groupBy("component")
     out = grouped.agg(F.min(F.struct("part", "idx")).alias("head"), F.count("*").alias("members"), F.sort_array(F.collect_set("part")).alias("parts"))
-    return out.select("head.part", "head.idx", "members", F.size("parts").alias("machines"), F.when(F.size("parts") >= 2, "high").otherwise("single_source").alias("confidence"))
+    against = symmetric(found.filter("kind = 'CONTRADICTED_BY'")).join(labels, "idx").select("component", "other_part", "other_idx").distinct()
+    texts = patterns.select(F.col("idx").alias("other_idx"), F.left("text", F.lit(shown)).alias("preview"))
+    against = against.join(texts, "other_idx").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("other_part", "other_idx", "preview"))).alias("contradictions"))
+    out = out.join(against, "component", "left")
+    return out.select("head.part", "head.idx", "members", F.size("parts").alias("machines"), F.when(F.size("parts") >= 2, "high").otherwise("single_source").alias("confidence"), "contradictions")
 
 
 def statistics(patterns: DataFrame, found: DataFrame) -> DataFrame:
@@ -145,6 +143,17 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return each.agg(F.count("*").alias("queries"), F.avg(F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
+def metrics_by_label(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """metrics() where a query's relevant rows are the others of its label (idx, part), without a row for each pair."""
+    size = labels.groupBy("part").agg((F.count("*") - 1).alias("n"))
+    wanted = labels.select(F.col("idx").alias("query"), "part").join(size, "part").filter("n > 0")
+    own = labels.select("idx", F.col("part").alias("other_part"))
+    hits = ranked.filter(F.col("rank") <= k).join(own, "idx").join(wanted, "query").filter("part = other_part and query <> idx")
+    hits = hits.groupBy("query").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
+    each = wanted.join(hits, "query", "left")
+    return each.agg(F.count("*").alias("queries"), F.avg(F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
 def ir_passage(corpus: DataFrame) -> DataFrame:
     """Corpus rows (id, title, text) as passages that name their document."""
     head = F.concat(F.lit("[BEIR,doc="), F.col("id"), F.lit("]"))

@@ -56,12 +56,17 @@ def enumerate_filter(patterns: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
 
 def browse(patterns: DataFrame, tag: str = "", q: str = "", offset: int = 0, limit: int = 50) -> DataFrame:
     """Newest first, without the header rows 0 and 1; tag equal and q contained, whatever the case."""
+    return browsed(patterns, tag, q).orderBy(F.col("idx").desc()).offset(offset).limit(min(limit, 200))
+
+
+def browsed(patterns: DataFrame, tag: str = "", q: str = "") -> DataFrame:
+    """All rows that browse pages through; their count is the total before paging."""
     rows = patterns.filter("idx > 1")
     if tag:
         rows = rows.filter(F.exists(T.tags(F.col("text")), lambda t: F.upper(t) == tag.upper()))
     if q:
         rows = rows.filter(F.lower("text").contains(q.lower()))
-    return rows.orderBy(F.col("idx").desc()).offset(offset).limit(min(limit, 200))
+    return rows
 
 
 def passage(patterns: DataFrame, collection: str, idx: int) -> DataFrame:
@@ -70,8 +75,18 @@ def passage(patterns: DataFrame, collection: str, idx: int) -> DataFrame:
 
 
 def late_fetch(top: DataFrame, heap: DataFrame) -> DataFrame:
-    """The wide rows of a few ids; top is the small side."""
-    return heap.join(F.broadcast(top.select("idx").limit(MOST)), "idx")
+    """top with the wide columns of a heap (idx, ...). Only the heap's rows of top are shuffled, if any."""
+    ids = top.select("idx")
+    return top.join(heap.join(ids, "idx", "left_semi"), "idx")
+
+
+def filter_report(patterns: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
+    """One row: total_scanned, matched, shown (up to the limit), and the names in the spec that are not known."""
+    keep, unknown = predicate(spec)
+    n = min(int(spec.get("limit") or DEFAULT_LIMIT), MOST)
+    out = patterns.agg(F.count("*").alias("total_scanned"), F.count_if(F.coalesce(keep, F.lit(False))).alias("matched"))
+    names = F.array(*map(F.lit, unknown)) if unknown else F.array().cast("array<string>")
+    return out.withColumn("shown", F.least("matched", F.lit(n))).withColumn("unknown", names)
 
 
 def resolve_name(catalog: DataFrame, name: str) -> DataFrame:

@@ -140,19 +140,26 @@ def adjacent(found: DataFrame, side: int) -> DataFrame:
     return both.distinct()
 
 
+def without(found: DataFrame, colors: list[int]) -> DataFrame:
+    """Objects of other colours than those of an overlay."""
+    return found.filter(~F.col("color").isin(colors)) if colors else found
+
+
 def state_hash(found: DataFrame, backgrounds: DataFrame) -> DataFrame:
-    """A frame's digest over its background and its objects' colours, sizes and places; no identities.
+    """A frame's digest over its background and its objects' colours, sizes, places, properties and
+    relations (props and rels, JSON texts; absent: empty); no identities.
 
     BLAKE2b of canonical JSON, so equal states have equal digests wherever they were seen.
     """
     ship(found.sparkSession)
-    key = F.struct(F.col("color"), F.col("size"), F.col("row"), F.col("col"))
+    held = [F.coalesce(F.col(c) if c in found.columns else F.lit(None).cast("string"), F.lit("{}")).alias(c) for c in ("props", "rels")]
+    key = F.struct(F.col("color"), F.col("size"), F.col("row"), F.col("col"), *held)
     each = backgrounds.join(found.groupBy("level", "step").agg(F.sort_array(F.collect_list(key)).alias("objects")), ["level", "step"], "left")
 
     @F.pandas_udf("string")
     def digest(bg: pd.Series, objs: pd.Series) -> pd.Series:
         def one(b, xs):
-            held = [{"c": int(o["color"]), "s": int(o["size"]), "cr": float(o["row"]), "cc": float(o["col"]), "props": "{}", "rels": "{}"} for o in (xs if xs is not None else [])]
+            held = [{"c": int(o["color"]), "s": int(o["size"]), "cr": float(o["row"]), "cc": float(o["col"]), "props": str(o["props"]), "rels": str(o["rels"])} for o in (xs if xs is not None else [])]
             return hashlib.blake2b(json.dumps({"bg": int(b), "objs": held}, sort_keys=True).encode(), digest_size=32).hexdigest()
 
         return pd.Series([one(b, xs) for b, xs in zip(bg, objs, strict=True)])
@@ -173,6 +180,30 @@ def paired_rows(frames: DataFrame) -> DataFrame:
     return frames.select("level", F.explode(F.array(even, odd)).alias("x")).select("level", "x.idx", "x.text")
 
 
+def reasoned(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Paired rows with the odd ones replaced where there is a text (level, step, text) for their step."""
+    new = records.select("level", (F.col("step") * 2 + 1).alias("idx"), F.col("text").alias("_new"))
+    return rows.join(new, ["level", "idx"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
+
+
+def observed(frames: DataFrame, side: int) -> DataFrame:
+    """A row a frame: level, step, background, objects, changed (cells; null for a level's first), moves."""
+    found = objects(frames, side)
+    count = lambda rows, name: rows.groupBy("level", "step").agg(F.count("*").alias(name))
+    out = background(frames, side).join(count(found, "objects"), ["level", "step"], "left").join(count(diff(frames, side), "changed"), ["level", "step"], "left").join(count(tracked(found), "moves"), ["level", "step"], "left")
+    first = F.col("step") == F.min("step").over(Window.partitionBy("level"))
+    return out.select("level", "step", "background", F.coalesce("objects", F.lit(0)).alias("objects"), F.when(~first, F.coalesce("changed", F.lit(0))).alias("changed"), F.when(~first, F.coalesce("moves", F.lit(0))).alias("moves"))
+
+
+#: What salience is made of, and its letters (fixed values).
+SALIENCE = (("surprise", "S"), ("novelty", "N"), ("arousal", "A"), ("reward", "R"), ("conflict", "C"))
+
+
+def salience_text(salience):
+    """A struct or map of salience scores as a line; an absent one is 0."""
+    return F.concat(F.lit("SALIENCE: "), F.concat_ws(" ", *(F.format_string(f"{letter}=%.2f", F.coalesce(salience[name].cast("double"), F.lit(0.0))) for name, letter in SALIENCE)))
+
+
 def reasoning_text(record):
     """A reasoning record (a struct of strings) as lines, its JSON last."""
     names = (("HYPOTHESIS", "hypothesis"), ("STRATEGY", "strategy"), ("INSIGHT", "key_insight"), ("RATIONALE", "action_rationale"), ("REASONING", "reasoning_text"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from .filters import late_fetch
 
 #: Scores below FLOOR before, below SHOWN after the boosts are no results (fixed values).
 FLOOR, SHOWN = 0.05, 0.1
@@ -47,13 +48,14 @@ def recency(score: Column, ts_unix: Column, as_of: int, half_life: float = 86400
 def search(
     patterns: DataFrame, query: Sequence[float], query_text: str = "", k: int = 5, *, where: Column | None = None,
     honor_tombstones: bool = False, recency_as_of: int | None = None, dedup: bool = False, mode: str = "blend",
-    late: DataFrame | None = None,
+    late: DataFrame | None = None, heap: DataFrame | None = None,
 ) -> DataFrame:
     """The k best patterns: rank, idx, score and what the patterns carry.
 
     Order of steps, which results depend on: filter, score, candidate cut, floor, tombstones,
     keyword boost, recency, dedup of one exchange's siblings, k best, display minimum. late
-    (idx, passage) is joined to the k rows only.
+    (idx, passage) is joined to the k rows only; heap (idx, text), for patterns without texts, to
+    the candidates.
     """
     if len(query_text) > T.MAX_QUERY:
         raise ValueError("the query is too long")
@@ -61,6 +63,8 @@ def search(
     cut = scored(rows, query, mode).orderBy(F.col("score").desc(), "idx").limit(candidates(k)).filter(F.col("score") >= FLOOR)
     if honor_tombstones:
         cut = cut.filter(live())
+    if heap is not None:
+        cut = late_fetch(cut, heap)
     score = F.col("score") + T.keyword_boost(F.col("text"), T.keywords(query_text))
     if recency_as_of is not None:
         score = recency(score, F.col("ts_unix"), recency_as_of)
@@ -104,18 +108,21 @@ def in_scope(patterns: DataFrame, scope: str | Sequence[str] = "all", roles: Seq
 
 def multi_search(
     patterns: DataFrame, query: Sequence[float], query_text: str = "", k: int = 10, *, scope: str | Sequence[str] = "all",
-    roles: Sequence[str] | None = None, mode: str = "global", pool: int = CANDIDATES,
+    roles: Sequence[str] | None = None, mode: str = "global", pool: int = CANDIDATES, heap: DataFrame | None = None,
 ) -> DataFrame:
     """Several collections at once. mode: global, per_collection, balanced or diagnostic.
 
     Every collection gives its `pool` best before boosts (so no more of one can be a result).
-    balanced takes each collection's k best and of these the k best, which equals global.
+    balanced takes each collection's k best and of these the k best, which equals global. heap
+    (idx, text), for patterns without texts, is joined to the pools.
     """
     if mode not in ("global", "per_collection", "balanced", "diagnostic"):
         raise ValueError(f"no such mode: {mode}")
     s = scored(in_scope(patterns, scope, roles), query)
     best = Window.partitionBy("collection").orderBy(F.col("score").desc(), "idx")
     s = s.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= pool).filter(F.col("score") >= FLOOR)
+    if heap is not None:
+        s = late_fetch(s, heap)
     s = s.withColumn("score", F.col("score") + T.keyword_boost(F.col("text"), T.keywords(query_text)))
     s = s.withColumn("_n", F.row_number().over(best)).withColumn("text", T.preview(F.col("text"), 500))
     if mode == "global":

@@ -50,6 +50,16 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("label").cast("string").alias("collection"), F.col("label").cast("int").alias("mount_seq"), F.col("vec_id").alias("idx"), "embedding")
 
 
+def bare(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """patterns without their texts, which are fetched late; columns: narrow ones of documents."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), *columns)
+    return vectors(spark, d).join(docs, "idx")
+
+
+def heap(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+
+
 def patterns(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text"), "source", "lang")
     return vectors(spark, d).join(docs, "idx")
@@ -95,20 +105,20 @@ _CUT = f"with {_S}, c as (select s.idx, score, text from s join documents on doc
 
 @query(f"{_CUT} select idx, round(score, 6) as score, row_number() over (order by score desc, idx) as rank from (select * from b order by score desc, idx limit 5) where score >= 0.1")
 def memory_search(spark, d):
-    return S.search(patterns(spark, d), asked(spark, d), ASKED, 5).select("idx", r6("score"), "rank")
+    return S.search(bare(spark, d), asked(spark, d), ASKED, 5, heap=heap(spark, d)).select("idx", r6("score"), "rank")
 
 
 @query(f"with {_S}, c as (select s.idx, score, text from s join documents on doc_id = s.idx where lang = 'en' and source in ('src1', 'src2', 'src3') order by score desc, s.idx limit 20), b as (select idx, score + {_BOOST} as score, text from c where score >= 0.05 and idx % 7 <> 0) select idx, round(score, 6) as score from (select * from b order by score desc, idx limit 5) where score >= 0.1")
 def filtered_search(spark, d):
-    p = patterns(spark, d).withColumn("flags", (F.col("idx") % 7 == 0).cast("int"))
+    p = bare(spark, d, "lang", "source").withColumn("flags", (F.col("idx") % 7 == 0).cast("int"))
     where = (F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3")
-    return S.search(p, asked(spark, d), ASKED, 5, where=where, honor_tombstones=True).select("idx", r6("score"))
+    return S.search(p, asked(spark, d), ASKED, 5, where=where, honor_tombstones=True, heap=heap(spark, d)).select("idx", r6("score"))
 
 
 @query(f"with {_S}, c as (select s.idx, score, text from s join documents on doc_id = s.idx order by score desc, s.idx limit 20), b as (select idx, (score + {_BOOST}) * (0.5 + 0.5 * exp(-ln(2.0) * greatest(0.0, idx * 60.0) / 86400)) as score from c where score >= 0.05) select idx, round(score, 6) as score from (select * from b order by score desc, idx limit 5) where score >= 0.1")
 def recency_search(spark, d):
-    p = patterns(spark, d).withColumn("ts_unix", F.lit(CREATED) - F.col("idx") * 60)
-    return S.search(p, asked(spark, d), ASKED, 5, recency_as_of=CREATED).select("idx", r6("score"))
+    p = bare(spark, d).withColumn("ts_unix", F.lit(CREATED) - F.col("idx") * 60)
+    return S.search(p, asked(spark, d), ASKED, 5, recency_as_of=CREATED, heap=heap(spark, d)).select("idx", r6("score"))
 
 
 @query(f"with {_S}, c as (select s.idx, score, '[HEARTBEAT,turn-' || (s.idx // 3 % 5) || ',url=a.example/' || label || '] ' || text as text, label from s join documents on doc_id = s.idx order by score desc, s.idx limit 20), b as (select idx, score + {_BOOST} as score, row_number() over (partition by label, idx // 3 % 5 order by score + {_BOOST} desc, idx) as n from c where score >= 0.05) select idx, round(score, 6) as score from (select * from b where n = 1 order by score desc, idx limit 5) where score >= 0.1")
@@ -122,28 +132,28 @@ _M = f"with {_S}, p as (select s.*, text, row_number() over (partition by label
 
 @query(_M.format(where="") + " select label::varchar as collection, idx, round(sc, 6) as score from m order by sc desc, label, idx limit 10")
 def multi_global(spark, d):
-    return S.multi_search(patterns(spark, d), asked(spark, d), ASKED, 10).select("collection", "idx", r6("score"))
+    return S.multi_search(bare(spark, d), asked(spark, d), ASKED, 10, heap=heap(spark, d)).select("collection", "idx", r6("score"))
 
 
 @query(_M.format(where="") + " select label::varchar as collection, idx, n as rank_in_collection, round(sc, 6) as score from m where n <= 5")
 def multi_per_collection(spark, d):
-    return S.multi_search(patterns(spark, d), asked(spark, d), ASKED, 5, mode="per_collection").select("collection", "idx", "rank_in_collection", r6("score"))
+    return S.multi_search(bare(spark, d), asked(spark, d), ASKED, 5, mode="per_collection", heap=heap(spark, d)).select("collection", "idx", "rank_in_collection", r6("score"))
 
 
 @query(_M.format(where="") + " select label::varchar as collection, idx, round(sc, 6) as score from m where n <= 10 order by sc desc, label, idx limit 10")
 def multi_balanced(spark, d):
-    return S.multi_search(patterns(spark, d), asked(spark, d), ASKED, 10, mode="balanced").select("collection", "idx", r6("score"))
+    return S.multi_search(bare(spark, d), asked(spark, d), ASKED, 10, mode="balanced", heap=heap(spark, d)).select("collection", "idx", r6("score"))
 
 
 @query(_M.format(where="and label % 2 = 0") + " select label::varchar as collection, idx, n as rank_in_collection, round(sc, 6) as score from m where n <= 3")
 def multi_role_filter(spark, d):
-    p = patterns(spark, d).withColumn("role", F.when(F.col("mount_seq") % 2 == 0, "wiki").otherwise("notes"))
-    return S.multi_search(p, asked(spark, d), ASKED, 3, roles=["wiki"], mode="diagnostic").select("collection", "idx", "rank_in_collection", r6("score"))
+    p = bare(spark, d).withColumn("role", F.when(F.col("mount_seq") % 2 == 0, "wiki").otherwise("notes"))
+    return S.multi_search(p, asked(spark, d), ASKED, 3, roles=["wiki"], mode="diagnostic", heap=heap(spark, d)).select("collection", "idx", "rank_in_collection", r6("score"))
 
 
 @query(_M.format(where="and label in (1, 3)") + " select label::varchar as collection, idx, round(sc, 6) as score from m order by sc desc, label, idx limit 10")
 def multi_scope(spark, d):
-    return S.multi_search(patterns(spark, d), asked(spark, d), ASKED, 10, scope=["1", "3"]).select("collection", "idx", r6("score"))
+    return S.multi_search(bare(spark, d), asked(spark, d), ASKED, 10, scope=["1", "3"], heap=heap(spark, d)).select("collection", "idx", r6("score"))
 
 
 @query(f"with {_S}, f as (select idx from s order by cos desc, idx limit 10), h as (select v.idx as hub, v.e as q from v join f using (idx)), p as (select hub, v.idx, {_COS} as c from v, h where v.idx <> hub), n as (select *, row_number() over (partition by hub order by c desc, idx) as r from p), m as (select idx, count(*) as hits, avg(c) as mean_score from n where r <= 30 group by idx having count(*) >= 2) select idx, hits, round(mean_score, 6) as mean_score from m where idx not in (select idx from f) order by hits desc, m.mean_score desc, idx limit 10")
@@ -175,9 +185,7 @@ _EDGES = f"{_EDGE}, j as (select *, {_JAC.format(t='t', u='u')} as text_overlap
 
 
 def _edges(spark, d):
-    pairs = Fed.similar_pairs(parts(spark, d))
-    kind = F.when(F.col("score") >= CONFIRMED, "CONFIRMED_BY").when((F.col("score") >= CLOSE) & (F.col("text_overlap") < Fed.OVERLAP), "CONTRADICTED_BY")
-    return pairs.withColumn("kind", kind).filter("kind is not null").select("part", "idx", "other_part", "other_idx", "kind", "score", "text_overlap")
+    return Fed.edges(Fed.similar_pairs(parts(spark, d)), CONFIRMED, CLOSE)
 
 
 @query(f"{_EDGES} select part, idx, other_part, other_idx, kind, round(score, 6) as score, round(text_overlap, 6) as text_overlap from ed")
@@ -211,10 +219,7 @@ def consolidate_stats(spark, d):
 def recall_mrr(spark, d):
     v = vectors(spark, d).withColumn("part", F.col("mount_seq"))
     ranked = neighbours(v, 10).select(F.col("idx").alias("query"), F.col("other_idx").alias("idx"), "rank")
-    # A query's relevant rows are the others of its label; the pairs of a label are the judgements themselves.
-    lab = v.select("idx", "part")
-    good = lab.select(F.col("idx").alias("query"), "part").join(lab, "part").filter("query <> idx").select("query", "idx", F.lit(1).alias("grade"))
-    return Fed.metrics(ranked, good, 10).select("queries", r6("recall"), r6("mrr"))
+    return Fed.metrics_by_label(ranked, v.select("idx", "part"), 10).select("queries", r6("recall"), r6("mrr"))
 
 
 def tagged(spark, d):
@@ -444,9 +449,9 @@ def catalog_verify(spark, d):
     return B.verify(vectors(spark, d), spoiled)
 
 
-@query("with f as (select *, case when n_name = 'A' then 0 when contains(lower(n_name), 'an') then 1 end as k from nation) select n_name as name, count(*) over () as matches from f where k = (select min(k) from f)")
+@query("with f as (select *, case when n_name = 'AT' then 0 when contains(lower(n_name), 'at') then 1 end as k from nation) select n_name as name, count(*) over () as matches from f where k = (select min(k) from f)")
 def resolve_name(spark, d):
-    return Fil.resolve_name(read(spark, d, "nation").select(F.col("n_name").alias("name")), "AN").select("name", "matches")
+    return Fil.resolve_name(read(spark, d, "nation").select(F.col("n_name").alias("name")), "AT").select("name", "matches")
 
 
 @query("select o_custkey as owner_id, 'pack' as name, count(*) as rows from (select distinct o_custkey from orders union all select c_custkey from customer where c_custkey not in (select o_custkey from orders)) group by 1, 2")

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 from ..functions.runtime import ship
+from ..operators.build import manifest
 
 #: Keys under which archives hold vectors and texts, first found first taken (fixed values).
 VECTORS, TEXTS = ("embeddings", "embs"), ("passages", "memories", "compressed_texts")
@@ -180,7 +181,7 @@ def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_machines(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The entries of all <root>/<machine>/*_learning.jsonl with their machine."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{root}/*/*_learning.jsonl")
-    return rows.withColumn("machine", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1))
+    return rows.withColumn("machine", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]*_learning\.jsonl", 1))
 
 
 def read_ir(spark: SparkSession, root: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,5 +197,41 @@ def write_collections(patterns: DataFrame, path: str, mode: str = "append") -> N
     patterns.write.mode(mode).partitionBy("collection").parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").json(path)
+def append_collection(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Appends rows to a saved collection (patterns and manifest below path) and renews its manifest.
+
+    Rows without metadata get empty ones; what is there is not written again.
+    """
+    if "meta" in rows.columns:
+        rows = rows.withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
+    write_collections(rows, f"{path}/patterns", "append")
+    write_manifest(manifest(spark.read.parquet(f"{path}/patterns")), f"{path}/manifest")
+
+
+def signatures_of(content: bytes) -> Iterator[tuple]:
+    """idx, signature, title and text of a signature file; what it lacks is null. Pickled objects are refused."""
+    with np.load(io.BytesIO(content), allow_pickle=False) as npz:
+        rows = npz["signatures"]
+        texts = _texts(npz) if "compressed_texts" in npz else []
+        titles = [str(t) for t in npz["titles"]] if "titles" in npz else []
+        n = int(npz["n_patterns"]) if "n_patterns" in npz else len(rows)
+        for i in range(min(n, len(rows))):
+            yield i, [float(x) for x in rows[i]], titles[i] if i < len(titles) else None, texts[i] if i < len(texts) else None
+
+
+def read_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """collection, idx, signature, title, text of all signature files below a folder."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_signatures.npz").option("recursiveFileLookup", "true").load(folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                name = path.rsplit("/", 1)[-1].removesuffix("_signatures.npz")
+                yield pd.DataFrame([(name, *r) for r in signatures_of(content)], columns=["collection", "idx", "signature", "title", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "collection string, idx long, signature array<float>, title string, text string")
+
+
+def write_manifest(manifests: DataFrame, path: str) -> None:
+    manifests.write.mode("overwrite").json(path)
