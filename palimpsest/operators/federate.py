@@ -119,7 +119,7 @@ def collapsed(patterns: DataFrame, found: DataFrame, shown: int = 200) -> DataFr
     grouped = patterns.select("part", "idx").join(labels, "idx").groupBy("component")
     out = grouped.agg(F.min(F.struct("part", "idx")).alias("head"), F.count("*").alias("members"), F.sort_array(F.collect_set("part")).alias("parts"))
     against = symmetric(found.filter("kind = 'CONTRADICTED_BY'")).join(labels, "idx").select("component", "other_part", "other_idx").distinct()
-    texts = patterns.select(F.col("idx").alias("other_idx"), F.left("text", F.lit(shown)).alias("preview"))
+    texts = patterns.select(F.col("idx").alias("other_idx"), F.left(_has(patterns, "text"), F.lit(shown)).alias("preview"))
     against = against.join(texts, "other_idx").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("other_part", "other_idx", "preview"))).alias("contradictions"))
     out = out.join(against, "component", "left")
     return out.select("head.part", "head.idx", "members", F.size("parts").alias("machines"), F.when(F.size("parts") >= 2, "high").otherwise("single_source").alias("confidence"), "contradictions")

@@ -121,7 +121,7 @@ def carried(found: DataFrame) -> DataFrame:
     before = found.select("level", (F.col("step") + 1).alias("step"), "color", F.col("object").alias("was"), F.col("row").alias("_r"), F.col("col").alias("_c"))
     d = F.hypot(F.col("row") - F.col("_r"), F.col("col") - F.col("_c"))
     near = found.join(before, ["level", "step", "color"]).withColumn("_d", d).filter(F.col("_d") < MOST_APART)
-    return near.groupBy("level", "step", "object").agg(F.min_by("was", F.struct("_d", "was")).alias("was"))
+    return near.groupBy("level", "step", "object").agg(F.min_by("was", F.struct(F.round("_d", 9), "was")).alias("was"))
 
 
 def owners(found: DataFrame) -> DataFrame:
