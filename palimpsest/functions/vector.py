@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,8 @@ COSINE_SHARE, SIGN_SHARE = 0.7, 0.3
 
 
 def literal(v: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in v))
+    """A constant vector; as one text that the optimiser reads once, not as a literal a component."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in v])), "array<double>")
 
 
 def _sum(xs: Column) -> Column:
