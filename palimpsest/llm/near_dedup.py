@@ -25,7 +25,7 @@ their bytes; what is compared in full are these sets.
 
 Documents without words are linked with nothing. Rows with a null id are components of their
 own with a null component_id. Rows that repeat an id count as one node. Empty tables give no
-rows. Texts are processed whole.
+rows. Texts are processed whole. Other columns, whatever their names, pass through `dedup`.
 """
 
 from __future__ import annotations
@@ -161,12 +161,11 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 ENTRIES = "part int, keys binary, ids binary, sizes binary, many binary"
 
 
-def _dealt(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns of each part that has entries."""
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        yield p, [c[order[cut[p] : cut[p + 1]]] for c in columns]
+    for a, n in zip(*(x.tolist() for x in _runs(part[order])), strict=True):
+        yield int(part[order[a]]), [c[order[a : a + n]] for c in columns]
 
 
 def _packed(rows: list[tuple[int, list[np.ndarray]]], names: str) -> pa.RecordBatch:
@@ -187,7 +186,7 @@ def _sent(parts: int):
             kept = ~many | (_ramp(size) == 0)
             key, ids, n, many = key[kept], ids[kept], n[kept], many[kept]
             part = (key >> np.uint64(32)) % np.uint64(parts)
-            yield _packed(list(_dealt(part, parts, key, ids, n.astype(np.int32), many)), ENTRIES)
+            yield _packed(list(_dealt(part, key, ids, n.astype(np.int32), many)), ENTRIES)
 
     return run
 
@@ -262,7 +261,7 @@ def _half_bands(parts: int):
             key = _halves(b)[:, :TABLES].ravel()
             entries = [np.repeat(x, TABLES) for x in _longs(b, "doc_id", "component", "n")]
             tables = np.tile(np.arange(TABLES, dtype=np.int64), b.num_rows)
-            yield _packed(list(_dealt((key >> np.uint64(32)) % np.uint64(parts), parts, key, *entries, tables)), HALVES)
+            yield _packed(list(_dealt((key >> np.uint64(32)) % np.uint64(parts), key, *entries, tables)), HALVES)
 
     return run
 
@@ -335,7 +334,7 @@ def _tiles(words: int, parts: int, groups: dict[int, tuple[int, int, int]]):
                     put(mix(half[here, t] + np.array([x * (others + mains) + y + 1], np.uint64) * LEFT), here, side, t)
         cells, places, sides, tables = (np.concatenate(x) for x in (cells, places, sides, tables))
         rows = []
-        for p, (c, at, side, t) in _dealt((cells >> np.uint64(32)) % np.uint64(parts), parts, cells, places, sides, tables):
+        for p, (c, at, side, t) in _dealt((cells >> np.uint64(32)) % np.uint64(parts), cells, places, sides, tables):
             own, at = np.unique(at, return_inverse=True)
             rows.append((p, [c, at.astype(np.int64), side, t, heads[own], half[own], np.array([len(sets[k]) for k in own], np.int64), np.concatenate([sets[k] for k in own])]))
         return _packed(rows, TILES)

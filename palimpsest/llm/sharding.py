@@ -6,7 +6,8 @@ shortest. A child's straw depends on nothing but its own name and weight, so a c
 weights moves rows only into or out of the subtrees whose weights change.
 
 Nulls: a row without an id is placed by its text's digest; a null text has no bytes. Empty
-tables give no rows; rows that repeat share a shard and get slots of their own.
+tables give no rows; rows that repeat share a shard and get slots of their own. Texts of any
+length only count by their bytes. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -154,6 +154,21 @@ def _stable(small: np.ndarray) -> np.ndarray:
     return np.argsort(small.astype(np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32), kind="stable")
 
 
+class Parts:
+    """Where the entries of each part are in an order of parts; parts without entries cost nothing."""
+
+    def __init__(self, part: np.ndarray):
+        names, start = np.unique(part, return_index=True)
+        ends = [*start[1:].tolist(), len(part)]
+        self.at = {int(p): slice(a, b) for p, a, b in zip(names.tolist(), start.tolist(), ends, strict=False)}
+
+    def __iter__(self) -> Iterator[tuple[int, slice]]:
+        return iter(self.at.items())
+
+    def __getitem__(self, part: int) -> slice:
+        return self.at[part]
+
+
 class Triggers:
     """The distinct triggers of a block by part, and for each phrase which of them is its own."""
 
@@ -164,7 +179,7 @@ class Triggers:
         key = t[new]
         part = key % np.uint64(parts)
         by = _stable(part)
-        self.key, self.cut = key[by], np.searchsorted(part[by], np.arange(parts + 1))
+        self.key, self.parts = key[by], Parts(part[by])
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         self.own = place[np.cumsum(new) - 1]  # of the phrases in order
@@ -180,10 +195,9 @@ def _triggers(parts: int):
         for b in batches:
             for row in b.to_pylist():
                 found = Triggers(_block(row), parts)
-                key, cut = found.key, found.cut
                 rows = []
-                for p in np.flatnonzero(np.diff(cut)).tolist():
-                    x = _short(key[cut[p] : cut[p + 1]], parts)
+                for p, own in found.parts:
+                    x = _short(found.key[own], parts)
                     rows.append({"block": row["block"], "part": p, "data": (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
@@ -228,8 +242,8 @@ class Dictionary:
         found = Triggers(p, parts)
         shared = np.zeros(len(found.key), bool)
         for r in bitmaps:
-            a, b = found.cut[r["part"]], found.cut[r["part"] + 1]
-            shared[a:b] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=b - a).astype(bool)
+            own = found.parts[r["part"]]
+            shared[own] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=own.stop - own.start).astype(bool)
         # Triggers that several documents of the block itself have are shared as well.
         d = p.ids[p.doc[found.order]]
         shared[found.own[1:][(found.own[1:] == found.own[:-1]) & (d[1:] != d[:-1])]] = True
@@ -243,7 +257,7 @@ class Dictionary:
         rank[by] = np.arange(len(by))
         self.entry = rank[entry]
         self.first = self.rows[first[by]]  # the phrase that each entry stands for
-        self.cut = np.searchsorted(part[by], np.arange(parts + 1))
+        self.parts = Parts(part[by])
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
@@ -259,8 +273,8 @@ def _entries(parts: int):
                 p = _block(row)
                 d = Dictionary(p, row["shared"] or [], parts)
                 rows = []
-                for part in np.flatnonzero(np.diff(d.cut)).tolist():
-                    at = d.first[d.cut[part] : d.cut[part + 1]]
+                for part, own in d.parts:
+                    at = d.first[own]
                     head = np.array([len(at)], np.int64).tobytes() + p.ids[p.doc[at]].tobytes() + p.windows[at].astype(np.uint8).tobytes()
                     rows.append({"block": row["block"], "part": part, "data": _pack(head + _gather(p.data, p.first[at], p.windows[at] + LENGTH - 1))})
                 if rows:
@@ -383,7 +397,7 @@ def covered(p: Phrases, d: Dictionary, masks: list[dict]) -> np.ndarray:
     """Which bytes of the block lie in a window that a smaller document has."""
     mask = np.zeros(len(d.first), np.uint32)
     for r in masks:
-        mask[d.cut[r["part"]] : d.cut[r["part"] + 1]] = np.frombuffer(_unpack(r["data"]), np.uint32)
+        mask[d.parts[r["part"]]] = np.frombuffer(_unpack(r["data"]), np.uint32)
     later = p.ids[p.doc[d.rows]] > p.ids[p.doc[d.first[d.entry]]]  # a smaller document of the block has the phrase
     own = np.where(later, np.uint32(0xFFFFFFFF), mask[d.entry])
     change = np.zeros(len(p.data) + 1, np.int32)

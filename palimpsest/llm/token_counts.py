@@ -1,12 +1,16 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are taken in batches of about BATCH_BYTES. Each is split at boundaries that no token
-of the vocabulary crosses (where a space follows something else), so a long text is never
-encoded as one piece and a segment that came up before costs a look-up. The batch's new
-segments are encoded together. A vocabulary that has no such boundary gets whole texts.
+of the vocabulary crosses: where a space follows something else, and, in what is longer than
+LONG characters without one (scripts without spaces, encoded data), between two characters that
+no token holds next to each other. So a long text is never encoded as one piece, and a segment
+that came up before costs a look-up. The batch's new segments are encoded together. A
+vocabulary that has no such boundary gets whole texts.
 
 Null and empty texts have 0 tokens. Special strings inside texts are what the library makes
-of them by default. The cache of a worker holds CACHE segments at most and is then emptied.
+of them by default. Rows that repeat, or have a null id, are counted each; empty tables give no
+rows; very long texts are counted whole. Other columns, whatever their names, are not read. The
+cache of a worker holds CACHE segments of up to SHORT characters and is then emptied.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, spread
+from .common import map_arrow, spread
 
 BATCH_BYTES = 1 << 20
-CACHE = 300_000
+CACHE, SHORT, LONG = 300_000, 128, 512
 _LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
 #: Spaces and what follows them up to the next space.
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -41,6 +47,28 @@ class _Pieces:
         n = m.normalizer_spec
         self.safe = n.name == "identity" and n.add_dummy_prefix and not n.remove_extra_whitespaces and not m.trainer_spec.treat_whitespace_as_suffix and not any(re.search("[^▁]▁", p.piece) for p in m.pieces)
         self.cache: dict[str, int] = {}
+        pieces = [p.piece for p in m.pieces]
+        # Unknown characters next to each other may be one token, so both sides of a boundary must be known.
+        self.known = {p for p in pieces if len(p) == 1}
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+
+    def _parts(self, segment: str) -> tuple[list[str], list[str]]:
+        """Texts whose counts, less those of the second list, make the segment's.
+
+        A part after the first is encoded behind the character before it, as the model would
+        put a space before it else; that character's own count is taken off again.
+        """
+        if len(segment) <= LONG:
+            return [segment], []
+        more, less, begin, lead = [], [], 0, ""
+        while begin < len(segment):
+            stop = begin + LONG
+            while stop < len(segment) and (segment[stop - 1 : stop + 1] in self.joined or segment[stop - 1] not in self.known or segment[stop] not in self.known):
+                stop += 1
+            more.append(lead + segment[begin:stop])
+            less += [lead] * bool(lead)
+            begin, lead = stop, segment[stop - 1 : stop]
+        return more, less
 
     def _segments(self, text: str) -> list[str]:
         """Segments as the model is given them: it puts a space before each by itself."""
@@ -56,17 +84,26 @@ class _Pieces:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         cache = self.cache
         split = [self._segments(t) if t else [] for t in texts]
-        new = {s for segments in split for s in segments if s not in cache}
+        less: list[list[str]] = [[] for _ in texts]
+        for i, segments in enumerate(split):
+            if any(len(s) > LONG for s in segments):
+                parts = [self._parts(s) for s in segments]
+                split[i], less[i] = [x for more, _ in parts for x in more], [x for _, off in parts for x in off]
+        new = {s for segments in (*split, *less) for s in segments if s not in cache}
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = {s for segments in split for s in segments}
+            new = {s for segments in (*split, *less) for s in segments}
         new.discard("")
         order = list(new)
         for s, ids in zip(order, self.model.encode(order, num_threads=1) if order else [], strict=True):
             cache[s] = len(ids)
         if "" not in cache:
             cache[""] = len(self.model.encode("a ")) - len(self.model.encode("a"))  # a space that ends a text
-        return [sum(map(cache.__getitem__, segments)) for segments in split]
+        out = [sum(map(cache.__getitem__, segments)) - sum(map(cache.__getitem__, off)) for segments, off in zip(split, less, strict=True)]
+        for s in order:
+            if len(s) > SHORT:
+                del cache[s]
+        return out
 
 
 class _Json:
@@ -90,20 +127,23 @@ def lengths(path: str) -> Callable[[list[str]], list[int]]:
     return _LOADED[path]
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have `most` bytes, or are one."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text").cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = lengths(path)
-        for b in slices(batches):
+        for b in _by_bytes(batches, BATCH_BYTES):
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            sizes = [len(t.encode()) for t in texts]
-            out, begin, held = [], 0, 0
-            for i, n in enumerate(sizes):
-                held += n
-                if held >= BATCH_BYTES:
-                    out += count(texts[begin : i + 1])
-                    begin, held = i + 1, 0
-            out += count(texts[begin:])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(out, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

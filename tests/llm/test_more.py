@@ -203,6 +203,18 @@ def test_many_sources(spark, monkeypatch):
     assert sorted((r.doc_id, r.copies) for r in mixing.copies_taken(p.sized, p.cuts).collect()) == before
 
 
+def test_long_texts_without_spaces():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(21)
+    signs = ["日", "本", "語", "の", "を", "é", "ß", "a", "b", "the", "ing", "Z", "9", "+", "/", "\u0e01", "\U0001f600", "\u4e00", "-"]
+    texts = ["".join(rng.choices(signs[: rng.randrange(2, len(signs))], k=rng.randrange(300, 4000))) for _ in range(60)]
+    texts += [f"ab {t} cd  {t[:900]}" for t in texts[:20]] + ["\U0001f600" * 3000, "a" * 5000, "=" * 2000]
+    assert token_counts.lengths(PIECES)(texts) == [len(x) for x in sp.encode(texts)]
+    assert max(map(len, token_counts.lengths(PIECES).cache)) <= token_counts.SHORT
+
+
 # --- pages
 
 
