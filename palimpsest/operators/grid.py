@@ -70,16 +70,39 @@ def objects(frames: DataFrame, side: int) -> DataFrame:
         for f in batches:
             rows = []
             for level, step, cells in zip(f["level"], f["step"], f["cells"], strict=True):
-                g = np.asarray(cells, np.int64).reshape(-1, side)
-                skip = int(np.bincount(g.ravel(), minlength=16).argmax())
-                for i, (color, at) in enumerate(label(g, skip)):
-                    r, c = at // side, at % side
-                    rows.append((level, step, i, color, r.min(), c.min(), r.max(), c.max(), round(float(r.mean()), 2), round(float(c.mean()), 2), len(at), at.tolist()))
+                rows += [(level, step, i, *x) for i, x in enumerate(described(cells, side))]
             yield pd.DataFrame(rows, columns=names)
 
     return frames.select("level", "step", "cells").mapInPandas(run, OBJECT)
 
 
+def described(cells, side: int) -> list[tuple]:
+    """(color, r0, c0, r1, c1, row, col, size, cells) of the objects of one frame."""
+    g = np.asarray(cells, np.int64).reshape(-1, side)
+    skip = int(np.bincount(g.ravel(), minlength=16).argmax())
+    out = []
+    for color, at in label(g, skip):
+        r, c = at // side, at % side
+        out.append((color, int(r.min()), int(c.min()), int(r.max()), int(c.max()), round(float(r.mean()), 2), round(float(c.mean()), 2), len(at), at.tolist()))
+    return out
+
+
+def moves(old: list[tuple], new: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of objects (color, row, col): in order, each of old takes the nearest unused one of its colour."""
+    out, used = [], set()
+    for color in dict.fromkeys(x[0] for x in old):
+        for i in (i for i, x in enumerate(old) if x[0] == color):
+            near, best = MOST_APART, None
+            for k in (k for k, x in enumerate(new) if x[0] == color and k not in used):
+                d = float(np.hypot(old[i][1] - new[k][1], old[i][2] - new[k][2]))
+                if LEAST_MOVED < d < near:
+                    near, best = d, k
+            if best is not None:
+                used.add(best)
+                out.append((i, best))
+    return out
+
+
 def tracked(found: DataFrame) -> DataFrame:
     """Moves from one step to the next: greedy, each object in order takes the nearest unused one of its colour.
 
@@ -95,18 +118,10 @@ def tracked(found: DataFrame) -> DataFrame:
             old, new = sides.get((now, True)), sides.get((now, False))
             if old is None:
                 continue
-            used: set[int] = set()
-            for color in dict.fromkeys(old["color"]):
-                there = new[new["color"] == color]
-                for o in old[old["color"] == color].itertuples():
-                    near, best = MOST_APART, None
-                    for k, x in enumerate(there.itertuples()):
-                        d = float(np.hypot(o.row - x.row, o.col - x.col))
-                        if (color, k) not in used and LEAST_MOVED < d < near:
-                            near, best = d, (k, x)
-                    if best:
-                        used.add((color, best[0]))
-                        out.append((key[0], now, o.object, color, best[1].object, round(best[1].row - o.row, 2), round(best[1].col - o.col, 2)))
+            if new is None:
+                continue
+            a, b = (list(x[["color", "row", "col", "object"]].itertuples(index=False, name=None)) for x in (old, new))
+            out += [(key[0], now, a[i][3], a[i][0], b[k][3], round(b[k][1] - a[i][1], 2), round(b[k][2] - a[i][2], 2)) for i, k in moves(a, b)]
         return pd.DataFrame(out, columns=["level", "step", "object", "color", "now_object", "d_row", "d_col"])
 
     found = found.drop("cells")

@@ -26,11 +26,12 @@ def _blocks(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors = b.column("embedding").to_pylist()
-            ok = [i for i, v in enumerate(vectors) if v]
+            ok = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all()]
             idx, own = (np.array(b.column(c).to_pylist(), object)[ok] for c in ("idx", "part"))
             group = np.array([hash_of(i) % groups for i in idx], np.int64)
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
+            dim = np.array([len(vectors[i]) for i in ok], np.int64)
+            for g, d in sorted(set(zip(group.tolist(), dim.tolist(), strict=True))):
+                at = np.flatnonzero((group == g) & (dim == d))
                 m = np.array([vectors[ok[i]] for i in at], np.float32)
                 for other in range(groups):
                     # Side 0: the rows that look for neighbours; side 1: the rows that are looked at.
@@ -54,11 +55,12 @@ def _stack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _best(k: int, other_parts: bool, blended: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[dict], list[dict]]] = {}
+        held: dict[tuple[int, int], tuple[list[dict], list[dict]]] = {}
         for b in batches:
             for r in b.to_pylist():
-                held.setdefault(r["cell"], ([], []))[r["side"]].append(r)
-        for asking, asked in held.values():
+                held.setdefault((r["cell"], r["dim"]), ([], []))[r["side"]].append(r)
+        while held:
+            asking, asked = held.popitem()[1]
             if not asking or not asked:
                 continue
             (ai, ap, a), (bi, bp, b) = _stack(asking), _stack(asked)
@@ -96,7 +98,8 @@ def neighbours(vectors: DataFrame, k: int, *, other_parts: bool = False, blended
     """idx, part, other_idx, other_part, score, rank: each row's k nearest, by cosine or blended score.
 
     vectors: idx, part (a collection's number), embedding. other_parts looks only outside of a
-    row's own part; otherwise only the row itself is left out. Ties go to the smaller idx.
+    row's own part; otherwise only the row itself is left out. Ties go to the smaller idx. Rows
+    meet rows of their own length; vectors that are null, empty or hold no number take no part.
     """
     ship(vectors.sparkSession)
     n = vectors.count() if rows is None else rows

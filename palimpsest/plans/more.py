@@ -448,6 +448,11 @@ def published_stream(spark, d):
     return kept(spark, at_, spark.read.parquet(f"{at_}/out").select("signature"))
 
 
+@query(f"{_CELLS}, ch as (select a.level, a.step, count(*) filter (where a.color <> b.color) as changed from x a join x b on a.level = b.level and a.p = b.p and b.step = a.step - 1 group by all), nn as (select level, step, count(*) as objects from num group by all) select level, step, coalesce(objects, 0) as objects, changed, coalesce(objects, 0)::int as named from bg left join nn using (level, step) left join ch using (level, step)")
+def frame_stream(spark, d):
+    return stateful.observed(frames(spark, d), 8).select("level", "step", "objects", "changed", F.size(F.array_distinct("names")).alias("named"))
+
+
 @query("select conv_id::varchar as pack, turn as idx, turn + 1 as writes from conversations where turn < 3")
 def locked_writes(spark, d):
     """Writes of a pack in order, each under its lock: a lease that nobody else holds is granted."""

@@ -129,6 +129,56 @@ def frame_changes(frames: DataFrame) -> DataFrame:
     return frames.select("level", "step", "cells").groupBy("level").transformWithStateInPandas(Frames(), "level long, step long, changed long", "Append", "None")
 
 
+class Observer(StatefulProcessor):
+    """What each frame of a level shows against the one before, whose cells and objects' names are the state.
+
+    An object keeps the name of the one it moved from, or of one that stands where it stood;
+    others get new names. A step that is not above the last starts the level anew.
+    """
+
+    def __init__(self, side: int):
+        self.side = side
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.before = handle.getValueState("before", "step long, cells array<int>, names array<int>, next int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from ..operators.grid import described, moves
+
+        held = tuple(self.before.get()) if self.before.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values("step").itertuples():
+            cells = [int(x) for x in r.cells]
+            now = [(x[0], x[5], x[6]) for x in described(cells, self.side)]
+            names, fresh, changed, moved = [None] * len(now), 0, None, None
+            if held is not None and r.step > held[0]:
+                old = [(x[0], x[5], x[6]) for x in described(held[1], self.side)]
+                fresh = held[3]
+                changed = sum(a != b for a, b in zip(held[1], cells, strict=True))
+                found = moves(old, now)
+                moved = len(found)
+                for i, k in found:
+                    names[k] = held[2][i]
+                still = {x: held[2][i] for i, x in enumerate(old)}
+                names = [still.get(x) if n is None and still.get(x) not in names else n for n, x in zip(names, now, strict=True)]
+            for k, n in enumerate(names):
+                if n is None:
+                    names[k], fresh = fresh, fresh + 1
+            held = (int(r.step), cells, names, fresh)
+            out.append((key[0], r.step, len(now), changed, moved, names))
+        self.before.update(held)
+        yield pd.DataFrame(out, columns=["level", "step", "objects", "changed", "moves", "names"]).astype({"changed": "Int64", "moves": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def observed(frames: DataFrame, side: int) -> DataFrame:
+    """level, step, objects, changed and moves (null for a level's first frame), names of the objects."""
+    _state_store(frames)
+    return frames.select("level", "step", "cells").groupBy("level").transformWithStateInPandas(Observer(side), "level long, step long, objects long, changed long, moves long, names array<int>", "Append", "None")
+
+
 def _state_store(df: DataFrame) -> None:
     ship(df.sparkSession)
     df.sparkSession.streams.active  # noqa: B018  starts the session's state store coordinator, which batches need too

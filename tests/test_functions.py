@@ -254,3 +254,42 @@ def test_tracked_goes_over_calls_and_gaps(spark, monkeypatch):
     found = spark.createDataFrame([(*r, []) for r in rows], "level long, step long, object int, color int, row double, col double, cells array<int>")
     monkeypatch.setattr(G, "STEPS", 3)
     assert sorted((r.step, r.d_row) for r in G.tracked(found).collect()) == [(1, 1.0), (2, 1.0), (5, 3.0), (6, 1.0), (9, -4.0)]
+
+
+def test_neighbours_of_ragged_vectors(spark):
+    from palimpsest.operators.tiles import neighbours
+
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.1]), (2, 0, [1.0, 2.0, 3.0]), (3, 0, [1.0, 2.0, 2.0]), (4, 0, None), (5, 0, [float("nan"), 1.0]), (6, 0, []), (7, 0, [None, 1.0])]
+    got = neighbours(spark.createDataFrame(rows, "idx long, part long, embedding array<float>"), 3).collect()
+    assert sorted((r.idx, r.other_idx) for r in got) == [(0, 1), (1, 0), (2, 3), (3, 2)]
+
+
+def test_searches_fetch_texts_late(spark, small):
+    """The texts of documents are read for candidates only: their scan is below a semi join."""
+    from palimpsest.plans import queries as Q
+
+    plan = Q.QUERIES["memory_search"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    above = plan.split("LeftSemi")[0]
+    assert "text#" in above and "embedding#" in plan
+
+
+def test_appended_signatures(spark, tmp_path):
+    import numpy as np
+
+    from palimpsest.sources import readers
+
+    np.savez(tmp_path / "x_signatures.npz", signatures=np.ones((3, 4), np.float32), titles=np.array(["a", "b", "c"]), n_patterns=np.array(2))
+    rows = readers.read_signatures(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.collection, r.idx, r.title, r.text, r.signature) for r in rows] == [("x", 0, "a", None, [1.0] * 4), ("x", 1, "b", None, [1.0] * 4)]
+
+
+def test_properties_change_the_state(spark):
+    from palimpsest.operators import grid as G
+
+    cells = [0] * 60 + [1] * 4
+    f = spark.createDataFrame([(0, 0, cells)], "level long, step long, cells array<int>")
+    found, bg = G.objects(f, 8), G.background(f, 8)
+    plain = G.state_hash(found, bg).first().state
+    assert plain == G.state_hash(found.withColumn("object", F.col("object") + 7), bg).first().state
+    assert plain != G.state_hash(found.withColumn("props", F.lit('{"door":1}')), bg).first().state

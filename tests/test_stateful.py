@@ -103,3 +103,51 @@ def test_starter_and_queue(spark):
     rows = A.starter(spark, "p", "read me", 1).select("pack", "idx", "text")
     task = rows.limit(1).select("pack", F.lit(5).cast("long").alias("idx"), A.dispatch(F.lit("do it"), "2024").alias("text"))
     assert [r.idx for r in A.queue(rows.union(task)).collect()] == [5]
+
+
+def test_observer_keeps_names_over_batches(spark, tmp_path):
+    def frame(*at):
+        cells = [0] * 64
+        for p, color in at:
+            cells[p] = color
+        return cells
+
+    steps = [frame((9, 1), (50, 2)), frame((10, 1), (50, 2)), frame((11, 1), (50, 2), (60, 3)), frame((50, 2))]
+    rows = spark.createDataFrame([(0, i, c) for i, c in enumerate(steps)], "level long, step long, cells array<int>")
+    expected = [(0, 2, None, None, [0, 1]), (1, 2, 2, 1, [0, 1]), (2, 3, 3, 1, [0, 1, 2]), (3, 1, 2, 0, [1])]
+    assert [(r.step, r.objects, r.changed, r.moves, r.names) for r in stateful.observed(rows, 8).orderBy("step").collect()] == expected
+    got = []
+    for k in range(2):
+        rows.filter(f"step div 2 = {k}").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = stateful.observed(stream, 8).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [(r.step, r.objects, r.changed, r.moves, r.names) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("step").collect()]
+    assert got == expected
+
+
+def test_publishing_a_batch_again(spark, tmp_path):
+    """A batch that is run again after its write, before its commit, leaves the table as it was."""
+    import shutil
+
+    rows = spark.createDataFrame([("m", "a"), ("m", "b")], "machine string, pattern string")
+    rows.withColumn("signature", Fed.signature(rows)).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema("machine string, pattern string, signature string").parquet(str(tmp_path / "in"))
+        stateful.publish_stream(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        shutil.rmtree(tmp_path / "c" / "commits")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_writers_do_not_lose_rows(spark):
+    import threading
+
+    _, embed = hashed_embedder(8)
+    engine = Engine(spark, embed)
+    engine.mount("c", spark.createDataFrame([], "idx long, text string, embedding array<float>, meta map<string,string>"))
+    threads = [threading.Thread(target=engine.store, args=("c", f"text {i}"), kwargs={"timeout": 60.0}) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(r.idx for r in engine._of("c").select("idx").collect()) == list(range(6))
