@@ -94,7 +94,7 @@ def moves(old: list[tuple], new: list[tuple]) -> list[tuple[int, int]]:
         for i in (i for i, x in enumerate(old) if x[0] == color):
             near, best = MOST_APART, None
             for k in (k for k, x in enumerate(new) if x[0] == color and k not in used):
-                d = float(np.hypot(old[i][1] - new[k][1], old[i][2] - new[k][2]))
+                d = round(float(np.hypot(old[i][1] - new[k][1], old[i][2] - new[k][2])), 9)
                 if LEAST_MOVED < d < near:
                     near, best = d, k
             if best is not None:

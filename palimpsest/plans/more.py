@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions import text as T
 from ..functions import vector as V
 from ..functions.runtime import checkpointed, drop, scratch
@@ -339,6 +340,42 @@ def archive_rows(spark, d):
     return rows.select(F.col("meta")["idx"].cast("long").alias("idx"), "collection", total.alias("total"), F.aggregate(F.transform("sign_words", F.bit_count), F.lit(0), lambda a, x: a + x).alias("bits"), "dim", "text")
 
 
+@query("select vec_id as idx, label::varchar as collection, 't' || vec_id as title, 'text ' || vec_id as text, round(list_sum(embedding::double[]), 4) as total from embeddings")
+def signature_rows(spark, d):
+    """Signature files made of the collections, and read again."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
+        f, out = f.sort_values("idx"), io.BytesIO()
+        texts = np.array([np.void(zlib.compress(f"text {i}".encode()).ljust(64, b"\0")) for i in f["idx"]])
+        np.savez(out, signatures=np.array(f["embedding"].tolist(), np.float32), titles=np.array([f"t{i}" for i in f["idx"]]), compressed_texts=texts)
+        rows = [(int(f["idx"].iloc[k]), f["collection"].iloc[0], title, text, float(np.sum(signature))) for k, signature, title, text in R.signatures_of(out.getvalue())]
+        return pd.DataFrame(rows, columns=["idx", "collection", "title", "text", "total"])
+
+    out = vectors(spark, d).select("collection", "idx", "embedding").groupBy("collection").applyInPandas(run, "idx long, collection string, title string, text string, total double")
+    return out.withColumn("total", F.round("total", 4))
+
+
+_LE = "printf('%02x%02x%02x%02x', {x} & 255, ({x} >> 8) & 255, ({x} >> 16) & 255, ({x} >> 24) & 255)"
+
+
+@query(f"with {_LINK} select idx, {_LE.format(x='(idx + 1)')} as own, {_LE.format(x='coalesce(prev, 0)')} as prev, {_LE.format(x='coalesce(next, 0)')} as next, 64 as size from l")
+def link_bytes(spark, d):
+    """The fields' places in the packed link records."""
+    linked = B.links(read(spark, d, "documents").withColumnRenamed("doc_id", "idx"))
+    link = F.struct(*(F.col(c).cast("long").alias(c) if c in linked.columns else F.lit(1 if c == "format_version" else 0).cast("long").alias(c) for c in codec.FIELDS))
+    raw = linked.select("idx", codec.pack_link(link).alias("raw")).withColumn("hex", F.lower(F.hex("raw")))
+    return raw.select("idx", F.substring("hex", 1, 8).alias("own"), F.substring("hex", 13, 8).alias("prev"), F.substring("hex", 21, 8).alias("next"), F.length("raw").alias("size"))
+
+
+@query("select doc_id as idx, 64 as dim, 1.0::double as norm from documents where text is not null")
+def embedded_texts(spark, d):
+    embed, _ = V.hashed_embedder(64)
+    v = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("idx"), embed("text").alias("v"))
+    return v.select("idx", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 5).alias("norm"))
+
+
 # --- books
 
 _POEM = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
@@ -361,7 +398,7 @@ def prose_books(spark, d):
 
 # --- grids
 
-_CELLS = f"with recursive {_FRAME}, x as (select level, step, unnest(range(64)) as p, unnest(cells) as color from f), cnt as (select level, step, color, count(*) as n from x group by all), bg as (select level, step, arg_min(color, -n * 100 + color) as background from cnt group by all), on_ as (select x.* from x join bg using (level, step) where color <> background), nb as (select a.level, a.step, a.p, b.p as q from on_ a join on_ b on a.level = b.level and a.step = b.step and a.color = b.color and (abs(a.p - b.p) = 8 or (abs(a.p - b.p) = 1 and a.p // 8 = b.p // 8))), reach as (select level, step, p, p as c from on_ union select nb.level, nb.step, nb.q, reach.c from reach join nb using (level, step, p)), comp as (select level, step, p, min(c) as c from reach group by all), obj as (select level, step, c, any_value(color) as color, count(*) as size, min(p // 8) as r0, max(p // 8) as r1, min(p % 8) as c0, max(p % 8) as c1, round(avg(p // 8), 2) as row, round(avg(p % 8), 2) as col from comp join on_ using (level, step, p) group by all), num as (select *, (row_number() over (partition by level, step order by color, c) - 1)::int as object from obj)"
+_CELLS = f"with recursive {_FRAME}, x as (select level, step, unnest(range(64)) as p, unnest(cells) as color from f), cnt as (select level, step, color, count(*) as n from x group by all), bg as (select level, step, arg_min(color, -n * 100 + color) as background from cnt group by all), on_ as (select x.* from x join bg using (level, step) where color <> background), nb as (select a.level, a.step, a.p, b.p as q from on_ a join on_ b on a.level = b.level and a.step = b.step and a.color = b.color and (abs(a.p - b.p) = 8 or (abs(a.p - b.p) = 1 and a.p // 8 = b.p // 8))), reach as (select level, step, p, p as c from on_ union select nb.level, nb.step, nb.q, reach.c from reach join nb using (level, step, p)), comp as (select level, step, p, min(c) as c from reach group by all), obj as (select level, step, c, any_value(color) as color, count(*) as size, min(p // 8) as r0, max(p // 8) as r1, min(p % 8) as c0, max(p % 8) as c1, round_even(avg(p // 8), 2) as row, round_even(avg(p % 8), 2) as col from comp join on_ using (level, step, p) group by all), num as (select *, (row_number() over (partition by level, step order by color, c) - 1)::int as object from obj)"
 
 
 def found(spark, d):
@@ -374,6 +411,18 @@ SQL["grid_identity"] = f"{_CELLS}, pr as (select a.level, a.step, a.object, b.ob
 SQL["frame_changes"] = f"with {_FRAME}, g as (select level, step, cells, lag(cells) over (partition by level order by step) as b from f) select level, step, case when b is null then -1 else list_sum(list_transform(list_zip(cells, b), lambda z: case when z[1] <> z[2] then 1 else 0 end)) end::bigint as changed from g"
 
 
+_DIST = "round(sqrt((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)), 9)"
+SQL["grid_tracking"] = f"{_CELLS}, near as (select a.level, a.step + 1 as step, a.object, list(struct_pack(d := {_DIST}, k := b.object) order by {_DIST}, b.object) as cands from num a join num b on a.level = b.level and a.color = b.color and b.step = a.step + 1 where {_DIST} > 0.01 and {_DIST} < 10 group by all), old as (select n.level, n.step + 1 as step, n.object, cands, row_number() over (partition by n.level, n.step order by n.object) as turn from num n left join near on near.level = n.level and near.step = n.step + 1 and near.object = n.object), walk as (select level, step, object, turn, cands[1].k as k, case when cands[1].k is null then []::int[] else [cands[1].k] end as used from old where turn = 1 union all select o.level, o.step, o.object, o.turn, list_filter(coalesce(o.cands, []), lambda c: not list_contains(w.used, c.k))[1].k, case when list_filter(coalesce(o.cands, []), lambda c: not list_contains(w.used, c.k))[1].k is null then w.used else list_append(w.used, list_filter(coalesce(o.cands, []), lambda c: not list_contains(w.used, c.k))[1].k) end from walk w join old o on o.level = w.level and o.step = w.step and o.turn = w.turn + 1) select w.level, w.step, w.object, a.color::int as color, w.k as now_object, round(b.row - a.row, 2) as d_row, round(b.col - a.col, 2) as d_col from walk w join num a on a.level = w.level and a.step = w.step - 1 and a.object = w.object join num b on b.level = w.level and b.step = w.step and b.object = w.k"
+
+
+@query(f"{_CELLS} select level, step, color::int as color, round(n / max(n) over (partition by level, step), 6) as share from cnt")
+def grid_vectors(spark, d):
+    """Colours' shares of the most frequent one's, read off the frames' descriptions."""
+    embed = F.pandas_udf(V.grid_embedding, "array<double>")
+    v = frames(spark, d).withColumn("v", embed("cells")).select("level", "step", F.array_max(F.slice("v", 1, 16)).alias("top"), F.posexplode(F.slice("v", 1, 16)).alias("color", "x")).filter("x > 0")
+    return v.select("level", "step", "color", F.round(F.col("x") / F.col("top"), 6).alias("share"))
+
+
 @query(f"{_CELLS} select comp.level, comp.step, p::int as cell, object as owner, 1 as claims from comp join num using (level, step, c)")
 def grid_owners(spark, d):
     return G.owners(found(spark, d)).select("level", "step", "cell", "owner", F.size("stack").alias("claims"))
