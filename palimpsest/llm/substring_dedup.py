@@ -12,7 +12,7 @@ that share more than LENGTH bytes, on which nothing here depends, so it is not t
 
     1. Documents are dealt to blocks of about BLOCK bytes and written once, compressed;
        triggers are dealt to parts, about one for each PART bytes of text.
-    2. Each block sends its triggers, 5 bytes each; which of them other blocks have comes back
+    2. Each block sends its triggers, two to three bytes each; which of them other blocks have comes back
        as a bitmap.
     3. Each block sends the distinct phrases of shared triggers. A part merges equal phrases,
        leaves out the suffixes whose LENGTH bytes have a hash of their own, sorts the others, and
@@ -46,7 +46,6 @@ LENGTH, K = 50, 28
 BLOCK, PART = 4 << 20, 12 << 20
 CHUNK = 1 << 16
 LAST = np.iinfo(np.int64).max
-BITS = np.uint64((1 << 40) - 1)
 TEXTS = "block int, ids binary, sizes binary, data binary"
 
 
@@ -185,9 +184,18 @@ class Triggers:
         self.own = place[np.cumsum(new) - 1]  # of the phrases in order
 
 
-def _short(key: np.ndarray, parts: int) -> np.ndarray:
-    """40 bits of a key beside its part."""
-    return (key // np.uint64(parts)) & BITS
+def _coded(key: np.ndarray) -> bytes:
+    """The leading 32 bits of sorted keys, as differences byte by byte: two to three bytes each.
+
+    Two triggers of a part may share them; then phrases are sent that need not be.
+    """
+    x = (key >> np.uint64(32)).astype(np.uint32)
+    return _pack(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpack(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def _triggers(parts: int):
@@ -197,8 +205,7 @@ def _triggers(parts: int):
                 found = Triggers(_block(row), parts)
                 rows = []
                 for p, own in found.parts:
-                    x = _short(found.key[own], parts)
-                    rows.append({"block": row["block"], "part": p, "data": (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()})
+                    rows.append({"block": row["block"], "part": p, "data": _coded(found.key[own])})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
 
@@ -222,10 +229,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block and part a bitmap of the triggers that other blocks have too."""
     for part, rows in _parts(batches):
-        keys = []
-        for _, data in rows:
-            n = len(data) // 5
-            keys.append(np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+        keys = [_decoded(data) for _, data in rows]
         every = np.sort(np.concatenate(keys))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
