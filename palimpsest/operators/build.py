@@ -61,17 +61,29 @@ def part_prefix(chunks: DataFrame, source: str = "source") -> DataFrame:
     return chunks.withColumn("text", F.concat(head, F.lit("\n"), "text"))
 
 
+#: Numbers of a source that are chained in one task.
+STRETCH = 1 << 16
+
+
 def links(patterns: DataFrame, source: str = "source") -> DataFrame:
     """Adds pattern_id, prev, next, sequence_num, source_hash, flags, perms_byte: the chain of each source.
 
-    Sources are the sort key of one window each; a source that grows without bound should be
-    cut into volumes first, as its chain is a sequence.
+    A source's rows are chained stretch by stretch (STRETCH numbers each); the stretches' ends
+    and counts, a row each, are chained in turn, so that no task holds a source.
     """
-    own = Window.partitionBy(source).orderBy("idx")
-    prev, after = F.lag("idx").over(own) + 1, F.lead("idx").over(own) + 1
-    out = patterns.withColumns({"pattern_id": F.col("idx") + 1, "prev": prev, "next": after, "sequence_num": F.row_number().over(own) - 1, "source_hash": T.source_hash(F.col(source))})
+    rows = patterns.withColumn("_stretch", F.floor(F.col("idx") / STRETCH))
+    ends = rows.groupBy(source, "_stretch").agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.count("*").alias("_n"))
+    order = Window.partitionBy(source).orderBy("_stretch")
+    ends = ends.select(
+        F.col(source).alias("_source"), F.col("_stretch").alias("_s"), F.lag("_last").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"),
+        (F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_offset"),
+    )
+    rows = rows.join(ends, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_stretch") == F.col("_s")))
+    own = Window.partitionBy(source, "_stretch").orderBy("idx")
+    prev, after = F.coalesce(F.lag("idx").over(own), "_before") + 1, F.coalesce(F.lead("idx").over(own), "_after") + 1
+    out = rows.withColumns({"pattern_id": F.col("idx") + 1, "prev": prev, "next": after, "sequence_num": (F.row_number().over(own) - 1 + F.col("_offset")).cast("int"), "source_hash": T.source_hash(F.col(source))})
     flags = F.when(F.col("prev").isNotNull(), F.lit(HAS_PARENT)).otherwise(F.lit(0)).bitwiseOR(F.when(F.col("next").isNotNull(), F.lit(HAS_CHILD)).otherwise(F.lit(0)))
-    return out.withColumn("flags", flags).withColumn("perms_byte", F.lit(3))
+    return out.drop("_stretch", "_source", "_s", "_before", "_after", "_offset").withColumn("flags", flags).withColumn("perms_byte", F.lit(3))
 
 
 def passage_links(linked: DataFrame) -> DataFrame:

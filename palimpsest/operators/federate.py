@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.runtime import checkpointed
+from . import forest
 from .tiles import neighbours
 
 #: Scores of confirmation and of contradiction, and the overlap below which a close pair contradicts (fixed values).
@@ -94,21 +94,10 @@ def preserved(patterns: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """idx, component: the smallest idx reachable over links (idx, other_idx), both directions given.
-
-    Smallest labels spread along links and along labels, so rounds are few; lineage is cut by
-    checkpoints in the session's shared folder.
-    """
-    labels = checkpointed(nodes.select("idx", F.col("idx").alias("component")).distinct())
-    links = checkpointed(links.select("idx", "other_idx").distinct())
-    while True:
-        around = links.join(labels.withColumnsRenamed({"idx": "other_idx", "component": "_c"}), "other_idx").groupBy("idx").agg(F.min("_c").alias("_c"))
-        step = labels.join(around, "idx", "left").select("idx", F.least("component", "_c").alias("component"), F.col("component").alias("was"))
-        up = step.select(F.col("idx").alias("component"), F.col("component").alias("_up"))
-        after = checkpointed(step.join(up, "component", "left").select("idx", F.least("component", "_up").alias("component"), "was"))
-        labels = after.drop("was")
-        if after.filter("component <> was").isEmpty():
-            return labels
+    """idx, component: the smallest idx reachable over links (idx, other_idx); nodes without links are their own."""
+    labels = forest.components(links.select(F.col("idx").alias("a"), F.col("other_idx").alias("b")))
+    out = nodes.select("idx").distinct().join(labels.withColumnRenamed("id", "idx"), "idx", "left")
+    return out.select("idx", F.coalesce("component", "idx").alias("component"))
 
 
 def collapsed(patterns: DataFrame, found: DataFrame, shown: int = 200) -> DataFrame:

@@ -293,3 +293,25 @@ def test_properties_change_the_state(spark):
     plain = G.state_hash(found, bg).first().state
     assert plain == G.state_hash(found.withColumn("object", F.col("object") + 7), bg).first().state
     assert plain != G.state_hash(found.withColumn("props", F.lit('{"door":1}')), bg).first().state
+
+
+def test_chains_over_stretches(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = rng.sample(range(200), 60)
+    rows = [(i, rng.choice(["a", "b", None])) for i in ids]
+    monkeypatch.setattr(B, "STRETCH", 8)
+    got = {r.idx: r for r in B.links(spark.createDataFrame(rows, "idx long, source string")).collect()}
+    for s in ("a", "b", None):
+        chain = sorted(i for i, x in rows if x == s)
+        for n, i in enumerate(chain):
+            r = got[i]
+            assert (r.pattern_id, r.prev, r.next, r.sequence_num) == (i + 1, chain[n - 1] + 1 if n else None, chain[n + 1] + 1 if n + 1 < len(chain) else None, n)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    from palimpsest.operators import forest
+
+    edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 50)] + [(300, 300)]
+    random.Random(1).shuffle(edges)
+    got = {r.id: r.component for r in forest.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert got == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(200, 250), 200), 300: 300}
