@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.forest import components
 from .common import checkpointed, id_filter, look_up, map_arrow, maybe_in, slices, spread
 from .shingles import LEFT, RIGHT, mix, shingle_sets
 
@@ -472,59 +473,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     return checkpointed(map_arrow(p.select("a", "b", "set_a", "set_b"), _confirmed(near.percent), PAIRS))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(root, node) for every node of the edges that is not the smallest of its component."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        x, y = label[u], label[v]
-        open_ = x != y
-        if not open_.any():
-            break
-        np.minimum.at(label, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
-        while (label[label] != label).any():
-            label = label[label]
-    below = label != np.arange(len(ids))
-    return ids[label[below]], ids[below]
-
-
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as stars: as many rows as it has nodes at most."""
-    held = np.zeros((2, 0), np.int64)
-    for b in batches:
-        held = np.stack(forest(*(np.concatenate(x) for x in zip(held, _longs(b, "a", "b"), strict=True))))
-    yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["a", "b"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every node of the edges (a, b).
-
-    Each task turns its edges to stars, every node takes its smallest root, and edges are
-    contracted to the roots of these pointers. Each round at least halves the nodes that
-    still have edges, so rounds grow with the logarithm of the nodes.
-    """
-    labels = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
-    edges = edges.select("a", "b")
-    while True:
-        stars = checkpointed(map_arrow(edges.filter("a <> b"), _forests, PAIRS))
-        if stars.isEmpty():
-            return labels
-        up = checkpointed(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-        while True:  # pointers double until all end in roots
-            above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            step = checkpointed(up.join(above, "root", "left"))
-            up = step.select("node", F.coalesce("top", "root").alias("root"))
-            if step.filter("top is not null").isEmpty():
-                break
-        low, high = (up.select(F.col("node").alias(c), F.col("root").alias("_" + c)) for c in ("a", "b"))
-        # A star that became one pointer, and whose root has none, is done.
-        edges = stars.join(high, "b").filter("_b <> a").join(low, "a", "left")
-        edges = checkpointed(edges.select(F.coalesce("_a", "a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
-        to = up.select(F.col("node").alias("component"), "root")
-        labels = checkpointed(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
-
-
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sketched = checkpointed(sketches(docs, near.words))
