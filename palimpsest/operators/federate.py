@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.runtime import checkpointed
 from . import forest
 from .tiles import neighbours
 
@@ -95,7 +96,7 @@ def preserved(patterns: DataFrame, found: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """idx, component: the smallest idx reachable over links (idx, other_idx); nodes without links are their own."""
-    labels = forest.components(links.select(F.col("idx").alias("a"), F.col("other_idx").alias("b")))
+    labels = forest.components(checkpointed(links.select(F.col("idx").alias("a"), F.col("other_idx").alias("b"))))
     out = nodes.select("idx").distinct().join(labels.withColumnRenamed("id", "idx"), "idx", "left")
     return out.select("idx", F.coalesce("component", "idx").alias("component"))
 

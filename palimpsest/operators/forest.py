@@ -37,20 +37,27 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["a", "b"])
 
 
+#: Edges that one task joins at the end: half a megabyte.
+FEW = 1 << 15
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every node of the edges (a, b).
 
     Each task turns its edges to stars, every node takes its smallest root, and edges are
     contracted to the roots of these pointers. Each round at least halves the nodes that
-    still have edges, so rounds grow with the logarithm of the nodes.
+    still have edges, so rounds grow with the logarithm of the nodes; FEW edges that are left
+    take no more rounds. edges are read twice, so they should have been written before.
     """
     ship(edges.sparkSession)
-    labels = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
     edges = edges.select("a", "b")
     while True:
         stars = checkpointed(edges.filter("a <> b").mapInArrow(_forests, "a long, b long"))
-        if stars.isEmpty():
-            return labels
+        left = stars.count()
+        if left <= FEW:
+            to = stars.coalesce(1).mapInArrow(_forests, "a long, b long").select(F.col("b").alias("component"), F.col("a").alias("root"))
+            return checkpointed(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component"))) if left else labels
         up = checkpointed(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:  # pointers double until all end in roots
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))

@@ -308,9 +308,11 @@ def test_chains_over_stretches(spark, monkeypatch):
             assert (r.pattern_id, r.prev, r.next, r.sequence_num) == (i + 1, chain[n - 1] + 1 if n else None, chain[n + 1] + 1 if n + 1 < len(chain) else None, n)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 20, 1 << 15])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, few):
     from palimpsest.operators import forest
 
+    monkeypatch.setattr(forest, "FEW", few)
     edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 50)] + [(300, 300)]
     random.Random(1).shuffle(edges)
     got = {r.id: r.component for r in forest.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
