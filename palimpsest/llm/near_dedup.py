@@ -267,12 +267,12 @@ def _half_bands(parts: int):
     return run
 
 
-TALLY = "id long, tables long, key long, main long, most long, others long"
+TALLY = "id long, tables long, t int, main long, mains long, others long"
 
 
 def _tally(group: int):
-    """Of half-bands with several components: each id with a mask of its tables, and the keys of
-    over group shingles, with their largest component, its shingles and those of the others."""
+    """Of half-bands with several components: each id with a mask of its tables, and for those of
+    over group shingles each id with its table, the largest component, the groups of that one and of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _parts(batches, (np.uint64, *[np.int64] * 4)):
@@ -283,21 +283,26 @@ def _tally(group: int):
             open_ = heads[start] < heads[start + size - 1]
             total = np.add.reduceat(n, start)
             some = np.repeat(open_, size)
-            hot = []
+            none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
+            hot: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
             for k in np.flatnonzero(open_ & (total > group)).tolist():
                 own = slice(start[k], start[k] + size[k])
                 first = _runs(heads[own])[0]
                 each = np.add.reduceat(n[own], first)
                 top = int(each.argmax())
-                hot.append((int(key[start[k]].view(np.int64)), int(heads[own][first[top]]), int(each[top]), int(total[k] - each[top])))
+                main, most = int(heads[own][first[top]]), int(each[top])
+                info = (main, -(-most // group), -(-int(total[k] - most) // group))
+                for column, x in zip(hot, (ids[own], tables[own], *(np.full(size[k], v, np.int64) for v in info)), strict=True):
+                    column.append(x)
             ids, bits = ids[some], np.int64(1) << tables[some]
             order = np.argsort(ids, kind="stable")
             ids, bits = ids[order], bits[order]
             first = _runs(ids)[0]
             masks = np.bitwise_or.reduceat(bits, first) if len(ids) else bits
-            none = lambda k: pa.nulls(k, pa.int64())
-            held, more = (ids[first], masks), [np.array(c, np.int64) for c in (zip(*hot, strict=True) if hot else [()] * 4)]
-            columns = [*(pa.concat_arrays([pa.array(c), none(len(hot))]) for c in held), *(pa.concat_arrays([none(len(first)), pa.array(c)]) for c in more)]
+            named, table, *more = (np.concatenate(c) for c in hot)
+            m, k = len(first), len(named)
+            columns = [pa.array(np.concatenate([ids[first], named])), pa.concat_arrays([pa.array(masks), none(k)]), pa.concat_arrays([none(m, pa.int32()), pa.array(table.astype(np.int32))])]
+            columns += [pa.concat_arrays([none(m), pa.array(c)]) for c in more]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in TALLY.split(", ")])
 
     return run
@@ -306,13 +311,14 @@ def _tally(group: int):
 TILES = "part int, cells binary, places binary, sides binary, tables binary, heads binary, halves binary, sizes binary, shingles binary"
 
 
-def _tiles(words: int, parts: int, groups: dict[int, tuple[int, int, int]]):
+def _tiles(words: int, parts: int):
     """Documents with their sets for each tile that they are in, as arrays by part; a part gets a batch's document once.
 
-    groups: of a hot half-band its largest component, the groups of that one and of the others.
+    The column hot has for each of a document's hot half-bands its table, the largest component,
+    the groups of that one and of the others.
     """
 
-    def dealt(half, ids, heads, masks, sets):
+    def dealt(half, ids, heads, masks, groups, sets):
         cells, places, sides, tables = [], [], [], []
 
         def put(cell, at, side, t):
@@ -320,10 +326,10 @@ def _tiles(words: int, parts: int, groups: dict[int, tuple[int, int, int]]):
 
         for t in range(TABLES):
             at = np.flatnonzero(masks >> t & 1)
-            hot = np.array([k in groups for k in half[at, t].view(np.int64).tolist()], bool)
+            hot = np.array([t in groups[k] for k in at.tolist()], bool)
             put(half[at[~hot], t], at[~hot], 0, t)
             for k in at[hot].tolist():
-                main, mains, others = groups[int(half[k, t].view(np.int64))]
+                main, mains, others = groups[k][t]
                 draw, here = int(mix(ids[k : k + 1].astype(np.uint64))[0]), np.array([k])
                 # Groups of other components have the numbers from 0, those of the largest come after them.
                 if heads[k] == main:
@@ -343,11 +349,12 @@ def _tiles(words: int, parts: int, groups: dict[int, tuple[int, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             half, (ids, heads, masks) = _halves(b), _longs(b, "doc_id", "component", "tables")
+            groups = [{x["t"]: (x["main"], x["mains"], x["others"]) for x in own} for own in b.column("hot").to_pylist()]
             sets, begin = [], 0
             for k, s in enumerate(shingle_sets(_bytes(b.column("text")), words), 1):
                 sets.append(s)
                 if k == b.num_rows or sum(map(len, sets)) > 1 << 19:
-                    yield dealt(*(x[begin:k] for x in (half, ids, heads, masks)), sets)
+                    yield dealt(*(x[begin:k] for x in (half, ids, heads, masks, groups)), sets)
                     sets, begin = [], k
 
     return run
@@ -403,15 +410,15 @@ def rest(found: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame,
     rows = checkpointed(rows.select("doc_id", "n", "halves", F.coalesce("component", "doc_id").alias("component")))
     parts = max(16, -(-rows.count() * TABLES // 250_000))
     tally = checkpointed(map_arrow(map_arrow(rows, _half_bands(parts), HALVES).repartition(parts, "part"), _tally(GROUP), TALLY))
-    hot = tally.filter("key is not null").select("key", "main", "most", "others").collect()  # at most TABLES / GROUP of the shingles
-    groups = {r.key: (r.main, -(-r.most // GROUP), -(-r.others // GROUP)) for r in hot}
-    tables = tally.filter("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.bit_or("tables").alias("tables"))
+    hot = F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "main", "mains", "others"))).alias("hot")  # TABLES at most
+    tables = tally.groupBy(F.col("id").alias("doc_id")).agg(F.bit_or("tables").alias("tables"), hot)
     rows = checkpointed(rows.join(tables, "doc_id"))
-    sent = rows.agg(F.sum((F.col("n") + 32) * F.bit_count("tables"))).first()[0] or 0
-    parts = max(16, -(-(sent + sum(r.most * groups[r.key][2] + r.others * sum(groups[r.key][1:]) for r in hot)) // 1_000_000))
+    more = F.aggregate("hot", F.lit(0).cast("long"), lambda x, h: x + h["others"] + F.when(h["main"] == F.col("component"), 0).otherwise(h["mains"]) - 1)
+    sent = rows.agg(F.sum((F.col("n") + 32) * (F.bit_count("tables") + more))).first()[0] or 0
+    parts = max(16, -(-sent // 1_000_000))
     asked = maybe_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", id_filter(rows.select("doc_id")))
-    asked = asked.filter("_maybe").select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", "halves", "component", "tables")
-    placed = map_arrow(asked, _tiles(near.words, parts, groups), TILES).repartition(parts, "part")
+    asked = asked.filter("_maybe").select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", "halves", "component", "tables", "hot")
+    placed = map_arrow(asked, _tiles(near.words, parts), TILES).repartition(parts, "part")
     return checkpointed(map_arrow(placed, _joined(near.percent), PAIRS))
 
 
