@@ -33,6 +33,7 @@ from .common import checkpointed, drop_folder, id_filter, map_arrow, maybe_in, s
 #: Bytes of the queries of a slab, vectors of a block, cells of a component.
 SLAB, BLOCK, CELLS = 8 << 20, 4096, 256
 EXACT = 2**53
+FOUND = "dim int, query_id long, vec_id long, score long"
 INDEX = "dim int, ids binary, low binary, width binary, cells binary, vectors binary"
 
 
@@ -210,20 +211,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     narrow = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     at = f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4()}"
-    map_arrow(narrow, _index, INDEX).withColumn("block", F.monotonically_increasing_id()).write.parquet(at)
-    index = spark.read.parquet(at)
+    map_arrow(narrow, _index, INDEX).withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{at}/index")
+    index = spark.read.parquet(f"{at}/index")
     cells = index.drop("vectors")
     asked = narrow.filter(is_query & F.col("embedding").isNotNull())
     size = asked.agg(F.coalesce(F.sum(8 * F.size("embedding").cast("long") + 8), F.lit(0)).alias("x")).first().x
     slabs = max(1, -(-2 * size // SLAB) if size > SLAB else 1)
-    out = None
     for s in range(slabs):
         slab = _slab(asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(slabs)) == s))
         bounds = map_arrow(cells, _floor(slab, k), "dim int, query_id long, bound double").groupBy("dim", "query_id").agg(F.max("bound").alias("bound"))
         least = {(r.dim, r.query_id): r.bound for r in bounds.collect()}
         needed = id_filter(map_arrow(cells, _needed(slab, least), "block long"))  # a bitmap: no block more than once in a task
-        found = map_arrow(maybe_in(index, "block", needed).filter("_maybe").drop("_maybe"), _read(slab, least, k), "dim int, query_id long, vec_id long, score long")
-        out = found if out is None else out.unionAll(found)
+        found = map_arrow(maybe_in(index, "block", needed).filter("_maybe").drop("_maybe"), _read(slab, least, k), FOUND)
+        found.write.mode("append").parquet(f"{at}/found")  # so the driver and the plan hold one slab
+    out = spark.read.schema(FOUND).parquet(f"{at}/found")
     order = Window.partitionBy("query_id", "dim").orderBy(F.col("score").desc(), "vec_id")
     ranked = checkpointed(out.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
     drop_folder(spark, at)
