@@ -246,6 +246,16 @@ def test_top_k(spark):
     assert set(got) <= set(whole)
 
 
+def test_top_k_in_several_slabs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)] + [(200, [1.0, 2.0]), (300, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, vector_file.search(df, F.col("vec_id") % 10 == 0, 3).collect()))
+    monkeypatch.setattr(vector_file, "SLAB", 160)
+    assert sorted(map(tuple, vector_file.search(df, F.col("vec_id") % 10 == 0, 3).collect())) == whole
+    assert len(whole) == 36  # twelve queries; one is alone with its length
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(i, [3e12 * (i + 1), -1e12]) for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
