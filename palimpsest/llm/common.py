@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -169,3 +170,14 @@ def look_up(rows: DataFrame, key: str, spare: Column, found: DataFrame, size: st
     other = found.select(F.col(key).cast("string").alias("_own"), *values)
     out = rows.withColumn("_own", F.coalesce(own, F.concat(F.lit("#"), spare))).join(other, "_own", "left")
     return out.select(*(c for c in rows.columns if c == key or not c.startswith("_hot")), *(F.coalesce("_hot_" + c, c).alias(c) for c in values))
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """df written as Parquet to folder and read again: its lineage is cut, its columns are packed."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that the driver and all executors share; drop_folder removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"

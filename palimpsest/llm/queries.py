@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vector_file
+from . import exact_dedup, html_text, importance, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vector_file
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -70,4 +75,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html": op9_html,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_importance": op11_importance,
 }

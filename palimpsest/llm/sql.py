@@ -131,6 +131,37 @@ with rows as (select doc_id, {_LOWER} as norm from documents), groups as (select
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from rows join groups using (norm)
 """
 
+_LETTERS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(t=_LOWER)
+
+_IMPORTANCE = f"""
+with tables as (
+    select list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) order by i) as table_ from range(256) t(i)
+), words as (
+    select doc_id, unnest({_LETTERS}) as w from documents
+), wanted as (
+    select unnest({_LETTERS}) as w from benchmark
+), hashed as (
+    select w, xor({_CRC}, 4294967295::bigint) % 10000 as bucket from (select w, hex(encode(w)) as x, octet_length(encode(w)) as n from (select w from words union select w from wanted)), tables
+), d as (
+    select bucket, count(*) as s from words join hashed using (w) group by bucket
+), b as (
+    select bucket, count(*) as t from wanted join hashed using (w) group by bucket
+), counts as (
+    select bucket, coalesce(s, 0) as s, coalesce(t, 0) as t, coalesce(sum(s) over (), 0) as all_s, coalesce(sum(t) over (), 0) as all_t from d full join b using (bucket)
+), gains as (
+    select bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::double / ((s + 1) * (all_t + 10000))::double))::bigint as gain from counts
+), sums as (
+    select doc_id, count(*) as n, sum(gain)::bigint as gain from words join hashed using (w) join gains using (bucket) group by doc_id
+), scored as (
+    select doc_id, coalesce(n, 0) as n_features, coalesce((gain - ((gain % n) + n) % n) // n, 0)::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id::varchar), 1, 8))::bigint as h from documents left join sums using (doc_id)
+), drawn as (
+    select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score, n_features >= 20 as long from scored
+), ranked as (
+    select *, row_number() over (partition by long order by score desc, doc_id) as r, count(*) filter (where long) over () as n from drawn
+)
+select doc_id, n_features, weight, score, case when long and r <= 10 * n // 100 then r end as rank from ranked
+"""
+
 SQL: dict[str, str] = {
     "op2_mixing": _MIXING,
     "op3_near_dedup": _NEAR,
@@ -138,4 +169,5 @@ SQL: dict[str, str] = {
     "op5_substring_dedup": _SUBSTRINGS,
     "op8_sharding": _SHARDING,
     "op10_exact_dedup": _COPIES,
+    "op11_importance": _IMPORTANCE,
 }
