@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, importance, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vector_file
+from . import exact_dedup, html_text, importance, lexical, mixing, near_dedup, ngram_join, packing, sharding, substring_dedup, token_counts, toxicity, vector_file
 from .common import table
 
 
@@ -64,6 +64,14 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), near_dedup.Near(words=4, percent=85))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -76,4 +84,6 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_importance": op11_importance,
+    "op12_lexical": op12_lexical,
+    "op13_ngram_join": op13_ngram_join,
 }

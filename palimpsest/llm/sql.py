@@ -162,6 +162,34 @@ with tables as (
 select doc_id, n_features, weight, score, case when long and r <= 10 * n // 100 then r end as rank from ranked
 """
 
+_TERMS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(t=_LOWER)
+
+_LEXICAL = f"""
+with postings as (
+    select doc_id, w, count(*) as tf from (select doc_id, unnest({_TERMS}) as w from documents) group by doc_id, w
+), lengths as (
+    select doc_id, sum(tf)::bigint as n from postings group by doc_id
+), totals as (
+    select count(*) as all_n, sum(n)::bigint as all_l from lengths
+), weights as (
+    select w, floor(1000 * ln((2 * all_n + 2)::double / (2 * df + 1)::double))::bigint as weight from (select w, count(*) as df from postings group by w), totals
+), asked as (
+    select item_id, w, count(*) as r from (select item_id, unnest({_TERMS}) as w from benchmark) group by item_id, w
+), scored as (
+    select item_id, doc_id, sum(r * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_n) // all_l))))::bigint as score
+    from asked join weights using (w) join postings using (w) join lengths using (doc_id), totals group by item_id, doc_id
+), ranked as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+#: The same join as near duplicates, over sets of four words.
+_JACCARD = (
+    _NEAR.replace("when len(w) < 2 then w else [w[i], w[i + 1]]", "when len(w) < 4 then w else w[i:i + 3]").replace("greatest(len(w), 2)", "greatest(len(w) - 2, 2)")
+    .replace("100 * k >= 80", "100 * k >= 85").replace(", component_id, doc_id = component_id as kept", ", component_id")
+)
+
 SQL: dict[str, str] = {
     "op2_mixing": _MIXING,
     "op3_near_dedup": _NEAR,
@@ -170,4 +198,6 @@ SQL: dict[str, str] = {
     "op8_sharding": _SHARDING,
     "op10_exact_dedup": _COPIES,
     "op11_importance": _IMPORTANCE,
+    "op12_lexical": _LEXICAL,
+    "op13_ngram_join": _JACCARD,
 }
