@@ -116,7 +116,7 @@ def _postings(t: Target):
             part, bucket = key // each, key % each * PARTS + key // each
             parts, begin = np.unique(part, return_index=True)
             rows = []
-            for p, i, j in zip(parts.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+            for p, i, j in zip(parts.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)][: len(parts)], strict=True):
                 rows.append((at, p, bucket[i:j].astype(np.int32).tobytes(), place[i:j].astype(np.int16).tobytes(), count[i:j].astype(np.int32).tobytes(), None, None, None, None))
             rows.append((at, -1, None, None, None, b.column("doc_id").to_pylist(), b.column("key").to_pylist(), features.tolist(), words.tolist()))
             longs = pa.list_(pa.int64())
