@@ -161,10 +161,9 @@ def test_join(docs, n, percent):
     assert sorted(map(tuple, got.collect()), key=repr) == joined([(r[0], r[1]) for r in nasty()], n, percent)
 
 
-@pytest.mark.parametrize(("dear", "group"), [(512, 1 << 16), (0, 300)])
-def test_join_of_families(spark, monkeypatch, dear, group):
-    """Many near copies, with tiles of small groups, and with every key dear."""
-    monkeypatch.setattr(ngram_join, "DEAR", dear)
+@pytest.mark.parametrize("group", [4096, 8])
+def test_join_of_families(spark, monkeypatch, group):
+    """Many near copies, with large buckets in one tile and in many."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "LEAST", 1)
     rng = random.Random(3)
@@ -181,7 +180,10 @@ def test_join_of_families(spark, monkeypatch, dear, group):
     assert sorted(map(tuple, got.collect()), key=repr) == joined(rows, 4, 85)
 
 
-def test_join_of_repeats_and_empty_tables(docs):
+def test_join_of_repeats_and_empty_tables(spark, docs):
+    rows = [(1, "a b c d e"), (2, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "p q r s t")]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), Near(words=4, percent=85))
+    assert sorted(map(tuple, got.collect())) == joined(rows, 4, 85)
     assert ngram_join.classes(docs.filter("false"), Near(words=4, percent=85)).count() == 0
     got = ngram_join.classes(docs.union(docs), Near(words=4, percent=85))
     assert sorted(map(tuple, got.collect()), key=repr) == joined([(r[0], r[1]) for r in nasty()] * 2, 4, 85)
@@ -189,7 +191,7 @@ def test_join_of_repeats_and_empty_tables(docs):
 
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_links_share_a_key(percent):
-    """Every pair that links meets, whatever keys are dear."""
+    """Every pair that links meets, whatever keys cost, and no bitmap rules it out."""
     rng = np.random.default_rng(percent)
     met = 0
     for trial in range(1500):
@@ -201,9 +203,11 @@ def test_links_share_a_key(percent):
         both = len(np.intersect1d(s, t))
         if not len(t) or 100 * both < percent * (len(s) + len(t) - both) or np.array_equal(s, t):
             continue
-        share = rng.choice([0, 0.05, 0.3, 0.9])
-        dear = np.packbits(rng.random(ngram_join.SLOTS) < share, bitorder="little") if trial % 5 == 0 else None
-        x, y = ({int(k) for b in ngram_join.bands_of(percent, len(v)) for k in ngram_join.chosen(v, b, dear)} for v in (s, t))
+        costs = rng.integers(0, 15, ngram_join.SLOTS).astype(np.uint8) if trial % 5 == 0 else np.zeros(ngram_join.SLOTS, np.uint8)
+        x, y = ({int(k) for b in ngram_join.bands_of(percent, len(v)) for k in ngram_join.chosen(v, b, costs)} for v in (s, t))
         assert x & y
+        to = min(len(ngram_join.parity(v)) for v in (s, t))
+        apart = np.bitwise_count(ngram_join.folded(ngram_join.parity(s), to) ^ ngram_join.folded(ngram_join.parity(t), to)).sum()
+        assert apart <= len(s) + len(t) - 2 * both <= ngram_join.most_apart(len(s), len(t), percent)
         met += 1
     assert met > 300
