@@ -17,10 +17,13 @@ not to sets, so of two sets that link, the one that pays more has all keys of th
 Documents of equal sets are one class, and only classes are joined. In a bucket of SMALL documents
 each meets each; in larger ones all meet the first, which joins most. Parity bitmaps of the sets
 differ in no more bits than the sets in shingles, so they rule candidates out without loss; the
-rest are confirmed on their full sets. After that the larger buckets are gone through once more:
-every two of different components whose sizes and bitmaps allow a link are candidates, confirmed
-as before. Buckets that the counters say have more than GROUP documents are dealt to groups, two
-of which meet in one task; comparisons grow with the squares of such buckets, rows do not.
+rest are confirmed on their full sets. After that the larger buckets are gone through twice more,
+with wider bitmaps, which almost tell links themselves. First a task takes candidates of different
+components for links, joins the components and gives out only what it joined; then every two that
+are of different components still, and whose sizes and bitmaps allow a link, are candidates. Both
+are confirmed as before, so what was joined too soon is looked at again and no link is lost.
+Buckets that the counters say have more than GROUP documents are dealt to groups, two of which
+meet in one task; comparisons grow with the squares of such buckets, rows do not.
 
 Documents without words link with nothing. Null ids are components of their own with a null
 component_id; rows that repeat an id are one node. Empty tables give no rows. Texts are read
@@ -51,8 +54,8 @@ SMALL = 16
 GROUP = 4096
 #: One segment of so many has one-deletion neighbourhoods; in bands up to so many segments all have.
 RESERVE, FEW = 16, 4
-#: Bits of the filter of large buckets' keys.
-KEYS = 1 << 26
+#: Bits of the filter of large buckets' keys; how many times wider bitmaps are in these.
+KEYS, WIDE = 1 << 26, 8
 ENTRIES = "part int, keys binary, ids binary, sizes binary, many binary, firsts binary, others binary"
 FOUND = "a long, b long, id long, code long"
 TILES = "part int, cells binary, places binary, sides binary, ids binary, heads binary, sizes binary, bits binary"
@@ -129,9 +132,9 @@ def width(n: np.ndarray | int) -> np.ndarray:
     return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(np.asarray(n) / 2, 1))).astype(np.int64))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
+def parity(s: np.ndarray, times: int = 1) -> np.ndarray:
     """The bitmap in which each shingle turns one bit; as words."""
-    w = int(width(len(s)))
+    w = int(width(len(s))) * times
     bits = np.bincount((s >> np.uint64(7)).astype(np.int64) % w, minlength=w) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -288,7 +291,7 @@ def _tiles(near: Near, costs: np.ndarray, large: np.ndarray, before: int, parts:
             ids, heads = _longs(b, "doc_id", "component")
             cells, places, sides, sizes, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [], []
             for k, s in enumerate(shingle_sets(_bytes(b.column("text")), near.words)):
-                sizes.append(len(s)), bits.append(parity(s) if len(s) else np.zeros(1, np.uint64))
+                sizes.append(len(s)), bits.append(parity(s, WIDE) if len(s) else np.zeros(WIDE, np.uint64))
                 for band in bands_of(near.percent, len(s)):
                     own = chosen(s, band, costs)
                     slot = _slots(_code(own, before))
@@ -313,15 +316,15 @@ def _slots(code: np.ndarray) -> np.ndarray:
     return (mix(code.astype(np.uint64)) % np.uint64(KEYS)).astype(np.int64)
 
 
-def _crossed(near: Near):
-    """The pairs of different components in a tile whose sizes and bitmaps allow a link."""
+def _crossed(near: Near, every: bool):
+    """The pairs of different components in a tile whose sizes and bitmaps allow a link; not every: as many as join the components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _parts(batches, (np.uint64, np.int64, np.int8, np.int64, np.int64, np.int64, np.uint64)):
             before = np.cumsum([0, *(len(x) for x in columns[3][:-1])])
             columns[1] = [x + k for x, k in zip(columns[1], before, strict=True)]
             cells, places, sides, ids, heads, n, bits = (np.concatenate(c) for c in columns)
-            words = width(n) // 64
+            words = width(n) // 64 * WIDE
             begin = np.cumsum(words) - words
             order = np.lexsort((n[places], cells))
             cells, places, sides = (x[order] for x in (cells, places, sides))
@@ -338,7 +341,12 @@ def _crossed(near: Near):
                     y = x + 1 + np.flatnonzero(label[x + 1 : most[x]] != label[x])
                     y = y[side[y] != side[x]] if side[x] else y
                     y = y[np.bitwise_count(m[y] ^ m[x]).sum(1) <= most_apart(size[x], size[y], near.percent)]
-                    found.update((min(ids[w[x]], i), max(ids[w[x]], i)) for i in ids[w[y]].tolist())
+                    if not every and len(y):
+                        joins, first = np.unique(label[y], return_index=True)
+                        y = y[first]
+                        label[np.isin(label, joins)] = label[x]
+                        heads[np.isin(heads, joins)] = label[x]
+                    found.update((int(min(ids[w[x]], i)), int(max(ids[w[x]], i))) for i in ids[w[y]].tolist())
             a, b = np.array(sorted(found), np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -359,8 +367,8 @@ def _bitmap(codes: DataFrame) -> np.ndarray:
     return out
 
 
-def rest(found: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, costs: np.ndarray, before: int, near: Near) -> DataFrame:
-    """The links between components that documents of the larger buckets have."""
+def rest(found: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, costs: np.ndarray, before: int, near: Near, every: bool) -> DataFrame:
+    """Links between components that documents of the larger buckets have: every one, or as many as seem to join them."""
     some = found.filter("id is not null").select(F.col("id").alias("doc_id")).distinct()
     rows = some.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(sizes, "doc_id")
     rows = checkpointed(rows.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n"))
@@ -369,7 +377,7 @@ def rest(found: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame,
     parts = max(16, -(-total // 1_000_000))
     asked = maybe_in(docs, "doc_id", id_filter(rows.select("doc_id"))).filter("_maybe").select("doc_id", "text").join(rows.select("doc_id", "component"), "doc_id")
     placed = map_arrow(asked.select("doc_id", "text", "component"), _tiles(near, costs, large, before, parts), TILES).repartition(parts, "part")
-    pairs = checkpointed(map_arrow(placed, _crossed(near), PAIRS).distinct())
+    pairs = checkpointed(map_arrow(placed, _crossed(near, every), PAIRS).distinct())
     return confirm(pairs, docs, near)
 
 
@@ -405,9 +413,10 @@ def classes(docs: DataFrame, near: Near) -> DataFrame:
     same = known.join(twice, "doc_id").select("a", F.col("head").alias("b")).filter("a <> b")  # texts of rows with one id
     links = checkpointed(confirm(allowed(pairs, nodes, near), docs, near).unionAll(same))
     labels = components(links)
-    more = rest(found, labels, sizes, docs, costs, parts, near)
-    if not more.isEmpty():
-        labels = joined(labels, more)
+    for every in (False, True):
+        more = rest(found, labels, sizes, docs, costs, parts, near, every)
+        if not more.isEmpty():
+            labels = joined(labels, more)
     # head is hot where copies are; look-ups spread such rows.
     copies = equal.groupBy("head").agg(F.max("rows").alias("rows"))
     labels = labels.withColumnRenamed("id", "head").join(copies, "head", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
