@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schema import AGENT_MEMORY, ARCHIVAL, FORM, PERM_R, PERM_W, PINNED
 
 #: Seconds, rows and characters (fixed values).
 IDLE, SESSIONS, RING, SHOWN, WRITES, RECENT, AUDIT = 1800, 50, 200, 50, 100, 10, 8000
@@ -88,11 +89,15 @@ def audited_update(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumn("previous_text", old).withColumn("text", F.coalesce("_new", "text")).drop("_new")
 
 
-def starter(spark, pack: str, briefing: str, created: int) -> DataFrame:
-    """The two rows of a new pack: a read-only header and the page of instructions, both pinned."""
-    rows = [(pack, 0, f"[HEADER] {pack}", 1, 2), (pack, 1, briefing, 3, 2)]
-    out = spark.createDataFrame(rows, "pack string, idx long, text string, perms_byte int, flags int")
-    return out.withColumns({"pattern_id": F.col("idx") + 1, "ts_unix": F.lit(created).cast("long")})
+def starter(packs: DataFrame, header: str, page: str, created: int) -> DataFrame:
+    """The two rows of every new pack (pack, owner_id): a read-only header that points to the page of
+    instructions, and that page; {pack} and {owner} stand for names in either text. Both are pinned
+    and never perish."""
+    named = lambda text: F.replace(F.replace(F.lit(text), F.lit("{owner}"), F.coalesce("owner_id", F.lit("unknown"))), F.lit("{pack}"), F.col("pack"))
+    rows = [(named(header), 1, PERM_R), (named(page), 0, PERM_R | PERM_W)]
+    each = [F.struct(F.lit(i).cast("long").alias("idx"), t.alias("text"), F.lit(n).cast("long").alias("next"), F.lit(p).alias("perms_byte")) for i, (t, n, p) in enumerate(rows)]
+    out = packs.select("pack", F.explode(F.array(*each)).alias("x")).select("pack", "x.*")
+    return out.withColumns({"pattern_id": F.col("idx"), "sequence_num": F.col("idx").cast("int"), "format_version": F.lit(FORM), "kind": F.lit(AGENT_MEMORY), "flags": F.lit(PINNED | ARCHIVAL), "ts_unix": F.lit(created).cast("long")})
 
 
 def dispatch(body, at: str):

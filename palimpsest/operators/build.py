@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, runtime
 from ..functions import text as T
-from ..schema import HAS_CHILD, HAS_PARENT, PERISH_MASK, PERM_R, PERM_W, PINNED
+from ..schema import ARCHIVAL, FORM, HAS_CHILD, HAS_PARENT, PERM_R, PERM_W, PINNED
 
 #: First and last lines of a public-domain e-book's own text (fixed values, in order of rank).
 STARTS = ("*** START OF THE PROJECT GUTENBERG", "*** START OF THIS PROJECT GUTENBERG", "***START OF THE PROJECT GUTENBERG", "*END*THE SMALL PRINT")
@@ -108,13 +108,14 @@ def rebuild(chunks: DataFrame, meta: DataFrame) -> DataFrame:
 
 def legacy_links(patterns: DataFrame, at: int, kind: int) -> DataFrame:
     """Link records for rows (idx) of a collection that has none: row 0 is the read-only header and
-    points to row 1, the page of instructions; both are pinned and never perish. Others are plain."""
+    points to row 1, the page of instructions, if there is one; both are pinned and never perish.
+    Others are plain and perish with time."""
     head = F.col("idx") <= 1
-    n = patterns.count()
-    return patterns.select(
-        "idx", F.col("idx").alias("pattern_id"), F.lit(1).alias("format_version"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("prev"),
-        F.when((F.col("idx") == 0) & F.lit(n > 1), 1).otherwise(0).cast("long").alias("next"), F.lit(0).cast("long").alias("sibling"), F.lit(0).cast("long").alias("source_hash"),
-        F.col("idx").alias("sequence_num"), F.lit(at).cast("long").alias("ts_unix"), F.when(head, PINNED | PERISH_MASK).otherwise(0).alias("flags"),
+    more = patterns.agg(F.max("idx").alias("_last"))  # one row
+    return patterns.join(F.broadcast(more)).select(
+        "idx", F.col("idx").alias("pattern_id"), F.lit(FORM).alias("format_version"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("prev"),
+        F.when((F.col("idx") == 0) & (F.col("_last") > 0), 1).otherwise(0).cast("long").alias("next"), F.lit(0).cast("long").alias("sibling"), F.lit(0).cast("long").alias("source_hash"),
+        F.col("idx").alias("sequence_num"), F.lit(at).cast("long").alias("ts_unix"), F.when(head, PINNED | ARCHIVAL).otherwise(0).alias("flags"),
         F.when(F.col("idx") == 0, PERM_R).otherwise(PERM_R | PERM_W).alias("perms_byte"),
     )
 

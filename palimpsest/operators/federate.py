@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.runtime import checkpointed
 from . import forest
-from .tiles import neighbours
+from .nearest import neighbours
 
 #: Scores of confirmation and of contradiction, and the overlap below which a close pair contradicts (fixed values).
 CONFIRMED, CLOSE, OVERLAP, COMPARED, PER_PATTERN = 0.85, 0.75, 0.30, 500, 3
@@ -60,12 +60,13 @@ def publish(fresh: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(["signature"]).join(known.select("signature"), "signature", "left_anti")
 
 
-def similar_pairs(patterns: DataFrame, k: int = PER_PATTERN) -> DataFrame:
+def similar_pairs(patterns: DataFrame, k: int = PER_PATTERN, least: float = CLOSE) -> DataFrame:
     """Each pattern's k best of other collections by blended score, as directed pairs with both texts.
 
-    patterns: part (the collection's number), idx (unique), text, embedding.
+    patterns: part (the collection's number), idx (unique), text, embedding. Pairs below least make
+    no edges, so none are looked for.
     """
-    near = neighbours(patterns, k, other_parts=True, blended=True)
+    near = neighbours(patterns, k, other_parts=True, blended=True, least=least)
     own = patterns.select("idx", F.substring("text", 1, COMPARED).alias("text"))
     out = near.join(own, "idx").join(own.withColumnsRenamed({"idx": "other_idx", "text": "other_text"}), "other_idx")
     return out.withColumn("text_overlap", T.jaccard(F.col("text"), F.col("other_text")))
@@ -101,18 +102,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("idx", F.coalesce("component", "idx").alias("component"))
 
 
-def collapsed(patterns: DataFrame, found: DataFrame, shown: int = 200) -> DataFrame:
-    """One row a component of confirmed patterns: representative, size, collections, confidence, and
-    beginnings of the texts that contradict one of its patterns, by place."""
+def collapsed(patterns: DataFrame, found: DataFrame, shown: int = 200, most: int = 50) -> DataFrame:
+    """One row a component of confirmed patterns: representative, size, collections, confidence, how
+    many texts contradict one of its patterns, and the beginnings of the first `most` of these, by place."""
     both = symmetric(found.filter("kind = 'CONFIRMED_BY'"))
     labels = components(patterns, both)
     grouped = patterns.select("part", "idx").join(labels, "idx").groupBy("component")
     out = grouped.agg(F.min(F.struct("part", "idx")).alias("head"), F.count("*").alias("members"), F.sort_array(F.collect_set("part")).alias("parts"))
     against = symmetric(found.filter("kind = 'CONTRADICTED_BY'")).join(labels, "idx").select("component", "other_part", "other_idx").distinct()
     texts = patterns.select(F.col("idx").alias("other_idx"), F.left(_has(patterns, "text"), F.lit(shown)).alias("preview"))
-    against = against.join(texts, "other_idx").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("other_part", "other_idx", "preview"))).alias("contradictions"))
-    out = out.join(against, "component", "left")
-    return out.select("head.part", "head.idx", "members", F.size("parts").alias("machines"), F.when(F.size("parts") >= 2, "high").otherwise("single_source").alias("confidence"), "contradictions")
+    total = against.groupBy("component").agg(F.count("*").alias("n_contradictions"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("other_part", "other_idx"))
+    first = against.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n").join(texts, "other_idx", "left")
+    listed = first.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("other_part", "other_idx", "preview"))).alias("contradictions"))  # `most` at most
+    out = out.join(total, "component", "left").join(listed, "component", "left").withColumn("n_contradictions", F.coalesce("n_contradictions", F.lit(0)))
+    return out.select("head.part", "head.idx", "members", F.size("parts").alias("machines"), F.when(F.size("parts") >= 2, "high").otherwise("single_source").alias("confidence"), "n_contradictions", "contradictions")
 
 
 def statistics(patterns: DataFrame, found: DataFrame) -> DataFrame:

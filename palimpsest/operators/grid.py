@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import ship
+from ..functions import vector as V
+from ..functions.runtime import checkpointed, ship
 
 MOST_APART, LEAST_MOVED = 10.0, 0.01
 #: Steps whose pairs of frames are matched in one call.
@@ -189,10 +191,13 @@ def boxes(records: DataFrame) -> DataFrame:
 
 
 def paired_rows(frames: DataFrame) -> DataFrame:
-    """Two rows a step: even, the frame; odd, a place for reasoning about it."""
-    even = F.struct((F.col("step") * 2).alias("idx"), F.concat(F.lit("[GRID] "), F.col("level").cast("string"), F.lit(" | Step "), F.col("step").cast("string")).alias("text"))
-    odd = F.struct((F.col("step") * 2 + 1).alias("idx"), F.concat(F.lit("[SAGE] "), F.col("level").cast("string"), F.lit(" | Step "), F.col("step").cast("string"), F.lit(" | Awaiting SAGE reasoning")).alias("text"))
-    return frames.select("level", F.explode(F.array(even, odd)).alias("x")).select("level", "x.idx", "x.text")
+    """Two rows a step: even, the frame with its vector; odd, a place for reasoning about it, whose
+    vector and sign code are zero, so that searches find frames alone. Without an embedding: no vectors."""
+    head = lambda kind, more="": F.concat(F.lit(f"[{kind}] "), F.col("level").cast("string"), F.lit(" | Step "), F.col("step").cast("string"), F.lit(more)).alias("text")
+    v = F.col("embedding").cast("array<double>") if "embedding" in frames.columns else F.lit(None).cast("array<double>")
+    pair = [((F.col("step") * 2).alias("idx"), head("GRID"), v), ((F.col("step") * 2 + 1).alias("idx"), head("SAGE", " | Awaiting SAGE reasoning"), F.transform(v, lambda x: F.lit(0.0)))]
+    each = [F.struct(i, t, e.alias("embedding"), V.sign_words(e).alias("sign_words")) for i, t, e in pair]
+    return frames.select("level", F.explode(F.array(*each)).alias("x")).select("level", "x.*")
 
 
 def reasoned(rows: DataFrame, records: DataFrame) -> DataFrame:
@@ -219,29 +224,105 @@ def salience_text(salience):
     return F.concat(F.lit("SALIENCE: "), F.concat_ws(" ", *(F.format_string(f"{letter}=%.2f", F.coalesce(salience[name].cast("double"), F.lit(0.0))) for name, letter in SALIENCE)))
 
 
-def reasoning_text(record):
-    """A reasoning record (a struct of strings) as lines, its JSON last."""
-    names = (("HYPOTHESIS", "hypothesis"), ("STRATEGY", "strategy"), ("INSIGHT", "key_insight"), ("RATIONALE", "action_rationale"), ("REASONING", "reasoning_text"))
-    lines = [F.when(record[f].isNotNull(), F.concat(F.lit(f"{label_}: "), record[f])) for label_, f in names]
-    return F.concat_ws("\n", *lines, F.concat(F.lit("RECORD:"), F.to_json(record)))
+#: Labels of a reasoning record's fields, in their order (fixed values).
+REASONING = (("HYPOTHESIS", "hypothesis"), ("STRATEGY", "strategy"), ("INSIGHT", "key_insight"), ("RATIONALE", "action_rationale"), ("REASONING", "reasoning_text"))
+
+
+def reasoning_text(record, level, step, salience=None, kind=None):
+    """A step's reasoning as lines: level and step, the fields that record (a struct of strings) has,
+    salience and cognitive type where there are any, and the whole record as JSON last."""
+    head = F.concat(F.lit("[SAGE] "), level.cast("string"), F.lit(" | Step "), step.cast("string"))
+    lines = [F.when(record[f].isNotNull(), F.concat(F.lit(f"{label_}: "), record[f])) for label_, f in REASONING]
+    own = [record[f].alias(f) for _, f in REASONING]
+    if salience is not None:
+        lines.append(F.when(salience.isNotNull(), salience_text(salience)))
+        own.append(salience.alias("salience"))
+    if kind is not None:
+        lines.append(F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("COGNITIVE_TYPE: "), kind)))
+        own.append(kind.alias("cognitive_type"))
+    return F.concat_ws("\n", head, *lines, F.concat(F.lit("RECORD:"), F.to_json(F.struct(*own))))
 
 
 def record_of(text):
     """The JSON of a rendered reasoning record."""
-    return F.nullif(F.regexp_extract(text, r"(?m)^RECORD:(.*)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?s)^(?:.*\n)?RECORD:([^\n]*)$", 1), F.lit(""))  # the last line
 
 
-def contrastive(rows: DataFrame, keep: float = 0.95, alpha: float = 1.0) -> DataFrame:
-    """Each series' vectors less alpha times a running mean, clipped to [0, 1]. Order decides, so a series is one call."""
-    ship(rows.sparkSession)
+#: Rows of a stretch of the running mean, about.
+STRETCH = 4096
+_SCAN = "stretch int, series long, rows long, before array<double>, total array<double>"
+
+
+def _ended(keep: float):
+    """The stretch's rows of each series: their number, its first vector, and the mean at its end if it were zero before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+        out = []
+        for b in batches:
+            for stretch, series, v in zip(b.column("stretch").to_pylist(), b.column("series").to_pylist(), b.column("embedding").to_pylist(), strict=True):
+                v = np.array(v, float)
+                if held is None or held[1] != series:
+                    out += [held] if held is not None else []
+                    held = [stretch, series, 0, v, np.zeros(len(v))]
+                held[2], held[4] = held[2] + 1, keep * held[4] + (1 - keep) * v
+        out += [held] if held is not None else []
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in _SCAN.split(", ")])
+
+    return run
+
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("step")
-        out, mean = [], None
-        for v in f["embedding"]:
-            v = np.asarray(v, float)
-            mean = v if mean is None else keep * mean + (1 - keep) * v
-            out.append(np.clip(v - alpha * mean, 0, 1).tolist())
-        return f[["series", "step"]].assign(embedding=out)
+def _chained(keep: float):
+    """The mean before each stretch of a series, from the means at their ends: a row a stretch."""
 
-    return rows.select("series", "step", "embedding").groupBy("series").applyInPandas(run, "series long, step long, embedding array<double>")
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["stretch"])
+        mean = np.array(rows[0]["before"])  # the first vector is the mean to begin with
+        for r in rows:
+            r["before"], mean = mean.tolist(), keep ** r["rows"] * mean + np.array(r["total"])
+        return pa.Table.from_pylist([{k: r[k] for k in ("stretch", "series", "before")} for r in rows], pa.schema([("stretch", pa.int32()), ("series", pa.int64()), ("before", pa.list_(pa.float64()))]))
+
+    return run
+
+
+def _lessened(keep: float, alpha: float):
+    def run(key, rows: pa.Table, before: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"series": pa.array([], pa.int64()), "step": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64()))})
+        rows = rows.sort_by("step")
+        v = np.array(rows.column("embedding").to_pylist(), float)
+        mean, out = np.array(before.column("before")[0].as_py()), []
+        for x in v:
+            mean = keep * mean + (1 - keep) * x
+            out.append(np.clip(x - alpha * mean, 0, 1))
+        return pa.table({"series": rows.column("series"), "step": rows.column("step"), "embedding": pa.array(out, pa.list_(pa.float64()))})
+
+    return run
+
+
+def contrastive(rows: DataFrame, keep: float = 0.95, alpha: float = 1.0) -> DataFrame:
+    """Each series' vectors less alpha times a running mean, clipped to [0, 1].
+
+    A stretch of a series is an affine map of the mean before it, so stretches are worked on side by
+    side: rows are range-sorted by series and step into stretches of about STRETCH rows, each is
+    reduced to its map, the maps of a series (a row a stretch) give the mean before each, and then
+    every stretch is gone through by itself. No series is one task. Series and steps are numbers.
+    """
+    ship(rows.sparkSession)
+    own = rows.select(F.col("series").cast("long"), F.col("step").cast("long"), F.col("embedding").cast("array<double>"))
+    stretches = max(1, -(-own.count() // STRETCH))
+    placed = own.repartitionByRange(stretches, "series", "step").withColumn("stretch", F.spark_partition_id()).sortWithinPartitions("series", "step")
+    placed = checkpointed(placed)
+    ends = placed.select("stretch", "series", "embedding").mapInArrow(_ended(keep), _SCAN)
+    before = ends.groupBy("series").applyInArrow(_chained(keep), "stretch int, series long, before array<double>")
+    return placed.groupBy("stretch", "series").cogroup(before.groupBy("stretch", "series")).applyInArrow(_lessened(keep, alpha), "series long, step long, embedding array<double>")
+
+
+def related(found: DataFrame, side: int) -> DataFrame:
+    """found with rels: each object's relations as canonical JSON, adjacent objects in order; the other kinds are empty."""
+    near = adjacent(found, side).groupBy("level", "step", "object").agg(F.sort_array(F.collect_set("other")).alias("_near"))  # objects of one frame
+    out = found.join(near, ["level", "step", "object"], "left")
+    listed = F.array_join(F.transform(F.coalesce("_near", F.array().cast("array<int>")), lambda x: x.cast("string")), ", ")
+    return out.withColumn("rels", F.concat(F.lit('{"adjacent": ['), listed, F.lit('], "contains": [], "on_top_of": [], "part_of": null}'))).drop("_near")

@@ -78,6 +78,20 @@ def search(
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "idx")))
 
 
+def rendered(top: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Results as a reader gets them: idx, score, tags, text (shortened), full_text, and with links
+    (pattern_id, prev, next; pattern ids begin at 1) the rows before and after.
+
+    top: the k rows of a search with their text; links are joined to these rows only.
+    """
+    tag, body = T.split_prefix(F.col("text"))
+    out = top.select("idx", F.round("score", 4).alias("score"), F.coalesce(tag, F.lit("")).alias("tags"), T.soft_truncate(body).alias("text"), body.alias("full_text"))
+    if links is None:
+        return out
+    near = links.select((F.col("pattern_id") - 1).alias("idx"), (F.col("prev") - 1).alias("prev_idx"), (F.col("next") - 1).alias("next_idx"))
+    return out.join(near.join(F.broadcast(out.select("idx")), "idx", "left_semi"), "idx", "left")
+
+
 def direct(patterns: DataFrame, query: Sequence[float], share: float, k: int) -> DataFrame:
     """The k best by share of cosine against sign similarity, without reranking."""
     s = scored(patterns, query)

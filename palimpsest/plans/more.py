@@ -7,7 +7,7 @@ the result is written.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,11 @@ from ..operators import grid as G
 from ..operators import search as S
 from ..operators.walk import listing, parse_listing, walk
 from ..sources import readers as R
+from ..sources.archives import Archives
+from ..sources.heap import Heap, fetch, pushing, read_heap
+from ..sources.ledger import Ledger
 from ..streaming import stateful
+from ..streaming.polling import Activity
 from .queries import _BOTH, _CUT, _EDGES, _FRAME, _LINK, QUERIES, SQL, _edges, asked, ASKED, at, bare, entries, frames, heap, parts, patterns, query, r6, read, tagged, vectors
 
 __all__ = ["QUERIES", "SQL"]
@@ -96,14 +100,15 @@ def dispatch_queue(spark, d):
     return A.queue(p).select("idx", "text")
 
 
-@query("select * from (values ('mine', 0::bigint, '[HEADER] mine', 1, 2, 1::bigint, 5::bigint), ('mine', 1, 'how to', 3, 2, 2, 5)) t(pack, idx, text, perms_byte, flags, pattern_id, ts_unix)")
+@query("select c_name as pack, i::bigint as idx, case when i = 0 then 'header of ' || c_name || ' by ' || c_custkey else 'how ' || c_name || ' works' end as text, case when i = 0 then 1 else 0 end::bigint as next, case when i = 0 then 1 else 3 end as perms_byte, i::bigint as pattern_id, i::int as sequence_num, 2 as format_version, 1 as kind, 66 as flags, 5::bigint as ts_unix from customer, range(2) t(i)")
 def starter_pack(spark, d):
-    return A.starter(spark, "mine", "how to", 5)
+    packs = read(spark, d, "customer").select(F.col("c_name").alias("pack"), F.col("c_custkey").cast("string").alias("owner_id"))
+    return A.starter(packs, "header of {pack} by {owner}", "how {pack} works", 5)
 
 
-@query("select doc_id as idx, case when doc_id = 1 and contains(text, 'e') then 'new page' else text end as text from documents where doc_id < 5")
+@query("select doc_id as idx, case when doc_id = 1 and contains(text, 'e') then 'new page' else text end as text from documents")
 def backfilled(spark, d):
-    p = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text").filter("idx < 5")  # a pack's first pages
+    p = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
     return A.backfill(p, ["old mark", "e"], "new page")
 
 
@@ -128,9 +133,9 @@ def rebuilt_meta(spark, d):
     return B.rebuild(docs.select("idx", "text"), meta).select("idx", m("lang"), m("chunk"), m("chunks"))
 
 
-@query("select vec_id as idx, case when vec_id <= 1 then vec_id else vec_id end as pattern_id, case when vec_id = 0 then 1 else 0 end::bigint as next, case when vec_id <= 1 then 98 else 0 end as flags, case when vec_id = 0 then 1 else 3 end as perms_byte from embeddings")
+@query("select vec_id as idx, case when vec_id <= 1 then vec_id else vec_id end as pattern_id, case when vec_id = 0 then 1 else 0 end::bigint as next, case when vec_id <= 1 then 66 else 0 end as flags, 2 as format_version, case when vec_id = 0 then 1 else 3 end as perms_byte from embeddings")
 def legacy_links(spark, d):
-    return B.legacy_links(vectors(spark, d), 5, 2).select("idx", "pattern_id", "next", "flags", "perms_byte")
+    return B.legacy_links(vectors(spark, d), 5, 1).select("idx", "pattern_id", "next", "flags", "format_version", "perms_byte")
 
 
 @query("select count(distinct label) as collections, count(*)::bigint as total_patterns from embeddings")
@@ -210,13 +215,12 @@ def search_with_meta(spark, d):
     return S.search(p, asked(spark, d), ASKED, 5, heap=heap(spark, d)).select("idx", r6("score"), F.col("meta")["lang"].alias("lang"))
 
 
-@query(f"{_CUT}, top as (select * from b order by score desc, idx limit 5) select t.idx, p.doc_id as prev, n.doc_id as next, left(t.text, 120) as head from top t left join documents p on p.doc_id = t.idx - 1 left join documents n on n.doc_id = t.idx + 1 where t.score >= 0.1")
+@query(f"{_CUT}, {_LINK}, top as (select * from b order by score desc, idx limit 5) select t.idx, round(t.score, 4) as score, l.prev - 1 as prev_idx, l.next - 1 as next_idx, '' as tags, md5(t.text) as digest from top t join l on l.idx = t.idx where t.score >= 0.1")
 def search_with_links(spark, d):
-    """Results with the neighbours that a reader can go on to, as rows before and after."""
-    top = S.search(bare(spark, d), asked(spark, d), ASKED, 5, heap=heap(spark, d)).select("idx", T.preview(F.col("text"), 120, "").alias("head"))
-    ids = read(spark, d, "documents").select("doc_id")
-    side = lambda name, by: ids.select((F.col("doc_id") - by).alias("idx"), F.col("doc_id").alias(name))
-    return top.join(side("prev", -1), "idx", "left").join(side("next", 1), "idx", "left")
+    """Results as a reader gets them, with the rows before and after in their source's chain."""
+    top = S.search(bare(spark, d), asked(spark, d), ASKED, 5, heap=heap(spark, d))
+    links = B.links(read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "source"))
+    return S.rendered(top, links).select("idx", "score", "prev_idx", "next_idx", "tags", F.md5("full_text").alias("digest"))
 
 
 @query()
@@ -233,11 +237,10 @@ def walk_listing(spark, d):
 # --- collapse
 
 
-@query(f"with recursive {_EDGES.removeprefix('with ')}, {_BOTH}, l as (select idx, other_idx from bo where kind = 'CONFIRMED_BY'), nodes as (select vec_id as idx, label as part, text from embeddings join documents on doc_id = vec_id), r as (select idx, idx as c from nodes union select l.idx, r.c from r join l on l.other_idx = r.idx), m as (select idx, min(c) as c from r group by idx), h as (select c, arg_min(n.idx, n.part::bigint * 1000000000 + n.idx) as idx, min(part) as part, count(*) as members, count(distinct part)::int as machines from m join nodes n using (idx) group by c), a as (select c, count(distinct bo.other_idx) as n, min(left(nodes.text, 200)) as first from m join bo using (idx) join nodes on nodes.idx = bo.other_idx where kind = 'CONTRADICTED_BY' group by c) select h.part, h.idx, members, machines, case when machines >= 2 then 'high' else 'single_source' end as confidence, coalesce(n, 0)::int as against, first from h left join a using (c)")
+@query(f"with recursive {_EDGES.removeprefix('with ')}, {_BOTH}, l as (select idx, other_idx from bo where kind = 'CONFIRMED_BY'), nodes as (select vec_id as idx, label as part, text from embeddings join documents on doc_id = vec_id), r as (select idx, idx as c from nodes union select l.idx, r.c from r join l on l.other_idx = r.idx), m as (select idx, min(c) as c from r group by idx), h as (select c, arg_min(n.idx, n.part::bigint * 1000000000 + n.idx) as idx, min(part) as part, count(*) as members, count(distinct part)::int as machines from m join nodes n using (idx) group by c), a as (select c, count(distinct bo.other_idx) as n, arg_min(left(nodes.text, 200), nodes.part::bigint * 1000000000 + nodes.idx) as first from m join bo using (idx) join nodes on nodes.idx = bo.other_idx where kind = 'CONTRADICTED_BY' group by c) select h.part, h.idx, members, machines, case when machines >= 2 then 'high' else 'single_source' end as confidence, coalesce(n, 0) as against, first from h left join a using (c)")
 def collapsed_rows(spark, d):
     out = Fed.collapsed(parts(spark, d), _edges(spark, d))
-    n = F.coalesce(F.when(F.col("contradictions").isNotNull(), F.size("contradictions")), F.lit(0))
-    return out.select(F.col("part").cast("int").alias("part"), "idx", "members", "machines", "confidence", n.alias("against"), F.array_min(F.transform("contradictions", lambda c: c["preview"])).alias("first"))
+    return out.select(F.col("part").cast("int").alias("part"), "idx", "members", "machines", "confidence", F.col("n_contradictions").alias("against"), F.col("contradictions")[0]["preview"].alias("first"))
 
 
 # --- sources and sinks
@@ -310,34 +313,23 @@ def appended_collection(spark, d):
     v = vectors(spark, d).select("collection", "idx", "embedding", F.when(F.col("idx") % 2 == 0, F.create_map(F.lit("k"), F.lit("v"))).alias("meta"))
     for half in (0, 1):
         R.append_collection(spark, v.filter(F.col("idx") % 2 == half), at_)
-    counts = spark.read.schema("collection string, n_patterns long").json(f"{at_}/manifest")
-    rows = spark.read.parquet(f"{at_}/patterns").groupBy(F.col("collection").cast("string").alias("collection")).agg(F.sum(F.size("meta")).alias("tagged"))
-    return kept(spark, at_, counts.join(rows, "collection"))
+    book = Ledger(spark, at_)
+    rows = book.read().groupBy("collection").agg(F.sum(F.size("meta")).alias("tagged"))
+    return kept(spark, at_, book.manifest().select("collection", "n_patterns").join(rows, "collection"))
 
 
 @query("select vec_id as idx, label::varchar as collection, round(list_sum(embedding::double[]), 4) as total, list_sum(list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end))::int as bits, 64 as dim, 'text ' || vec_id as text from embeddings")
 def archive_rows(spark, d):
-    """Collections packed as archives (.npz) and read again; an archive is one file, so one task makes it."""
-
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        f, out = f.sort_values("idx"), io.BytesIO()
-        texts = np.array([np.void(zlib.compress(t.encode()).ljust(64, b"\0")) for t in f["text"]])
-        np.savez(out, embeddings=np.array(f["embedding"].tolist(), np.float32), compressed_texts=texts, per_pattern_meta=np.array('[' + ','.join('{"idx": %d}' % i for i in f["idx"]) + ']'))
-        return pd.DataFrame({"collection": [f["collection"].iloc[0]], "content": [out.getvalue()]})
-
-    def unpack(frames_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in R.ROW.split(", ")]
-        for f in frames_:
-            for name, content in zip(f["collection"], f["content"], strict=True):
-                yield pd.DataFrame(list(R.rows_of(name, content)), columns=names)
-
-    v = vectors(spark, d).withColumn("text", F.concat(F.lit("text "), F.col("idx").cast("string")))
-    packed = v.select("collection", "idx", "embedding", "text").groupBy("collection").applyInPandas(pack, "collection string, content binary")
-    rows = packed.mapInPandas(unpack, R.ROW)
+    """Collections written as archives (.npz), and the archives read in ranges of rows."""
+    at_ = scratch(spark)
+    spark.dataSource.register(Archives)
+    own = F.create_map(F.lit("idx"), F.col("idx").cast("string"))
+    v = vectors(spark, d).select("collection", "idx", "embedding", F.concat(F.lit("text "), F.col("idx").cast("string")).alias("text"), own.alias("meta"))
+    v.write.format("patterns_npz").mode("append").save(at_)
+    rows = spark.read.format("patterns_npz").load(at_)
     total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4)
-    return rows.select(F.col("meta")["idx"].cast("long").alias("idx"), "collection", total.alias("total"), F.aggregate(F.transform("sign_words", F.bit_count), F.lit(0), lambda a, x: a + x).alias("bits"), "dim", "text")
+    bits = F.aggregate(F.transform("sign_words", F.bit_count), F.lit(0), lambda a, x: a + x)
+    return kept(spark, at_, rows.select(F.col("meta")["idx"].cast("long").alias("idx"), "collection", total.alias("total"), bits.alias("bits"), "dim", "text"))
 
 
 @query("select vec_id as idx, label::varchar as collection, 't' || vec_id as title, 'text ' || vec_id as text, round(list_sum(embedding::double[]), 4) as total from embeddings")
@@ -438,20 +430,26 @@ def grid_observations(spark, d):
     return G.observed(frames(spark, d), 8).select("level", "step", "background", "objects", "changed")
 
 
-@query("with f as (select label::bigint as level, row_number() over (partition by label order by vec_id) - 1 as step from embeddings) select level, step * 2 as idx, '[GRID] ' || level || ' | Step ' || step as text from f union all select level, step * 2 + 1, case when step % 4 = 0 then 'because ' || step else '[SAGE] ' || level || ' | Step ' || step || ' | Awaiting SAGE reasoning' end from f")
+@query("with f as (select label::bigint as level, row_number() over (partition by label order by vec_id) - 1 as step, embedding::double[] as e from embeddings) select level, step * 2 as idx, '[GRID] ' || level || ' | Step ' || step as text, round(list_sum(e), 6) as total, list_sum(list_transform(e, lambda x: (x > 0)::int))::int as bits from f union all select level, step * 2 + 1, case when step % 4 = 0 then 'because ' || step else '[SAGE] ' || level || ' | Step ' || step || ' | Awaiting SAGE reasoning' end, 0, 0 from f")
 def grid_pairs(spark, d):
-    f = frames(spark, d)
+    own = Window.partitionBy("label").orderBy("vec_id")
+    f = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("level"), (F.row_number().over(own) - 1).cast("long").alias("step"), "embedding")
     records = f.filter("step % 4 = 0").select("level", "step", F.concat(F.lit("because "), F.col("step").cast("string")).alias("text"))
-    return G.reasoned(G.paired_rows(f), records).select("level", "idx", "text")
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    bits = F.aggregate(F.transform("sign_words", F.bit_count), F.lit(0), lambda a, x: a + x).alias("bits")
+    return G.reasoned(G.paired_rows(f), records).select("level", "idx", "text", total, bits)
 
 
-@query("select event_id as id, 'HYPOTHESIS: ' || event_type || chr(10) || 'INSIGHT: none' || chr(10) || 'RECORD:{\"hypothesis\":\"' || event_type || '\",\"key_insight\":\"none\"}' as text, event_type as back, 'SALIENCE: S=' || printf('%.2f', (event_id % 100) / 100.0) || ' N=0.00 A=0.00 R=0.50 C=0.00' as salience from events")
+@query("select event_id as id, '[SAGE] ' || user_id || ' | Step ' || event_id || chr(10) || 'HYPOTHESIS: ' || event_type || chr(10) || 'INSIGHT: none' || chr(10) || 'SALIENCE: S=' || printf('%.2f', (event_id % 100) / 100.0) || ' N=0.00 A=0.00 R=0.50 C=0.00' || case when event_id % 2 = 0 then chr(10) || 'COGNITIVE_TYPE: plan' else '' end as head, event_type as back, (event_id % 100) / 100.0 as surprise, case when event_id % 2 = 0 then 'plan' end as kind from events")
 def reasoning_records(spark, d):
     none = F.lit(None).cast("string")
     record = F.struct(F.col("event_type").alias("hypothesis"), none.alias("strategy"), F.lit("none").alias("key_insight"), none.alias("action_rationale"), none.alias("reasoning_text"))
     salience = F.struct(((F.col("event_id") % 100) / 100).alias("surprise"), F.lit(0.5).alias("reward"), *(F.lit(None).cast("double").alias(x) for x in ("novelty", "arousal", "conflict")))
-    e = read(spark, d, "events").select(F.col("event_id").alias("id"), G.reasoning_text(record).alias("text"), G.salience_text(salience).alias("salience"))
-    return e.select("id", "text", F.get_json_object(G.record_of(F.col("text")), "$.hypothesis").alias("back"), "salience")
+    kind = F.when(F.col("event_id") % 2 == 0, "plan")
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), G.reasoning_text(record, F.col("user_id"), F.col("event_id"), salience, kind).alias("text"))
+    of = lambda path: F.get_json_object(G.record_of(F.col("text")), path)
+    head = F.regexp_replace("text", r"(?s)\nRECORD:[^\n]*$", "")  # the record is the last line
+    return e.select("id", head.alias("head"), of("$.hypothesis").alias("back"), of("$.salience.surprise").cast("double").alias("surprise"), of("$.cognitive_type").alias("kind"))
 
 
 @query("select p_partkey as id, floor(p_size - sqrt(p_partkey % 50 + 1) / 2)::bigint as r0, ceil(p_size - -sqrt(p_partkey % 50 + 1) / 2)::bigint as r1 from part")
@@ -502,9 +500,52 @@ def frame_stream(spark, d):
     return stateful.observed(frames(spark, d), 8).select("level", "step", "objects", "changed", F.size(F.array_distinct("names")).alias("named"))
 
 
-@query("select conv_id::varchar as pack, turn as idx, turn + 1 as writes from conversations where turn < 3")
+_TURNS = "e as (select conv_id::varchar as pack, turn, role as agent, row_number() over (partition by conv_id order by turn) as n from conversations)"
+_HELD = "case when e.turn - st.since <= 1.5 then st.holder end"
+
+
+@query(f"with recursive {_TURNS}, st as (select pack, turn, agent, n, true as ok, agent as holder, turn as since from e where n = 1 union all select e.pack, e.turn, e.agent, e.n, coalesce({_HELD}, e.agent) = e.agent, case when coalesce({_HELD}, e.agent) = e.agent then e.agent else st.holder end, case when coalesce({_HELD}, e.agent) = e.agent then e.turn else st.since end from st join e on e.pack = st.pack and e.n = st.n + 1) select pack, turn, agent, row_number() over (partition by pack order by turn) - 1 as place from st where ok")
 def locked_writes(spark, d):
-    """Writes of a pack in order, each under its lock: a lease that nobody else holds is granted."""
-    c = read(spark, d, "conversations").filter("turn < 3").select(F.col("conv_id").cast("string").alias("collection"), F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("t"), F.lit("a").alias("agent"), F.lit("acquire").alias("action"), F.lit(9.0).alias("lease"))
-    own = Window.partitionBy("collection").orderBy("event_id")
-    return stateful.leases(c.dropDuplicates(["collection", "event_id"])).filter("result = 'granted'").select(F.col("collection").alias("pack"), F.col("event_id").alias("idx"), F.row_number().over(own).cast("long").alias("writes"))
+    """Rival agents write turns of a pack: who finds it leased to another is refused; what is granted is committed by two writers to one ledger."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("collection"), F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("t"), F.col("role").alias("agent"), F.lit("acquire").alias("action"), F.lit(1.5).alias("lease"))
+    granted = checkpointed(stateful.leases(c).filter("result = 'granted'").select("collection", F.col("event_id").alias("turn"), F.col("agent").alias("writer")))
+    at_ = scratch(spark)
+    own = Window.partitionBy("collection").orderBy("turn")
+    numbered = granted.withColumn("place", (F.row_number().over(own) - 1).cast("long"))
+    halves = [numbered.filter(F.col("place") % 2 == k).withColumnRenamed("place", "idx") for k in (0, 1)]
+    with ThreadPoolExecutor(2) as writers:  # two writers that know nothing of each other
+        for done in [writers.submit(Ledger(spark, at_).append, rows, f"writer {k}") for k, rows in enumerate(halves)]:
+            done.result()
+    return kept(spark, at_, Ledger(spark, at_).read().select(F.col("collection").alias("pack"), "turn", F.col("writer").alias("agent"), F.col("idx").alias("place")))
+
+
+@query("with l as (select user_id % 3 as server, user_id as session_id, epoch_us(max(ts)) as seen from events group by all), r as (select *, max(seen) over (partition by server) as now, row_number() over (partition by server order by seen desc, session_id) as n from l) select server::bigint as server, session_id, case when now - seen > 1800000000 then 'expired' when n > 5 then 'evicted' when now - seen > 300000000 then 'idle' else 'active' end as status from r")
+def session_stream(spark, d):
+    """Sessions of three servers that keep five each, from their accesses one after another."""
+    e = at(spark, d).select((F.col("user_id") % 3).alias("server"), "event_id", F.col("user_id").alias("session_id"), (F.unix_micros("at") / 1e6).alias("t"))
+    return stateful.session_states(stateful.session_log(e, most=5), e)
+
+
+@query("select event_id, event_type from events where ts > (select min(ts) from events) and event_type in ('click', 'error')")
+def activity_polls(spark, d):
+    """Activity polled twice by a cursor: what half of the log's files hold, then what came since."""
+    at_, e = scratch(spark), at(spark, d)
+    spark.dataSource.register(Activity)
+    rows = e.select((F.col("user_id") % 10).cast("string").alias("pack"), "event_id", "event_type", F.col("at").alias("created_at"))
+    since, middle = e.agg(F.min("at"), F.expr("percentile_approx(at, 0.5)")).first()
+    for half in (F.col("created_at") <= middle, F.col("created_at") > middle):
+        rows.filter(half).write.mode("append").parquet(f"{at_}/log")
+        polled = spark.readStream.format("activity").options(path=f"{at_}/log", since=f"{since.isoformat()}+00:00", types="click,error").load()
+        polled.writeStream.format("parquet").option("path", f"{at_}/out").option("checkpointLocation", f"{at_}/state").trigger(availableNow=True).start().awaitTermination()
+    return kept(spark, at_, spark.read.parquet(f"{at_}/out").select("event_id", "event_type"))
+
+
+@query(f"{_CUT}, top as (select * from b order by score desc, idx limit 5) select idx, round(top.score, 6) as score, md5(text) as digest from top where top.score >= 0.1")
+def heap_search(spark, d):
+    """A search whose results' passages come out of the files of a split collection, by row number."""
+    at_ = scratch(spark)
+    spark.dataSource.register(Heap)
+    read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("passage")).write.format("patterns_sqlite").mode("append").save(at_)
+    top = checkpointed(S.search(bare(spark, d), asked(spark, d), ASKED, 5, heap=heap(spark, d)).select("idx", r6("score")))
+    with pushing(spark):
+        return kept(spark, at_, fetch(top, read_heap(spark, at_)).select("idx", "score", F.md5("passage").alias("digest")))

@@ -21,7 +21,7 @@ from ..operators import federate as Fed
 from ..operators import filters as Fil
 from ..operators import grid as G
 from ..operators import search as S
-from ..operators.tiles import neighbours
+from ..operators.nearest import neighbours
 from ..operators.walk import walk
 from ..streaming import stateful
 
@@ -185,7 +185,7 @@ _EDGES = f"{_EDGE}, j as (select *, {_JAC.format(t='t', u='u')} as text_overlap
 
 
 def _edges(spark, d):
-    return Fed.edges(Fed.similar_pairs(parts(spark, d)), CONFIRMED, CLOSE)
+    return Fed.edges(Fed.similar_pairs(parts(spark, d), least=min(CONFIRMED, CLOSE)), CONFIRMED, CLOSE)
 
 
 @query(f"{_EDGES} select part, idx, other_part, other_idx, kind, round(score, 6) as score, round(text_overlap, 6) as text_overlap from ed")
@@ -437,9 +437,15 @@ def even_sample(spark, d):
     return B.even_sample(read(spark, d, "documents").select(F.col("doc_id").alias("idx")), 100)
 
 
-@query("select label::varchar as collection, count(*) as n_patterns, 64 as dim from embeddings group by label")
+#: A vector's bytes, each component's sign, exponent and fraction put together as its format has them.
+_EXP = "(floor(log2(abs(x))) + case when abs(x) / pow(2, floor(log2(abs(x)))) >= 2 then 1 when abs(x) / pow(2, floor(log2(abs(x)))) < 1 then -1 else 0 end)"
+_U32 = f"case when x = 0 then 0 else (case when x < 0 then 2147483648 else 0 end) + (({_EXP} + 127) * 8388608)::bigint + ((abs(x) / pow(2, {_EXP}) - 1) * 8388608)::bigint end"
+_FLOATS = f"c as (select label, vec_id, i, {_U32} as u from (select label, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings)), h as (select label, vec_id, string_agg(printf('%02x%02x%02x%02x', u & 255, (u >> 8) & 255, (u >> 16) & 255, (u >> 24) & 255), '' order by i) as hex from c group by label, vec_id)"
+
+
+@query(f"with {_FLOATS}, m as (select label, count(*) as n, arg_min(hex, vec_id) as a, arg_max(hex, vec_id) as z from h group by label) select label::varchar as collection, n as n_patterns, 64 as dim, left(sha256(unhex(a || z || hex(encode(n::varchar)))), 16) as fingerprint from m")
 def catalog_manifest(spark, d):
-    return B.manifest(vectors(spark, d)).select("collection", "n_patterns", "dim")
+    return B.manifest(vectors(spark, d)).select("collection", "n_patterns", "dim", "fingerprint")
 
 
 @query("select label::varchar as collection, label % 2 = 0 as ok from embeddings group by label")
@@ -493,7 +499,7 @@ def grid_tracking(spark, d):
 @query()
 def grid_state_hash(spark, d):
     f = frames(spark, d)
-    return G.state_hash(G.objects(f, 8), G.background(f, 8))
+    return G.state_hash(G.related(G.objects(f, 8), 8), G.background(f, 8))
 
 
 @query()
@@ -543,9 +549,10 @@ def ir_passages(spark, d):
     return Fed.ir_passage(c).select("idx", "text", Fed.document_of(F.col("text")).alias("document"))
 
 
-@query("select i as bits, case when i & 1 > 0 then 'r' else '-' end || case when i & 2 > 0 then 'w' else '-' end || case when i & 4 > 0 then 'd' else '-' end || case when i & 8 > 0 then 'a' else '-' end as perms, i::int as back from range(16) t(i)")
+@query("select doc_id, i::bigint as bits, case when i & 1 > 0 then 'r' else '-' end || case when i & 2 > 0 then 'w' else '-' end || case when i & 4 > 0 then 'd' else '-' end || case when i & 8 > 0 then 'a' else '-' end as perms, i::int as back from (select doc_id, quality + 2 * toxic + 4 * (doc_id % 2) + 8 * (doc_id // 2 % 2) as i from labels)")
 def perms(spark, d):
-    bits = spark.range(16).select(F.col("id").alias("bits"))
+    bit = lambda c, n: F.coalesce(F.col(c), F.lit(0)) * n
+    bits = read(spark, d, "labels").select("doc_id", (bit("quality", 1) + bit("toxic", 2) + F.col("doc_id") % 2 * 4 + F.floor(F.col("doc_id") / 2) % 2 * 8).cast("long").alias("bits"))
     text = bits.withColumn("perms", T.perms_text(F.col("bits")))
     return text.withColumn("back", T.perms_bits(F.col("perms")))
 

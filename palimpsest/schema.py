@@ -8,5 +8,9 @@ ACTIVITY = "pack string, event_type string, summary string, pattern_idx long, me
 
 #: Flags of a link (fixed values of the format).
 TOMBSTONE, PINNED, HAS_PARENT, HAS_CHILD, HAS_SIBLING, PERISH_MASK = 0x01, 0x02, 0x04, 0x08, 0x10, 0x60
+#: Two bits of the flags say how a pattern perishes: with time, by a newer one, never (fixed values).
+VOLATILE, REPLACEABLE, ARCHIVAL = 0x00, 0x20, 0x40
+#: Forms of a link: with and without permissions; kinds of a collection (fixed values).
+LEGACY_FORM, FORM, AGENT_MEMORY = 1, 2, 1
 #: Permission bits (fixed values of the format).
 PERM_R, PERM_W, PERM_D, PERM_A = 0x01, 0x02, 0x04, 0x08

@@ -3,76 +3,23 @@
 from __future__ import annotations
 
 import io
-import json
-import zlib
+import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 from ..functions.runtime import ship
-from ..operators.build import manifest
-
-#: Keys under which archives hold vectors and texts, first found first taken (fixed values).
-VECTORS, TEXTS = ("embeddings", "embs"), ("passages", "memories", "compressed_texts")
-#: Companion files of a collection, which are no collections (fixed values).
-COMPANIONS = ("_signatures.npz", "_brain.npy", "_manifest.json")
-ROW = "collection string, idx long, text string, embedding array<float>, sign_words array<long>, dim int, link binary, meta map<string,string>"
-
-
-def _texts(npz) -> list[str]:
-    name = next((k for k in TEXTS if k in npz), None)
-    if name is None:
-        return []
-    if name != "compressed_texts":
-        return [str(t) for t in npz[name]]
-    out = []
-    for raw in npz[name]:
-        try:
-            out.append(zlib.decompress(bytes(raw)).decode())
-        except Exception:
-            out.append("[decompress error]")
-    return out
-
-
-def _meta(npz) -> list[dict]:
-    """Metadata of the rows: one JSON text of a list, or an array of JSON texts or dictionaries."""
-    if "per_pattern_meta" not in npz:
-        return []
-    raw = npz["per_pattern_meta"]
-    rows = json.loads(str(raw)) if raw.ndim == 0 else [json.loads(str(x)) for x in raw]
-    return [r if isinstance(r, dict) else {} for r in rows]
-
-
-def rows_of(name: str, content: bytes) -> Iterator[tuple]:
-    """The patterns of an archive; rows that a part lacks have null there. Pickled objects are refused."""
-    with np.load(io.BytesIO(content), allow_pickle=False) as npz:
-        key = next((k for k in VECTORS if k in npz), None)
-        vectors = npz[key] if key else np.zeros((0, 0), np.float32)
-        texts, meta = _texts(npz), _meta(npz)
-        links = npz["hippocampus"] if "hippocampus" in npz else []
-        signs = npz["sign_bits"] if "sign_bits" in npz else None
-        n = max(len(vectors), len(texts), len(signs) if signs is not None else 0)
-        dim = int(npz["dim"]) if "dim" in npz else vectors.shape[1] if len(vectors) else 8 * signs.shape[1] if signs is not None else 0
-        for i in range(n):
-            v = [float(x) for x in vectors[i]] if i < len(vectors) else None
-            if v is not None:
-                bits = np.array(v) > 0
-            elif signs is not None and i < len(signs):
-                bits = np.unpackbits(signs[i])[:dim].astype(bool)
-            else:
-                bits = np.zeros(0, bool)
-            words = [int.from_bytes(np.packbits(np.pad(b, (64 - len(b), 0))).tobytes(), "big", signed=True) for b in (bits[k : k + 64] for k in range(0, len(bits), 64))]
-            m = {k: x if isinstance(x, str) else json.dumps(x) for k, x in meta[i].items() if x is not None} if i < len(meta) else {}
-            yield name, i, texts[i] if i < len(texts) else None, v, words, dim, bytes(links[i]) if i < len(links) else None, m
-
+from .archives import COMPANIONS, ROW, Archive, rows_of
+from .ledger import Ledger
 
 def read_archives(spark: SparkSession, folder: str, pattern: str = "*.npz") -> DataFrame:
-    """All archives of a folder, a task a file; the store only needs to be one that Spark reads."""
+    """All archives of a folder, a task a file; the store only needs to be one that Spark reads.
+
+    Where Arrow opens the store too, the data source patterns_npz (archives.Archives) reads files in ranges.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     for c in COMPANIONS:
@@ -93,40 +40,6 @@ def read_archives(spark: SparkSession, folder: str, pattern: str = "*.npz") -> D
     return files.select("path", "content").mapInPandas(run, ROW)
 
 
-def refuse_pickle(path: str) -> None:
-    """Pickled collections can run code when read, so none is."""
-    if path.endswith((".pkl", ".pickle")):
-        raise ValueError("pickled collections are not read; convert them to .npz first")
-
-
-class ArchiveReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        refuse_pickle(path)
-        with open(path, "rb") as f:  # a file that every executor sees; read_archives reads any store
-            yield from rows_of(path.rsplit("/", 1)[-1].removesuffix(".npz").removesuffix(".cart"), f.read())
-
-
-class Archive(DataSource):
-    """spark.read.format("patterns_npz").load(path) after spark.dataSource.register(Archive)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "patterns_npz"
-
-    def schema(self) -> str:
-        return ROW
-
-    def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(self.options)
-
-
 def find_collections(spark: SparkSession, folders: list[str]) -> DataFrame:
     """name, path, size_mb of the files in the folders; of equal names the first folder's."""
     out = None
@@ -197,26 +110,28 @@ def write_collections(patterns: DataFrame, path: str, mode: str = "append") -> N
     patterns.write.mode(mode).partitionBy("collection").parquet(path)
 
 
-def append_collection(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Appends rows to a saved collection (patterns and manifest below path) and renews its manifest.
+def append_collection(spark: SparkSession, rows: DataFrame, path: str, agent: str = "") -> int:
+    """Appends rows to a stored collection, a ledger of commits; gives the commit's number.
 
-    Rows without metadata get empty ones; what is there is not written again.
+    Rows without metadata get empty ones. What is there is neither written nor read again: the
+    manifest is merged out of the commits (Ledger.manifest).
     """
     if "meta" in rows.columns:
         rows = rows.withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
-    write_collections(rows, f"{path}/patterns", "append")
-    write_manifest(manifest(spark.read.parquet(f"{path}/patterns")), f"{path}/manifest")
+    return Ledger(spark, path).append(rows, agent)
 
 
 def signatures_of(content: bytes) -> Iterator[tuple]:
-    """idx, signature, title and text of a signature file; what it lacks is null. Pickled objects are refused."""
-    with np.load(io.BytesIO(content), allow_pickle=False) as npz:
-        rows = npz["signatures"]
-        texts = _texts(npz) if "compressed_texts" in npz else []
-        titles = [str(t) for t in npz["titles"]] if "titles" in npz else []
-        n = int(npz["n_patterns"]) if "n_patterns" in npz else len(rows)
-        for i in range(min(n, len(rows))):
-            yield i, [float(x) for x in rows[i]], titles[i] if i < len(titles) else None, texts[i] if i < len(texts) else None
+    """idx, signature, title and text of a signature file; what it lacks is null. Pickled arrays are refused."""
+    a = Archive(io.BytesIO(content))
+    n = min(int(a.value("n_patterns")) if "n_patterns" in a else len(a["signatures"]), len(a["signatures"]))
+    for at in range(0, n, 2000):
+        to = min(at + 2000, n)
+        rows = a["signatures"].rows(at, to)
+        texts = a.texts(at, to) if "compressed_texts" in a else []
+        titles = [str(t) for t in a["titles"].rows(at, to)] if "titles" in a else []
+        for i in range(to - at):
+            yield at + i, [float(x) for x in rows[i]], titles[i] if i < len(titles) else None, texts[i] if i < len(texts) else None
 
 
 def read_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,4 +149,16 @@ def read_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_manifest(manifests: DataFrame, path: str) -> None:
-    manifests.write.mode("overwrite").json(path)
+    """Manifests as JSON, put in place of those there by one rename: readers see the old ones or the new."""
+    spark = manifests.sparkSession
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    manifests.write.json(fresh)
+    jvm = spark.sparkContext._jvm
+    to, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{fresh}.old"))
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(to)
+    if had:
+        files.rename(to, old)
+    files.rename(new, to)
+    if had:
+        files.delete(old, True)

@@ -1,3 +1,5 @@
+import hashlib
+import json
 import random
 
 import numpy as np
@@ -224,11 +226,94 @@ def test_insights(spark):
 def test_reasoning_record(spark):
     row = spark.createDataFrame([(("h", "s"),)], "r struct<hypothesis:string,strategy:string>")
     full = F.struct(F.col("r.hypothesis").alias("hypothesis"), F.col("r.strategy").alias("strategy"), *(F.lit(None).cast("string").alias(x) for x in ("key_insight", "action_rationale", "reasoning_text")))
-    text = row.select(full.alias("r")).select(G.reasoning_text(F.col("r")).alias("t"))
-    assert text.first().t.split("\n")[:2] == ["HYPOTHESIS: h", "STRATEGY: s"]
+    text = row.select(full.alias("r")).select(G.reasoning_text(F.col("r"), F.lit("L"), F.lit(7)).alias("t"))
+    assert text.first().t.split("\n")[:3] == ["[SAGE] L | Step 7", "HYPOTHESIS: h", "STRATEGY: s"]
     assert text.select(G.record_of(F.col("t")).alias("j")).first().j == '{"hypothesis":"h","strategy":"s"}'
 
 
+def test_reasoning_in_full(spark):
+    """Head line, fields, salience, kind and then the record, in this order; a field may hold a line that looks like a record."""
+    row = spark.createDataFrame([(("h", None, "k", None, "see\nRECORD:{}"), {"surprise": 0.125, "reward": 1.0}, "plan")], "r struct<hypothesis:string,strategy:string,key_insight:string,action_rationale:string,reasoning_text:string>, s map<string,double>, k string")
+    t = row.select(G.reasoning_text(F.col("r"), F.lit("L"), F.lit(3), F.col("s"), F.col("k")).alias("t"))
+    lines = t.first().t.split("\n")
+    assert lines[:4] == ["[SAGE] L | Step 3", "HYPOTHESIS: h", "INSIGHT: k", "REASONING: see"]
+    assert lines[5] in ("SALIENCE: S=0.12 N=0.00 A=0.00 R=1.00 C=0.00", "SALIENCE: S=0.13 N=0.00 A=0.00 R=1.00 C=0.00") and lines[6] == "COGNITIVE_TYPE: plan"
+    record = json.loads(t.select(G.record_of(F.col("t")).alias("j")).first().j)
+    assert record["hypothesis"] == "h" and record["salience"]["reward"] == 1.0 and record["cognitive_type"] == "plan"
+
+
+def test_state_hash_with_relations(spark):
+    """BLAKE2b of canonical JSON over objects with the objects next to them."""
+    cells = [0, 1, 2, 0, 0, 1, 2, 0, 3, 0, 0, 0, 3, 0, 0, 0]
+    f = spark.createDataFrame([(0, 0, cells), (0, 1, cells), (0, 2, [0, *cells[:-1]])], "level long, step long, cells array<int>")
+    found = G.related(G.objects(f, 4), 4)
+    got = {r.step: r.state for r in G.state_hash(found, G.background(f, 4)).collect()}
+    objs = [(1, 2, 0.5, 1.0, [1]), (2, 2, 0.5, 2.0, [0]), (3, 2, 2.5, 0.0, [])]
+    held = [{"c": c, "s": s, "cr": row, "cc": col, "props": "{}", "rels": json.dumps({"part_of": None, "on_top_of": [], "contains": [], "adjacent": near}, sort_keys=True)} for c, s, row, col, near in objs]
+    text = json.dumps({"bg": 0, "objs": held}, sort_keys=True)
+    assert got[0] == got[1] == hashlib.blake2b(text.encode(), digest_size=32).hexdigest() != got[2]
+
+
+def test_paired_rows_have_vectors(spark):
+    f = spark.createDataFrame([(1, 0, [1.0, -2.0]), (1, 1, None)], "level long, step long, embedding array<double>")
+    rows = {r.idx: r for r in G.paired_rows(f).collect()}
+    assert rows[0].embedding == [1.0, -2.0] and rows[0].sign_words == [2] and rows[1].embedding == [0.0, 0.0] and rows[1].sign_words == [0]
+    assert rows[2].embedding is None and rows[3].embedding is None and "Awaiting" in rows[3].text
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1000])
+def test_contrastive_in_stretches(spark, monkeypatch, stretch):
+    """One long series over many stretches, among short ones, equals going through it row by row."""
+    monkeypatch.setattr(G, "STRETCH", stretch)
+    rng = np.random.default_rng(2)
+    rows = [(7, 3 * i, rng.random(5).tolist()) for i in range(60)] + [(s, 0, rng.random(5).tolist()) for s in range(5)] + [(8, i, rng.random(5).tolist()) for i in range(9)]
+    df = spark.createDataFrame(rows, "series long, step long, embedding array<double>").repartition(3)
+    got = {(r.series, r.step): r.embedding for r in G.contrastive(df, 0.9, 0.7).collect()}
+    expected, mean = {}, {}
+    for s, t, v in sorted(rows):
+        v = np.array(v)
+        mean[s] = v if s not in mean else 0.9 * mean[s] + 0.1 * v
+        expected[s, t] = np.clip(v - 0.7 * mean[s], 0, 1)
+    assert got.keys() == expected.keys() and all(np.allclose(got[k], expected[k]) for k in got)
+    assert G.contrastive(df.filter("false")).count() == 0
+
+
+def test_rendered_results(spark):
+    top = spark.createDataFrame([(4, 0.123456, "[a,b] the body " + "word " * 200), (7, 0.5, "no tags"), (9, 0.4, None)], "idx long, score double, text string")
+    links = spark.createDataFrame([(5, 4, 6), (8, None, 2), (1, 2, 3)], "pattern_id long, prev long, next long")
+    got = {r.idx: r for r in S.rendered(top, links).collect()}
+    assert got[4].score == 0.1235 and got[4].tags == "a,b" and got[4].full_text.startswith("the body word") and len(got[4].text) < 560 and got[4].text.endswith("…")
+    assert (got[4].prev_idx, got[4].next_idx, got[7].prev_idx, got[7].next_idx, got[9].prev_idx) == (3, 5, None, 1, None)
+    assert len(got) == 3 and "prev_idx" not in S.rendered(top).columns
+
+
+def test_noisy_walk(spark):
+    """The noise is reproducible, normal with a tenth of the temperature, and what it perturbs is the hubs only."""
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "idx long, embedding array<double>")
+    from palimpsest.operators.walk import perturbed, walk
+
+    v = {r.idx: np.array(r.embedding) for r in rows.collect()}
+    p = {r.idx: np.array(r.embedding, float) for r in perturbed(rows, 2.0, 5).collect()}
+    assert all(abs(np.linalg.norm(x) - 1) < 1e-5 for x in p.values())
+    fresh = {r.idx: np.array(r.embedding, float) for r in perturbed(rows, 2.0, 6).collect()}
+    assert any(not np.allclose(p[i], fresh[i]) for i in p)
+    wide = {r.idx: np.array(r.embedding, float) for r in perturbed(rows.withColumn("embedding", F.transform("embedding", lambda x: x * 0.0)), 1.0, 5).collect()}
+    spread = np.concatenate(list(wide.values())) * np.sqrt(8)  # normal directions of length 1
+    assert abs(spread.mean()) < 0.05 and abs(spread.std() - 1) < 0.05
+    q = v[0]
+    unit = lambda x: x / (np.linalg.norm(x) + V.EPSILON)
+    near = lambda x, n, skip=None: sorted((i for i in v if i != skip), key=lambda i: (-round(float(unit(v[i]) @ unit(x)), 12), i))[:n]
+    hubs = near(q, 5)
+    hits = {}
+    for h in hubs:
+        for i in near(p[h], 20, h):
+            hits.setdefault(i, []).append(float(unit(v[i]) @ unit(p[h])))
+    want = sorted(((len(s), sum(s) / len(s), i) for i, s in hits.items() if len(s) >= 2 and i not in hubs), key=lambda x: (-x[0], -x[1], x[2]))[:10]
+    got = [(r.hits, r.mean_score, r.idx) for r in walk(rows, q.tolist(), 5, temperature=2.0, seed=5).collect()]
+    assert [(h, i) for h, _, i in got] == [(h, i) for h, _, i in want] and np.allclose([m for _, m, _ in got], [m for _, m, _ in want], atol=1e-5)
+
+
 def test_walk_listing(spark):
     from palimpsest.operators.walk import listing, parse_listing
 
@@ -257,7 +342,7 @@ def test_tracked_goes_over_calls_and_gaps(spark, monkeypatch):
 
 
 def test_neighbours_of_ragged_vectors(spark):
-    from palimpsest.operators.tiles import neighbours
+    from palimpsest.operators.nearest import neighbours
 
     rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.1]), (2, 0, [1.0, 2.0, 3.0]), (3, 0, [1.0, 2.0, 2.0]), (4, 0, None), (5, 0, [float("nan"), 1.0]), (6, 0, []), (7, 0, [None, 1.0])]
     got = neighbours(spark.createDataFrame(rows, "idx long, part long, embedding array<float>"), 3).collect()

@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from palimpsest.plans.queries import QUERIES, SQL
+from palimpsest.plans.more import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -100,7 +100,11 @@ def test_provision_twice(spark):
 
 
 def test_starter_and_queue(spark):
-    rows = A.starter(spark, "p", "read me", 1).select("pack", "idx", "text")
+    packs = spark.createDataFrame([("p", "o"), ("q", None)], "pack string, owner_id string")
+    rows = A.starter(packs, "{pack} of {owner}", "read {pack}", 1)
+    found = {(r.pack, r.idx): (r.text, r.pattern_id, r.next, r.flags, r.perms_byte, r.format_version) for r in rows.collect()}
+    assert found[("p", 0)] == ("p of o", 0, 1, 0x42, 1, 2) and found[("q", 1)] == ("read q", 1, 0, 0x42, 3, 2)
+    rows = rows.filter("pack = 'p'").select("pack", "idx", "text")
     task = rows.limit(1).select("pack", F.lit(5).cast("long").alias("idx"), A.dispatch(F.lit("do it"), "2024").alias("text"))
     assert [r.idx for r in A.queue(rows.union(task)).collect()] == [5]
 
@@ -151,3 +155,70 @@ def test_writers_do_not_lose_rows(spark):
     for t in threads:
         t.join()
     assert sorted(r.idx for r in engine._of("c").select("idx").collect()) == list(range(6))
+
+
+def replay(spark, tmp_path, rows, batches, run, name):
+    """What run gives out of a stream of the batches (conditions on rows), polled one after another."""
+    for k, which in enumerate(batches):
+        rows.filter(which).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = run(stream).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(str(tmp_path / name))
+
+
+def test_rate_limit_in_event_order(spark, tmp_path, monkeypatch):
+    """Late and interleaved batches give what one batch gives, as far as the watermark has come."""
+    rows = spark.createDataFrame([(c, i, float((i * 37) % 100)) for c in (1, 2) for i in range(100)] + [(c, 1000 + k, 5000.0 + 1000 * k) for c in (1, 2) for k in range(3)], "client long, event_id long, t double")
+    batch = {(r.client, r.event_id): r.allowed for r in stateful.rate_limited(rows, 3, 10.0).collect()}
+    parts = ["event_id % 3 = 0 and event_id < 1000", "event_id % 3 = 1 and event_id < 1000", "event_id % 3 = 2 and event_id < 1000", "event_id = 1000", "event_id = 1001", "event_id = 1002"]
+    got = {(r.client, r.event_id): r.allowed for r in replay(spark, tmp_path, rows, parts, lambda s: stateful.rate_limited(s, 3, 10.0, delay="200 seconds"), "out").collect()}
+    assert len([k for k in got if k[1] < 1000]) == 200 and all(batch[k] == got[k] for k in got)
+
+
+def test_chunks_of_a_key_carry_on(spark):
+    """A key's rows that come in many chunks are gone through in order."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(c, i, float((i * 53) % 200)) for c in (1, 2, 3) for i in range(200)], "client long, event_id long, t double").repartition(5)
+        got = {(r.client, r.event_id): r.allowed for r in stateful.rate_limited(rows, 2, 5.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for c in (1, 2, 3):
+        held = []
+        for t, i in sorted((float((i * 53) % 200), i) for i in range(200)):
+            held = [x for x in held if x >= t - 5.0]
+            assert got[c, i] == (len(held) < 2)
+            held += [t] if len(held) < 2 else []
+
+
+def test_sessions_in_a_stream(spark, tmp_path):
+    """Beginnings and ends of sessions, idle ones gone and the longest unseen pushed out, in a batch and replayed."""
+    times = [(0, 1), (10, 2), (20, 3), (30, 1), (40, 4), (2000, 5), (2001, 2), (9000, 1), (20000, 9), (40000, 9), (60000, 9)]
+    rows = spark.createDataFrame([(7, i, s, float(t)) for i, (t, s) in enumerate(times)], "server long, event_id long, session_id long, t double")
+    log = [(r.session_id, r.t, r.what) for r in stateful.session_log(rows, most=3).orderBy("t", "what", "session_id").collect()]
+    assert log[:5] == [(1, 0.0, "created"), (2, 10.0, "created"), (3, 20.0, "created"), (4, 40.0, "created"), (2, 40.0, "evicted")]
+    assert [x for x in log if x[1] == 2000.0] == [(5, 2000.0, "created"), (1, 2000.0, "expired"), (3, 2000.0, "expired"), (4, 2000.0, "expired")]
+    states = {r.session_id: r.status for r in stateful.session_states(stateful.session_log(rows.filter("t <= 2001"), most=3), rows.filter("t <= 2001")).collect()}
+    assert states == {1: "expired", 2: "active", 3: "expired", 4: "expired", 5: "active"}
+    got = replay(spark, tmp_path, rows, ["event_id in (0, 2, 4, 6)", "event_id in (1, 3, 5)", "event_id = 7", "event_id = 8", "event_id = 9", "event_id = 10"], lambda s: stateful.session_log(s, most=3, delay="3000 seconds"), "out")
+    seen = sorted((r.t, r.what, r.session_id) for r in got.collect())
+    assert [(s, t, w) for t, w, s in seen] == log[: len(seen)] and len(seen) >= 12
+
+
+def test_resets_within_a_batch(spark, tmp_path):
+    """Steps that begin again are ordered by time; a reset begins the level anew."""
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    cells = lambda k: [k, *[0] * 63]
+    rows = [(0, 0, cells(1), at(0), None), (0, 1, cells(2), at(1), None), (0, 0, cells(2), at(2), True), (0, 1, cells(2), at(3), None), (0, 9, cells(0), at(500), None), (0, 10, cells(0), at(900), None), (0, 11, cells(0), at(1300), None)]
+    df = spark.createDataFrame(rows, "level long, step long, cells array<int>, at timestamp, reset boolean").repartition(3)
+    want = [(0, -1), (1, 1), (0, -1), (1, 0), (9, 1), (10, 0), (11, 0)]
+    got = [(r.step, r.changed) for r in stateful.frame_changes(df).collect()]
+    assert sorted(got) == sorted(want)
+    seen = [(r.step, r.changed) for r in stateful.observed(df, 8).collect()]
+    assert sorted(seen, key=str) == sorted([(s, None if c < 0 else c) for s, c in want], key=str)
+    late = replay(spark, tmp_path, df, ["second(at) in (0, 3) and step < 9", "second(at) in (1, 2) and step < 9", "step = 9", "step = 10", "step = 11"], lambda s: stateful.frame_changes(s, delay="60 seconds"), "out")
+    assert sorted((r.step, r.changed) for r in late.collect() if r.step < 9) == sorted(want[:4])
