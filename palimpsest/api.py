@@ -6,6 +6,7 @@ mounts. Collections are DataFrames of patterns; what is stored is appended, and
 
 from __future__ import annotations
 
+import os
 import threading
 import time
 from collections import OrderedDict
@@ -20,6 +21,7 @@ from .functions.runtime import checkpointed
 from .operators import build, federate, filters, search
 from .operators.walk import walk
 from .sources import readers
+from .sources.ledger import Ledger, SharedLock
 
 MOST_ENTRIES = 3_000_000
 
@@ -58,8 +60,9 @@ class Mounted:
     role: str
     seq: int
     read_only: bool = False
-    lock: Lock = field(default_factory=Lock)
+    lock: Lock | SharedLock = field(default_factory=Lock)
     writes: list[dict] = field(default_factory=list)
+    book: Ledger | None = None
 
 
 class Engine:
@@ -99,6 +102,23 @@ class Engine:
             self.session(session)
             self.sessions[session] = (time.monotonic(), name)
 
+    def open(self, name: str, path: str, role: str = "", session: str | None = None, lease: float = 30.0) -> None:
+        """Mounts a collection that is stored as a ledger, to which other engines and processes may write too.
+
+        What is stored is committed there, under a lock that all of them see.
+        """
+        book = Ledger(self.spark, path)
+        none = self.spark.createDataFrame([], "collection string, idx long, text string, embedding array<float>, meta map<string,string>, agent string, version long")
+        self.mount(name, book.read().filter(F.col("collection") == name) if book.log.names() else none, role, session)
+        m = self.mounted[name]
+        m.book, m.lock = book, SharedLock(f"{book.path}/lock", lease, self.spark)
+
+    def refresh(self, name: str) -> None:
+        """Makes what others have committed since visible."""
+        m = self.mounted[name]
+        if m.book is not None and m.book.log.names():
+            m.patterns = m.book.read().filter(F.col("collection") == name)
+
     def mount_directory(self, folder: str, role: str = "") -> list[str]:
         """All archives below a folder, each under its own name."""
         rows = readers.read_archives(self.spark, folder)
@@ -149,7 +169,8 @@ class Engine:
 
     def store(self, name: str, content: str, tags: str = "", meta: dict[str, str] | None = None, timeout: float = 5.0) -> int:
         """Appends a pattern under the collection's lock and gives its idx."""
-        return self._locked(name, f"store-{threading.get_ident()}", timeout, lambda: self._append(name, content, tags, meta))
+        agent = f"store-{os.getpid()}-{threading.get_ident()}"
+        return self._locked(name, agent, timeout, lambda: self._append(name, content, tags, meta, agent))
 
     def _locked(self, name: str, agent: str, timeout: float, work):
         m = self.mounted[name]
@@ -160,17 +181,25 @@ class Engine:
         finally:
             m.lock.release(agent)
 
-    def _append(self, name: str, content: str, tags: str, meta: dict[str, str] | None) -> int:
+    def _append(self, name: str, content: str, tags: str, meta: dict[str, str] | None, agent: str) -> int:
         m = self.mounted[name]
         if m.read_only:
             raise PermissionError(f"{name} is read-only")
         if len(content) > T.MAX_TEXT:
             raise ValueError("the text is too long")
+        text = f"[{tags}] {content}" if tags else content
+        vector = [float(x) for x in self.embed(text)]
+        if m.book is not None:  # the log says how many rows there are; none is read for that
+            if m.book.rows(name) >= MOST_ENTRIES:
+                raise ValueError("the collection is full")
+            row = self.spark.createDataFrame([(name, 0, text, vector, meta or {})], "collection string, place long, text string, embedding array<float>, meta map<string,string>")
+            idx = m.book.first(m.book.append(row, agent), name)
+            self.refresh(name)
+            return idx
         idx = (m.patterns.agg(F.max("idx")).first()[0] if not m.patterns.isEmpty() else -1) + 1
         if idx >= MOST_ENTRIES:
             raise ValueError("the collection is full")
-        text = f"[{tags}] {content}" if tags else content
-        row = self.spark.createDataFrame([(name, idx, text, [float(x) for x in self.embed(text)], meta or {})], "collection string, idx long, text string, embedding array<float>, meta map<string,string>")
+        row = self.spark.createDataFrame([(name, idx, text, vector, meta or {})], "collection string, idx long, text string, embedding array<float>, meta map<string,string>")
         m.patterns = m.patterns.unionByName(row, allowMissingColumns=True)
         return idx
 
@@ -178,7 +207,7 @@ class Engine:
         """A write under the collection's lock, attributed to its agent; reads never wait."""
         def write() -> int:
             m = self.mounted[name]
-            idx = self._append(name, content, tags, {"agent": agent, "written": str(int(time.time()))})
+            idx = self._append(name, content, tags, {"agent": agent, "written": str(int(time.time()))}, agent)
             m.writes = [*m.writes, {"agent": agent, "idx": idx}][-100:]
             return idx
 

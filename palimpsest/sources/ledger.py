@@ -174,6 +174,15 @@ class Ledger:
         """collection, n_patterns, dim, fingerprint, from the log alone."""
         return merged(self._parts().select("collection", "n", (F.col("low") + F.col("base")).alias("low"), (F.col("high") + F.col("base")).alias("high"), "first", "last"))
 
+    def rows(self, collection: str) -> int:
+        """How many rows of a collection are committed."""
+        return self._parts().filter(F.col("collection") == collection).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def first(self, version: int, collection: str) -> int:
+        """The idx of a commit's first row of a collection."""
+        own = next(c for c in self.log.read(_name(version))["collections"] if c["collection"] == collection)
+        return own["base"] + own["low"]
+
     def writers(self, n: int) -> DataFrame:
         """collection, agent, rows of each collection's last n appends."""
         from pyspark.sql import Window

@@ -222,3 +222,28 @@ def test_resets_within_a_batch(spark, tmp_path):
     assert sorted(seen, key=str) == sorted([(s, None if c < 0 else c) for s, c in want], key=str)
     late = replay(spark, tmp_path, df, ["second(at) in (0, 3) and step < 9", "second(at) in (1, 2) and step < 9", "step = 9", "step = 10", "step = 11"], lambda s: stateful.frame_changes(s, delay="60 seconds"), "out")
     assert sorted((r.step, r.changed) for r in late.collect() if r.step < 9) == sorted(want[:4])
+
+
+def test_engines_that_share_a_ledger(spark, tmp_path):
+    """Two engines, as of two processes: numbers do not clash, and each sees what the other has committed."""
+    import threading
+
+    _, embed = hashed_embedder(8)
+    one, two = Engine(spark, embed), Engine(spark, embed)
+    for e in (one, two):
+        e.open("c", str(tmp_path / "book"))
+    assert one.imprint("c", "first", "alice", tags="t") == 0 and two.imprint("c", "second", "bob") == 1
+    threads = [threading.Thread(target=e.store, args=("c", f"text {i}"), kwargs={"timeout": 120.0}) for i, e in enumerate((one, two))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for e in (one, two):
+        e.refresh("c")
+        rows = {r.idx: r.text for r in e._of("c").collect()}
+        assert sorted(rows) == [0, 1, 2, 3] and rows[0] == "[t] first" and e.lock_holder("c") is None
+    assert one.memory_search("c", "second", 1).first().text == "second"
+    assert two.acquire_lock("c", "bob", 1.0) and not one.acquire_lock("c", "alice", 0.05) and one.lock_holder("c") == "bob"
+    with pytest.raises(TimeoutError, match="bob"):
+        one.store("c", "late", timeout=0.05)
+    two.release_lock("c", "bob")
