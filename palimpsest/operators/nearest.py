@@ -206,7 +206,7 @@ def _best(known: Known, metric: Metric) -> Callable:
         asking, asked = (t.filter(pa.compute.equal(t.column("side"), s)) for s in (0, 1))
         if asking.num_rows and asked.num_rows:
             dim = t.column("dim")[0].as_py()
-            c = known[dim]
+            c = known.get(dim)
             (idx, part), m, floor = _longs(asking, "idx", "part"), _matrix(asking.column("vector"), dim), asking.column("floor").to_numpy()
             other_idx, other_part, cluster = _longs(asked, "idx", "part", "cluster")
             order = np.lexsort((other_idx, other_part, cluster))
@@ -216,7 +216,7 @@ def _best(known: Known, metric: Metric) -> Callable:
             for at in range(0, len(idx), 1024):
                 own = slice(at, at + 1024)
                 i, p, v, least = idx[own], part[own], m[own], floor[own]
-                needed = c.bounds(v, metric)[:, names] >= least[:, None]
+                needed = c.bounds(v, metric)[:, names] >= least[:, None] if c is not None else np.ones((len(i), len(names)), bool)
                 s = np.full((len(i), len(other_idx)), -np.inf)
                 for k, (a, z) in enumerate(zip(begin.tolist(), end, strict=True)):
                     rows = np.flatnonzero(needed[:, k])
@@ -255,11 +255,16 @@ class _Plan:
     total: int
 
 
-def _plan(vectors: DataFrame, metric: Metric) -> _Plan:
-    spark = ship(vectors.sparkSession)
+def _rows(vectors: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows with vectors, their number, and the longest vector's length."""
+    ship(vectors.sparkSession)
     v = vectors.select(F.col("idx").cast("long"), F.col("part").cast("long"), F.col("embedding").cast("array<float>"))
     v = v.filter("idx is not null and size(embedding) > 0").withColumn("part", F.coalesce("part", F.lit(-1).cast("long")))
-    total, widest = v.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    return v, *v.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+
+
+def _plan(v: DataFrame, total: int, widest: int, metric: Metric) -> _Plan:
+    spark = v.sparkSession
     most = min(PIVOTS, PIVOT_BYTES // (8 * widest) or 1, max(1, -(-total // EACH)))
     sample = v.orderBy(F.xxhash64("idx", "part")).limit(most).toArrow().combine_chunks()
     known: Known = {}
@@ -308,7 +313,14 @@ def neighbours(vectors: DataFrame, k: int, *, other_parts: bool = False, blended
     null, empty or hold no number take no part, nor do rows without an idx.
     """
     metric = Metric(k, other_parts, blended, least)
-    p = _plan(vectors, metric)
+    v, total, widest = _rows(vectors)
+    order = Window.partitionBy("idx", "part").orderBy(F.col("score").desc(), "other_part", "other_idx")
+    if total <= ROWS:  # one block has them all
+        placed = v.mapInArrow(_placed({}, metric), PLACED + ", angle double, signs double")
+        both = placed.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        found = both.groupBy("dim").applyInArrow(_best({}, metric), FOUND)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    p = _plan(v, total, widest, metric)
     asks = p.rows.mapInArrow(_needs(p.known, metric), ASKS)
     met = checkpointed(asks.select("dim", "own", "block").distinct())
     blocks = [(d, i, int(x)) for d, c in p.known.items() for i, x in enumerate(c.block.tolist())]
@@ -317,14 +329,13 @@ def neighbours(vectors: DataFrame, k: int, *, other_parts: bool = False, blended
     asked = asked.join(met, ["dim", "block"]).select("dim", "own", "block", "idx", "part", "vector", "floor", "cluster", F.lit(1).alias("side"))
     both = asks.withColumn("cluster", F.lit(0)).withColumn("side", F.lit(0)).unionByName(asked)
     found = both.groupBy("dim", "own", "block").applyInArrow(_best(p.known, metric), FOUND)
-    order = Window.partitionBy("idx", "part").orderBy(F.col("score").desc(), "other_part", "other_idx")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def scored(vectors: DataFrame, k: int, *, other_parts: bool = False, blended: bool = False, least: float = -np.inf) -> DataFrame:
     """One row: rows, scored (pairs that neighbours() scores to answer), share of the pairs that there are."""
     metric = Metric(k, other_parts, blended, least)
-    p = _plan(vectors, metric)
+    p = _plan(*_rows(vectors), metric)
     n = p.rows.mapInArrow(_counted(p.known, metric), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
     share = F.col("scored") / F.greatest(F.lit(p.total) * F.lit(p.total), F.lit(1))
     return n.select(F.lit(p.total).alias("rows"), "scored", share.alias("share"))

@@ -37,9 +37,9 @@ def naive(rows, k, other_parts, blended, least):
     return {i: x for i, x in out.items() if x}
 
 
-@pytest.mark.parametrize(("other_parts", "blended", "least"), [(False, False, -np.inf), (True, True, 0.75), (True, True, -np.inf)])
-def test_neighbours(spark, monkeypatch, other_parts, blended, least):
-    monkeypatch.setattr(N, "ROWS", 90)
+@pytest.mark.parametrize(("other_parts", "blended", "least", "block"), [(False, False, -np.inf, 90), (True, True, 0.75, 90), (True, True, -np.inf, 90), (True, True, 0.75, 8192)])
+def test_neighbours(spark, monkeypatch, other_parts, blended, least, block):
+    monkeypatch.setattr(N, "ROWS", block)
     monkeypatch.setattr(N, "EACH", 16)
     rows = clustered(500) + [(900 + i, i % 2, [1.0, i / 9]) for i in range(9)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -67,7 +67,7 @@ def test_little_is_scored_where_vectors_have_clusters(spark, monkeypatch):
 def test_blocks_that_need_nothing_of_each_other_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(N, "ROWS", 40)
     monkeypatch.setattr(N, "EACH", 16)
-    p = N._plan(spark.createDataFrame(clustered(2000, 60), SCHEMA), N.Metric(3, True, True, Fed.CLOSE))
+    p = N._plan(*N._rows(spark.createDataFrame(clustered(2000, 60), SCHEMA)), N.Metric(3, True, True, Fed.CLOSE))
     blocks = {b for c in p.known.values() for k, n in zip(c.block.tolist(), c.subs.tolist(), strict=True) for b in range(k, k + n)}
     met = p.rows.mapInArrow(N._needs(p.known, N.Metric(3, True, True, Fed.CLOSE)), N.ASKS).select("own", "block").distinct().count()
     assert len(blocks) > 8 and met < 0.5 * len(blocks) ** 2
