@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -125,6 +126,16 @@ def test_boilerplate(spark):
     assert one(spark, B.strip_boilerplate(F.col("t")), t="  plain ") == "plain"
 
 
+def test_embedded_texts_whose_words_cancel(spark, tmp_path):
+    from palimpsest.plans.more import QUERIES
+
+    place = lambda w: (zlib.crc32(w.encode()) % 64, zlib.crc32(w.encode()) >> 31)
+    at, sign = place("search_document:")
+    against = next(w for w in (f"w{i}" for i in range(10_000)) if place(w) == (at, 1 - sign))
+    spark.createDataFrame([(1, against), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["embedded_texts"](spark, str(tmp_path)).collect())) == [(1, 64, 1.0), (2, 64, 1.0)]
+
+
 def test_poems():
     body = "\n".join(f"line {i} of a poem with words" for i in range(4))
     found = B.poems_of(f"\n\n\nTHE FIRST POEM\n\n{body}\n\n\n\nII The Second\n\n{body}\n\n\nshort", "Verses", "A. Poet")
