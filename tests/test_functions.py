@@ -146,6 +146,15 @@ def test_poems():
     assert len(B._stanzas("\n\n".join([stanza] * 5))) == 3
 
 
+def test_verses_that_look_like_titles(spark, tmp_path):
+    from palimpsest.plans.more import QUERIES
+
+    rows = [(i, f"{head} and nine more words of a verse without title", "src", "en") for i, head in enumerate(["4355709550244650", "12.", "I", "XIV.", "plain"])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["poems"](spark, str(tmp_path)).collect()))
+    assert got == [(i, k, f"[Poem: src by en]\n{text} x{k}") for i, text, _, _ in rows for k in range(3)]
+
+
 def test_poems_fall_back_to_windows(spark):
     books = spark.createDataFrame([(1, "T", "A", " ".join(["w"] * 250))], "book long, title string, author string, text string")
     assert [r.chunk for r in B.poems(books).orderBy("chunk").collect()] == [0, 1]
