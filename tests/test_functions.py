@@ -185,6 +185,23 @@ def test_all_contradictions_of_a_component(spark):
     assert sorted((r.other_part, r.other_idx, r.preview) for r in rows) == sorted((2 + i % 5, 2 + i, f"text {79 - i:02d}") for i in range(80))
 
 
+def test_edges_are_found_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    p = spark.createDataFrame([(k, k) for k in range(3)], "part long, idx long")
+    schema = "part long, idx long, other_part long, other_idx long, kind string"
+    e = spark.createDataFrame([(0, 0, 1, 1, "CONFIRMED_BY"), (1, 1, 2, 2, "CONTRADICTED_BY")], schema).mapInArrow(count, schema)
+    for f in (Fed.preserved, Fed.collapsed):
+        before = runs.value
+        f(p, e).collect()
+        assert runs.value - before == 2
+
+
 def test_balanced_is_global(spark, small):
     from palimpsest.plans.queries import QUERIES
 
