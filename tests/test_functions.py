@@ -449,3 +449,33 @@ def test_components_of_a_chain_and_a_star(spark, monkeypatch, few):
     random.Random(1).shuffle(edges)
     got = {r.id: r.component for r in forest.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(200, 250), 200), 300: 300}
+
+
+@pytest.mark.parametrize("name", ["frame_stream", "grid_adjacency", "grid_diff", "grid_identity", "grid_objects", "grid_observations", "grid_owners", "grid_tracking", "grid_vectors", "grid_without_overlay"])
+def test_cells_of_components_that_round_up(spark, tmp_path, name):
+    """Components just below a colour's least: four of them plus one is that colour in single precision, not in double."""
+    import duckdb
+    import oracle
+
+    from palimpsest.plans.more import QUERIES, SQL
+
+    below = [float(np.nextafter(np.float32(x), np.float32(-1))) for x in (0.25, 0.5)] + [-5e-9]
+    drawn = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.where(drawn.random(64) < 0.2, drawn.choice(below, 64), drawn.normal(0, 0.15, 64)).astype(np.float32)], i % 2) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert oracle.difference(QUERIES[name](spark, str(tmp_path)), SQL[name], con) == ""
+
+
+def test_cells_of_components_out_of_bounds(spark, tmp_path):
+    import duckdb
+    import oracle
+
+    from palimpsest.plans.queries import _FRAME, frames
+
+    odd = [1e9, -1e9, 1e30, -3e38, 3e38, float("inf"), -float("inf"), float("nan"), None, -0.0, 0.75, -0.25]
+    spark.createDataFrame([(7, odd, 0), (9, odd[::-1], 0), (8, [], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert oracle.difference(frames(spark, str(tmp_path)), f"with {_FRAME} select * from f", con) == ""
