@@ -349,8 +349,12 @@ class Observer(InOrder):
             moved = len(found)
             for i, k in found:
                 names[k] = held[2][i]
-            still = {x: held[2][i] for i, x in enumerate(old)}
-            names = [still.get(x) if n is None and still.get(x) not in names else n for n, x in zip(names, now, strict=True)]
+            still: dict[tuple, list[int]] = {}
+            for i, x in enumerate(old):
+                still.setdefault(x, []).append(held[2][i])
+            for k, x in enumerate(now):  # several may stand at one place, as a ring and what it rings: each name is given once
+                if names[k] is None:
+                    names[k] = next((n for n in still.get(x, []) if n not in names), None)
         for k, n in enumerate(names):
             if n is None:
                 names[k], fresh = fresh, fresh + 1

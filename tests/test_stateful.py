@@ -247,3 +247,13 @@ def test_engines_that_share_a_ledger(spark, tmp_path):
     with pytest.raises(TimeoutError, match="bob"):
         one.store("c", "late", timeout=0.05)
     two.release_lock("c", "bob")
+
+
+def test_objects_at_one_place_have_names_of_their_own(spark):
+    """A ring and the cell in its middle have one colour and one centroid."""
+    cell = lambda r, c: 1 if (r, c) == (3, 3) else 0
+    ringed = lambda r, c: 1 if (r, c) == (3, 3) or max(abs(r - 3), abs(c - 3)) == 2 else 0
+    rows = [(0, step, [f(r, c) for r in range(8) for c in range(8)]) for step, f in enumerate((cell, ringed, ringed))]
+    got = stateful.observed(spark.createDataFrame(rows, "level long, step long, cells array<int>"), 8).orderBy("step").collect()
+    assert [r.objects for r in got] == [1, 2, 2] and all(len(set(r.names)) == r.objects for r in got)
+    assert got[1].names == got[2].names and 0 in got[1].names
